@@ -22,18 +22,22 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred",
-                     by: Sequence[str] = ()) -> DataFrame:
-    """n, tp, fp, fn, tn (bigint) in one aggregate, optionally per group."""
+def confusion_aggs(label: str = "label", pred: str = "pred") -> list[Column]:
+    """Aggregate expressions n, tp, fp, fn, tn (bigint)."""
     y, p = F.col(label), F.col(pred)
-    aggs = [
+    return [
         F.count(F.lit(1)).alias("n"),
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y != 1) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p != 1)).alias("fn"),
         F.count_if((y != 1) & (p != 1)).alias("tn"),
     ]
-    return df.groupBy(*by).agg(*aggs)
+
+
+def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred",
+                     by: Sequence[str] = ()) -> DataFrame:
+    """n, tp, fp, fn, tn (bigint) in one aggregate, optionally per group."""
+    return df.groupBy(*by).agg(*confusion_aggs(label, pred))
 
 
 def metric_columns(metrics: Sequence[str] = METRICS) -> list[Column]:

@@ -1,5 +1,137 @@
-"""Model lifecycle queries (training, scoring, checkpoints, epoch logs)."""
+"""Model lifecycle queries (training, scoring, checkpoints, epoch logs).
+
+Training is iterative, so these keys have no SQL oracle: the driver checks
+their row counts and ``tests/test_models.py`` checks the models (objective
+decreases, same seed gives the same weights, reload gives the same predictions,
+early stopping stops where the rule says).
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modlens.operators import evaluate as ev
+from modlens.operators import ml
+from modlens.operators import sampling as smp
+from modlens.plans import inputs as I
+from modlens.session import scratch_path
+from modlens.sources import files
+from modlens.sources.tables import table
+
 MODEL_QUERIES: dict = {}
+
+# Training settings of the demonstration models.
+TEXT_FEATURES = 1 << 16
+TEXT_REG = 0.05
+TEXT_MIN_DOC_FREQ = 3
+EPOCH_FEATURES = 1 << 12
+MAX_EPOCHS = 20
+PATIENCE = 3
+MIN_DELTA = 1e-4
+POS_WEIGHT = 1.0
+
+
+def _register(name):
+    def deco(fn):
+        MODEL_QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def split_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smp.stratified_split(I.labeled(spark, sf_dir), "doc_id", "label", seed=I.SEED)
+
+
+def _fit(spark, sf_dir):
+    data = split_labeled(spark, sf_dir)
+    model = ml.fit_text_classifier(data.where(F.col("split") == "train"), "text", "label",
+                                   pos_weight=POS_WEIGHT, reg=TEXT_REG, num_features=TEXT_FEATURES,
+                                   min_doc_freq=TEXT_MIN_DOC_FREQ)
+    return model, data
+
+
+@_register("ml_fit_text")
+def ml_fit_text(spark, sf_dir):
+    """Per split: rows, model log-loss and the constant base-rate log-loss."""
+    model, data = _fit(spark, sf_dir)
+    scored = ml.score(model, data, "doc_id", "label").join(data.select("doc_id", "split"), "doc_id")
+    base = data.where(F.col("split") == "train").agg(F.avg("label").alias("p")).first()["p"]
+    z_base = math.log(base / (1 - base)) if 0 < base < 1 else 0.0
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(ev.bce_with_logits("label", "logit")).alias("logloss"),
+        F.avg(ev.bce_with_logits("label", F.lit(z_base))).alias("base_logloss"),
+    )
+
+
+@_register("ml_score")
+def ml_score(spark, sf_dir):
+    model, data = _fit(spark, sf_dir)
+    return ml.score(model, data.where(F.col("split") == "test"), "doc_id", "label")
+
+
+@_register("ml_test_metrics")
+def ml_test_metrics(spark, sf_dir):
+    """Test pass: BCE loss plus accuracy / precision / recall / F1."""
+    model, data = _fit(spark, sf_dir)
+    s = ml.score(model, data.where(F.col("split") == "test"), "doc_id", "label")
+    a = s.agg(F.avg(ev.bce_with_logits("label", "logit")).alias("loss"),
+              *ev.confusion_aggs("label", "pred"))
+    return a.select("n", "loss", *ev.metric_columns())
+
+
+@_register("ml_checkpoint_reload")
+def ml_checkpoint_reload(spark, sf_dir):
+    """Save the fitted pipeline, load it back, score the test split with both."""
+    model, data = _fit(spark, sf_dir)
+    path = ml.save_model(model, scratch_path(spark, "text_model"))
+    reloaded = ml.load_model(path)
+    test = data.where(F.col("split") == "test")
+    a = ml.score(model, test, "doc_id", "label").select("doc_id", "label", F.col("pred").alias("pred"))
+    b = ml.score(reloaded, test, "doc_id", "label").select("doc_id", F.col("pred").alias("pred_reloaded"))
+    return a.join(b, "doc_id").withColumn("same", F.col("pred") == F.col("pred_reloaded"))
+
+
+def _train(spark, sf_dir, on_epoch=None):
+    data = split_labeled(spark, sf_dir)
+    return ml.train_epochs(data.where(F.col("split") == "train"), data.where(F.col("split") == "val"),
+                           "text", "label", num_features=EPOCH_FEATURES, max_epochs=MAX_EPOCHS,
+                           patience=PATIENCE, min_delta=MIN_DELTA, pos_weight=POS_WEIGHT,
+                           on_epoch=on_epoch)
+
+
+@_register("ml_train_epochs")
+def ml_train_epochs(spark, sf_dir):
+    """One row per epoch run: train / val loss, best so far, early-stopping state."""
+    _, log = _train(spark, sf_dir)
+    rows = [(r.epoch, float(r.train_loss), float(r.val_loss), float(r.best_val_loss),
+             bool(r.improved), int(r.wait), bool(r.stopped)) for r in log]
+    return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, "
+                                       "best_val_loss double, improved boolean, wait int, stopped boolean")
+
+
+@_register("ml_epoch_log")
+def ml_epoch_log(spark, sf_dir):
+    """Metric rows appended to a Parquet log at the end of every epoch, read back."""
+    path = scratch_path(spark, "epoch_log")
+    run = "hashed-logistic"
+
+    def on_epoch(rec):
+        files.append_metric_log(ml.epoch_log_frame(spark, run, [rec]), path)
+
+    _train(spark, sf_dir, on_epoch)
+    return spark.read.parquet(path)
+
+
+@_register("ml_fit_embedding_head")
+def ml_fit_embedding_head(spark, sf_dir):
+    """Logistic head on the 64-d pooled vectors, label = class 0; scored on the held-out split."""
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))
+    data = smp.stratified_split(e, "vec_id", "label", seed=I.SEED)
+    model = ml.fit_embedding_head(data.where(F.col("split") == "train"), "embedding", "label")
+    return ml.score_embedding_head(model, data.where(F.col("split") != "train"), "vec_id",
+                                   "embedding", "label")
