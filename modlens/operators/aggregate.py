@@ -88,19 +88,45 @@ def discover_categories(df: DataFrame, list_col: str, limit: int = MAX_ONEHOT_CA
     return sorted(r["v"] for r in rows if r["v"] is not None)
 
 
+def onehot_columns(list_col: str, categories: Sequence[str], binary: bool = False) -> list:
+    """One int column per category: how often it appears in the row's list."""
+    def equals(value):
+        return lambda x: x == F.lit(value)
+
+    cols = []
+    for c in categories:
+        n = F.size(F.filter(F.col(list_col), equals(c)))
+        if binary:
+            n = F.least(n, F.lit(1))
+        cols.append(n.cast("int").alias(c))
+    return cols
+
+
+def check_category_names(cats: Sequence[str], reserved: Sequence[str]) -> None:
+    clash = {c.lower() for c in cats} & {r.lower() for r in reserved}
+    if clash:
+        raise ValueError(f"category names collide with columns: {sorted(clash)}")
+
+
 def multilabel_onehot(df: DataFrame, key: str, list_col: str, categories: Sequence[str] | None = None,
-                      binary: bool = False, reserved: Sequence[str] = ()) -> DataFrame:
+                      binary: bool = False, reserved: Sequence[str] = (),
+                      unique_key: bool = True) -> DataFrame:
     """Wide one-hot: one int column per category, value = count in the row (or
-    0/1 with ``binary``). Only keys with at least one category appear; see
-    ``join_categories`` for the left join back. A category named like a
-    reserved (base) column raises.
+    0/1 with ``binary``). Only keys with at least one listed category appear;
+    ``join_categories`` / ``onehot_columns`` give every row. A category named
+    like a reserved (base) column raises.
+
+    With a unique key (one list per row) the counts are per-row array
+    expressions: map-only, no explode, no shuffle. Otherwise lists of the same
+    key are summed: explode, then a pivot with the explicit category list.
     """
     cats = list(categories) if categories is not None else discover_categories(df, list_col)
-    clash = {c.lower() for c in cats} & {r.lower() for r in reserved}
-    if clash:
-        raise ValueError(f"category names collide with columns: {sorted(clash)}")
+    check_category_names(cats, reserved)
+    if unique_key:
+        listed = F.filter(F.col(list_col), lambda x: x.isin(cats)) if cats else F.array()
+        return df.where(F.size(listed) > 0).select(key, *onehot_columns(list_col, cats, binary))
     long = multilabel_long(df, key, list_col, "_cat").where(F.col("_cat").isin(cats))
-    wide = long.groupBy(key).pivot("_cat", cats).agg(F.first("n"))
+    wide = long.groupBy(key).pivot("_cat", cats).agg(F.sum("n"))
     vals = [F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in cats]
     if binary:
         vals = [F.least(v, F.lit(1)) for v in vals]
@@ -108,7 +134,8 @@ def multilabel_onehot(df: DataFrame, key: str, list_col: str, categories: Sequen
 
 
 def join_categories(base: DataFrame, onehot: DataFrame, key: str) -> DataFrame:
-    """Left join one-hot counts back to every base row; unmatched -> 0."""
+    """Left join one-hot counts back to every base row; unmatched -> 0
+    (for lists held by several rows of a key; a per-row list needs no join)."""
     cats = [c for c in onehot.columns if c != key]
     out = base.join(onehot, key, "left")
     return out.select(*[F.col(f"`{c}`") for c in base.columns],

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import flag_ge, ngrams, tokens
+from modlens.operators.partitioning import spread
 
 INLINE_MAX_TERMS = 1000
 BROADCAST_MAX_TERMS = 2_000_000
@@ -107,17 +108,27 @@ def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang
             .withColumn("categories", F.coalesce("categories", empty)))
 
 
-def match_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang", method: str = "auto") -> DataFrame:
+def match_lexicon(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str = "doc_id",
+                  text_col: str = "text", lang_col: str = "lang", method: str = "auto") -> DataFrame:
     """Add ``hits`` (matched token n-grams, repeats counted), ``matched_terms`` and
     ``categories`` (sorted, distinct) to every row of ``df``.
 
-    A term matches only posts of its own language. Rows without matches get 0
-    and empty arrays.
+    ``lexicon`` is a (term, category, lang) DataFrame, or the same rows as a
+    Python list. A term matches only posts of its own language. Rows without
+    matches get 0 and empty arrays.
     """
     if method not in ("auto", "inline", "join"):
         raise ValueError(method)
-    rows = _collect_bounded(lexicon, INLINE_MAX_TERMS) if method != "join" else None
+    if not isinstance(lexicon, DataFrame):
+        rows = [{"term": " ".join(t.lower().split()), "category": c, "lang": l} for t, c, l in lexicon]
+        if method == "join" or len(rows) > INLINE_MAX_TERMS:
+            lexicon = lexicon_frame(df.sparkSession, [(r["term"], r["category"], r["lang"]) for r in rows])
+            rows = None
+    else:
+        rows = None
+    df = spread(df, key)
+    if rows is None and method != "join":
+        rows = _collect_bounded(lexicon, INLINE_MAX_TERMS)
     if method == "inline" and rows is None:
         raise ValueError(f"lexicon has more than {INLINE_MAX_TERMS} terms; use method='join'")
     if rows is not None:
@@ -126,7 +137,7 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_c
     return _join_match(df, lexicon, key, text_col, lang_col, n_terms)
 
 
-def lexicon_score(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
+def lexicon_score(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", threshold: float = 0.5, method: str = "auto") -> DataFrame:
     """Lexicon classifier: ``toxicity = hits / (hits + 1)`` in [0, 1) and
     ``pred = toxicity >= threshold`` (inclusive; NaN/NULL -> 0)."""
@@ -138,7 +149,7 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_c
 def channel_search(df: DataFrame, query: Mapping[str, Sequence[str]],
                    platforms: Mapping[str, Sequence[str]] | None = None,
                    lang_col: str = "lang", text_col: str = "text", platform_col: str = "source",
-                   url_col: str | None = None) -> DataFrame:
+                   url_col: str | None = None, key: str | None = None) -> DataFrame:
     """Posts matching a channel spec: any term of the post's language (as a token
     n-gram), on one of the listed platforms, and when a platform lists path
     prefixes, with a URL under one of them. Map-only (``arrays_overlap``)."""
@@ -154,6 +165,7 @@ def channel_search(df: DataFrame, query: Mapping[str, Sequence[str]],
         cond = hit if cond is None else (cond | hit)
     if cond is None:
         cond = F.lit(False)
+    df = spread(df, key)
     if platforms is not None:
         pcond = None
         for name, paths in platforms.items():

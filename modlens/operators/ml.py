@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import TOKEN_SPLIT, flag_gt, tokens
+from modlens.operators.partitioning import spread
 
 MAX_HASH_FEATURES = 1 << 18
 
@@ -53,7 +54,7 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "
                            regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"),
     ])
-    return pipe.fit(_with_weight(train, label, pos_weight))
+    return pipe.fit(spread(_with_weight(train, label, pos_weight)))
 
 
 def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -175,7 +176,7 @@ def _epoch_sums(df: DataFrame, model_w: np.ndarray, num_features: int, with_grad
 
 def prepare_hashed(df: DataFrame, text_col: str, label: str, num_features: int,
                    pos_weight: float = 1.0) -> DataFrame:
-    return df.select(hashed_ids(text_col, num_features).alias("ids"),
+    return spread(df).select(hashed_ids(text_col, num_features).alias("ids"),
                      F.col(label).cast("double").alias("y"),
                      F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)).alias("sw"))
 

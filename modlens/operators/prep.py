@@ -22,7 +22,12 @@ from modlens.functions.columns import (
     sanitize_numeric_label,
     split_words,
 )
-from modlens.operators.aggregate import annotator_rollup, join_categories, multilabel_onehot
+from modlens.operators.aggregate import (
+    check_category_names,
+    annotator_rollup,
+    discover_categories,
+    onehot_columns,
+)
 from modlens.operators.sampling import stratified_split
 
 
@@ -69,8 +74,8 @@ def clean_annotations(df: DataFrame, key: str, categories: Sequence[str] | None
     """Annotation export -> clean table.
 
     label sanitised; categories lower-cased, split on whitespace, NULL -> [];
-    one int column per category (count in the row) left-joined back with 0
-    fill; ``categories`` dropped; column names lower-cased; toxicity parsed as
+    one int column per category (count in the row, 0 when absent, every row
+    kept); ``categories`` dropped; column names lower-cased; toxicity parsed as
     a number with NaN / text / NULL -> 0.
     """
     cols = {c.lower(): c for c in df.columns}
@@ -78,10 +83,11 @@ def clean_annotations(df: DataFrame, key: str, categories: Sequence[str] | None
     d = sanitize_label_column(df, label_c, strict=strict_label)
     d = d.withColumn("_cats", split_words(F.col(cat_c), lower=True))
     base_cols = [c for c in d.columns if c not in (cat_c, "_cats")]
-    onehot = multilabel_onehot(d, key, "_cats", categories=categories,
-                               reserved=[c.lower() for c in base_cols])
-    joined = join_categories(d.select(*base_cols), onehot, key)
-    out = lowercase_columns(joined)
+    cats = list(categories) if categories is not None else discover_categories(d, "_cats")
+    check_category_names(cats, base_cols)
+    # one list per row: the one-hot is a per-row count (every row kept, 0 when absent)
+    wide = d.select(*[F.col(f"`{c}`") for c in base_cols], *onehot_columns("_cats", cats))
+    out = lowercase_columns(wide)
     return out.withColumn(tox_c.lower(), numeric_guard(F.col(tox_c.lower())))
 
 

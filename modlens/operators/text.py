@@ -7,10 +7,11 @@ explode, so a 100k-word text costs at most ``max_len`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import tokens
+from modlens.operators.partitioning import spread
 from modlens.operators.sampling import sorted_rank
 
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
@@ -19,7 +20,7 @@ FIRST_WORD_ID = 4
 
 def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, n, id) for every word with at least ``min_count`` occurrences."""
-    counts = (df.select(F.explode(tokens(F.col(text_col))).alias("token"))
+    counts = (spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_count))
     ranked = sorted_rank(counts, [F.col("n").desc(), F.col("token").asc()], "_r")
@@ -33,7 +34,7 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col:
     body = max_len - 2
     toks = F.slice(tokens(F.col(text_col)), 1, body)
     # explode_outer keeps texts without tokens, so no join back to the keys is needed
-    exploded = df.select(key, F.posexplode_outer(toks).alias("pos", "token"))
+    exploded = spread(df.select(key, text_col), key).select(key, F.posexplode_outer(toks).alias("pos", "token"))
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     base = (exploded.join(vocab.select("token", "id"), "token", "left")
@@ -60,9 +61,8 @@ def truncation_profile(df: DataFrame, text_col: str = "text", max_len: int = 128
     ceil(p% of docs), read off a histogram of lengths (one row per distinct
     length, bounded by the longest text) rather than a sort of all rows.
     """
-    hist = (df.select(F.size(tokens(F.col(text_col))).alias("len"))
+    hist = (spread(df.select(text_col)).select(F.size(tokens(F.col(text_col))).alias("len"))
             .groupBy("len").agg(F.count(F.lit(1)).alias("c")))
-    from pyspark.sql import Window
     w_all = Window.partitionBy()
     w_cum = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
     h = (hist.withColumn("cum", F.sum("c").over(w_cum))

@@ -73,7 +73,7 @@ def _split_labeled(spark, sf_dir):
 
 
 def _lex_docs(spark, sf_dir):
-    return lx.lexicon_score(table(spark, sf_dir, "documents"), I.lexicon(spark))
+    return lx.lexicon_score(table(spark, sf_dir, "documents"), I.LEXICON_ROWS)
 
 
 def annotations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def lex_channel_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     query = {"en": [t for t, _, _ in I.LEXICON_ROWS]}
     platforms = {p: [] for p in CHANNEL_PLATFORMS}
-    return lx.channel_search(docs, query, platforms).select("doc_id", "lang", "source")
+    return lx.channel_search(docs, query, platforms, key="doc_id").select("doc_id", "lang", "source")
 
 
 @register("lex_path_filter")
@@ -221,8 +221,9 @@ def scr_linear_head(spark, sf_dir):
 
 # ---------------------------------------------------------------- error analysis / samples
 
-_CELL_ORDER = F.when(F.col("cell") == "TN", 0).when(F.col("cell") == "FP", 1) \
-    .when(F.col("cell") == "FN", 2).otherwise(3)
+def _cell_order() -> Column:
+    return (F.when(F.col("cell") == "TN", 0).when(F.col("cell") == "FP", 1)
+            .when(F.col("cell") == "FN", 2).otherwise(3))
 
 
 @register("err_cell_filter")
@@ -235,7 +236,7 @@ def _confusion_samples(spark, sf_dir, pred_col="pred_lex"):
     s = I.scored(spark, sf_dir).select("doc_id", "text", "label", F.col(pred_col).alias("pred"))
     cells = ev.with_confusion_cell(s, "label", "pred")
     sample = smp.sample_per_group(cells, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
-    out = smp.renumber(sample, [_CELL_ORDER, F.col("_rn")], "row_id")
+    out = smp.renumber(sample, [_cell_order(), F.col("_rn")], "row_id")
     return out.select("row_id", "cell", "doc_id", "text", "label", "pred")
 
 
@@ -250,8 +251,9 @@ def err_disagreement_filter(spark, sf_dir):
     return ev.disagreements(s, "label", "pred_lm", "pred_lex", "lm", "lex")
 
 
-_DIS_ORDER = F.when(F.col("cell") == "TN_lm", 0).when(F.col("cell") == "TP_lm", 1) \
-    .when(F.col("cell") == "TN_lex", 2).otherwise(3)
+def _dis_order() -> Column:
+    return (F.when(F.col("cell") == "TN_lm", 0).when(F.col("cell") == "TP_lm", 1)
+            .when(F.col("cell") == "TN_lex", 2).otherwise(3))
 
 
 @register("err_disagreement_samples")
@@ -259,7 +261,7 @@ def err_disagreement_samples(spark, sf_dir):
     s = I.scored(spark, sf_dir).select("doc_id", "text", "label", "pred_lm", "pred_lex")
     d = ev.disagreements(s, "label", "pred_lm", "pred_lex", "lm", "lex")
     sample = smp.sample_per_group(d, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
-    out = smp.renumber(sample, [_DIS_ORDER, F.col("_rn")], "row_id")
+    out = smp.renumber(sample, [_dis_order(), F.col("_rn")], "row_id")
     return out.select("row_id", "cell", "doc_id", "text", "label", "pred_lm", "pred_lex")
 
 
@@ -388,7 +390,8 @@ def agg_multilabel_onehot(spark, sf_dir):
 @register("join_left_categories")
 def join_left_categories(spark, sf_dir):
     a = annotations_raw(spark, sf_dir).select("doc_id", split_words("Categories").alias("cats"))
-    onehot = agg.multilabel_onehot(a, "doc_id", "cats")
+    # several rows per key in general: grouped one-hot, left-joined back to every key
+    onehot = agg.multilabel_onehot(a, "doc_id", "cats", unique_key=False)
     return agg.join_categories(a.select("doc_id"), onehot, "doc_id")
 
 

@@ -67,7 +67,7 @@ def lm_logit(matched_terms: str = "matched_terms") -> Column:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labeled + lexicon match + both classifiers: pred_lex (toxicity >= 0.5),
     z and pred_lm (z > 0)."""
-    s = lexicon_score(labeled(spark, sf_dir), lexicon(spark))
+    s = lexicon_score(labeled(spark, sf_dir), LEXICON_ROWS)
     return (s.withColumnRenamed("pred", "pred_lex")
             .withColumn("z", lm_logit())
             .withColumn("pred_lm", flag_gt(F.col("z"), 0.0)))
