@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    if df.isStreaming:
+        return df  # a stream's partitions come from its source and micro-batches
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

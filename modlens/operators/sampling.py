@@ -48,7 +48,7 @@ def bucketed_rank(df: DataFrame, order_hash: Column, key: str, group_cols: Seque
     w = Window.partitionBy(*g, "_b").orderBy("_h", key)
     return (h.join(offsets, [*g, "_b"], "inner")
             .withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
-            .drop("_h", "_b", "_off"))
+            .select(*[F.col(f"`{c}`") for c in df.columns], rank_col))
 
 
 def sorted_rank(df: DataFrame, order_cols: Sequence[Column], rank_col: str = "rank") -> DataFrame:

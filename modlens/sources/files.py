@@ -26,7 +26,8 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
              na_values: Sequence[str] = (), exempt: Sequence[str] = ()) -> DataFrame:
-    """Headed CSV with a declared schema (no inference).
+    """Headed CSV with a declared schema (no inference). An empty field reads
+    as NULL, as pandas reads it.
 
     ``na_values`` lists extra strings read as missing (pandas treats 'NA',
     'null' and '' as missing by default; Spark only the empty string). Columns
