@@ -53,6 +53,26 @@ def _all_grams(toks: Column, sizes: Sequence[int]) -> Column:
     return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
 
+PREFILTER_MAX_WORDS = 64
+
+
+def _could_match(keys: Sequence[str], text_col: str, lang_col: str) -> Column:
+    """Exact, cheap gate before tokenising: the post's language has terms, and
+    (for small lexicons) the lower-cased text contains the longest word of some
+    term as a substring -- a token or n-gram match implies both."""
+    langs = sorted({k.split(_SEP, 1)[0] for k in keys})
+    gate = F.col(lang_col).isin(langs)
+    words = sorted({max(k.split(_SEP, 1)[1].split(" "), key=len) for k in keys})
+    if len(words) <= PREFILTER_MAX_WORDS:
+        low = F.lower(F.col(text_col))
+        hit = None
+        for w in words:
+            c = low.contains(w)
+            hit = c if hit is None else (hit | c)
+        gate = gate & hit
+    return F.coalesce(gate, F.lit(False))
+
+
 def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFrame:
     cats: dict[str, set[str]] = defaultdict(set)
     for r in rows:
@@ -65,10 +85,12 @@ def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFram
     sizes = _gram_sizes(k.split(_SEP, 1)[1] for k in keys) or [1]
     grams = _all_grams(tokens(F.col(text_col)), sizes)
     lang = F.col(lang_col)
+    empty = F.array().cast("array<string>")
     if keys:
         matched = F.filter(grams, lambda g: F.concat(lang, F.lit(_SEP), g).isin(keys))
+        matched = F.when(_could_match(keys, text_col, lang_col), matched).otherwise(empty)
     else:
-        matched = F.array().cast("array<string>")
+        matched = empty
     cat_map = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.lit(c) for c in sorted(cats[k])]).cast("array<string>"))]) \
         if keys else None
     out = df.withColumn("_matched", matched)

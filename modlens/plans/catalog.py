@@ -81,7 +81,7 @@ def annotations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxicity and categories, dirtied like a hand-edited sheet (string label
     with 'none' / '' / NULL, toxicity as text with 'none' / 'NaN' / NULL,
     categories mixed case, sometimes repeated, NULL when none)."""
-    s = smp.stratified_split(I.scored(spark, sf_dir), "doc_id", "label", seed=I.SEED)
+    s = smp.stratified_split(I.scored(spark, sf_dir, with_text=True), "doc_id", "label", seed=I.SEED)
     m = F.col("doc_id") % 7
     label_raw = (F.when(m == 2, "none").when(m == 3, F.lit(None)).when(m == 5, "")
                  .otherwise(F.col("label").cast("string")))
@@ -233,9 +233,10 @@ def err_cell_filter(spark, sf_dir):
 
 
 def _confusion_samples(spark, sf_dir, pred_col="pred_lex"):
-    s = I.scored(spark, sf_dir).select("doc_id", "text", "label", F.col(pred_col).alias("pred"))
+    s = I.scored(spark, sf_dir).select("doc_id", "label", F.col(pred_col).alias("pred"))
     cells = ev.with_confusion_cell(s, "label", "pred")
     sample = smp.sample_per_group(cells, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
+    sample = I.attach_text(spark, sf_dir, sample, 4 * I.SAMPLES_PER_CELL)
     out = smp.renumber(sample, [_cell_order(), F.col("_rn")], "row_id")
     return out.select("row_id", "cell", "doc_id", "text", "label", "pred")
 
@@ -258,9 +259,10 @@ def _dis_order() -> Column:
 
 @register("err_disagreement_samples")
 def err_disagreement_samples(spark, sf_dir):
-    s = I.scored(spark, sf_dir).select("doc_id", "text", "label", "pred_lm", "pred_lex")
+    s = I.scored(spark, sf_dir).select("doc_id", "label", "pred_lm", "pred_lex")
     d = ev.disagreements(s, "label", "pred_lm", "pred_lex", "lm", "lex")
     sample = smp.sample_per_group(d, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
+    sample = I.attach_text(spark, sf_dir, sample, 4 * I.SAMPLES_PER_CELL)
     out = smp.renumber(sample, [_dis_order(), F.col("_rn")], "row_id")
     return out.select("row_id", "cell", "doc_id", "text", "label", "pred_lm", "pred_lex")
 

@@ -64,15 +64,39 @@ def lm_logit(matched_terms: str = "matched_terms") -> Column:
             + F.lit(LM_NON_EN_LOW_QUALITY) * boost)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labeled + lexicon match + both classifiers: pred_lex (toxicity >= 0.5),
-    z and pred_lm (z > 0)."""
-    s = lexicon_score(labeled(spark, sf_dir), LEXICON_ROWS)
-    return (s.withColumnRenamed("pred", "pred_lex")
+SCORE_COLUMNS = ["doc_id", "lang", "source", "hits", "matched_terms", "categories", "toxicity"]
+
+
+def scored(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """Labelled documents with both classifiers: pred_lex (toxicity >= 0.5),
+    z and pred_lm (z > 0).
+
+    Documents are scored where they are read (map-only) and only narrow
+    columns meet the labels in the join, so texts never cross a shuffle.
+    ``with_text`` carries the text through the join for callers that need it;
+    samples instead fetch text for their few keys (``attach_text``).
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    s = lexicon_score(docs, LEXICON_ROWS)
+    cols = SCORE_COLUMNS + (["text"] if with_text else [])
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", "quality", F.col("toxic").cast("int").alias("label"))
+    return (s.select(*cols, F.col("pred").alias("pred_lex"))
+            .join(labels, "doc_id", "inner")
             .withColumn("z", lm_logit())
             .withColumn("pred_lm", flag_gt(F.col("z"), 0.0)))
 
 
+def attach_text(spark: SparkSession, sf_dir: str, sample: DataFrame, max_rows: int) -> DataFrame:
+    """Add ``text`` to a sample whose size is bounded by construction
+    (``max_rows`` = cells x rows per cell): the sample is broadcast to a
+    map-side join over the documents scan, so documents are not shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if max_rows > 100_000:
+        return sample.join(docs, "doc_id", "inner")
+    return docs.join(F.broadcast(sample), "doc_id", "inner")
+
+
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with string label / toxicity and a nullable count, defects by event_id % 7."""
     ev = table(spark, sf_dir, "events")
