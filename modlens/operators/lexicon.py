@@ -101,10 +101,15 @@ def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFram
                                         F.array().cast("array<string>"))))))
     else:
         categories = F.array().cast("array<string>")
-    return (out.withColumn("hits", F.size("_matched").cast("bigint"))
-            .withColumn("matched_terms", terms)
-            .withColumn("categories", categories)
-            .drop("_matched"))
+    # The match results leave through a one-row generator. Catalyst cannot
+    # substitute generator outputs into filters pushed below it, so a later
+    # filter on hits / terms / categories never re-inlines (and re-runs) the
+    # tokenizer at the scan.
+    result = F.inline(F.array(F.struct(F.size("_matched").cast("bigint").alias("hits"),
+                                       terms.alias("matched_terms"),
+                                       categories.alias("categories"))))
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    return out.select(*keep, result)
 
 
 def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang_col: str,

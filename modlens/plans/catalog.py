@@ -81,17 +81,20 @@ def annotations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxicity and categories, dirtied like a hand-edited sheet (string label
     with 'none' / '' / NULL, toxicity as text with 'none' / 'NaN' / NULL,
     categories mixed case, sometimes repeated, NULL when none)."""
-    s = smp.stratified_split(I.scored(spark, sf_dir, with_text=True), "doc_id", "label", seed=I.SEED)
+    # the split depends only on (key, label): assign it on the labels, join the narrow result
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    split = smp.stratified_split(labels, "doc_id", "label", seed=I.SEED).select("doc_id", "split")
+    s = I.scored(spark, sf_dir, with_text=True).join(split, "doc_id", "inner")
     m = F.col("doc_id") % 7
     label_raw = (F.when(m == 2, "none").when(m == 3, F.lit(None)).when(m == 5, "")
                  .otherwise(F.col("label").cast("string")))
     tox_raw = (F.when(m == 1, "none").when(m == 4, F.lit(None)).when(m == 6, "NaN")
                .otherwise(F.col("toxicity").cast("string")))
-    joined = F.array_join("categories", " ")
-    cats = (F.when(F.size("categories") == 0, F.lit(None))
-            .when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", joined, joined))
-            .otherwise(joined))
-    cats = F.when(F.col("doc_id") % 2 == 0, F.upper(cats)).otherwise(cats)
+    # one reference to the (expensive) categories column: repeat, join, case, blank -> NULL
+    listed = F.array_join(F.transform(
+        F.array_repeat(F.array_join("categories", " "), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1)),
+        lambda c: F.when(F.col("doc_id") % 2 == 0, F.upper(c)).otherwise(c)), " ")
+    cats = F.when(F.trim(listed) != "", listed)
     return s.select("doc_id", F.col("text").alias("Text"), label_raw.alias("Label"),
                     F.col("split").alias("Split"), tox_raw.alias("Toxicity"),
                     cats.alias("Categories"))
