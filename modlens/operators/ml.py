@@ -41,8 +41,12 @@ def _with_weight(df: DataFrame, label: str, pos_weight: float, weight_col: str =
 
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "label",
                         pos_weight: float = 1.0, reg: float = 0.05, num_features: int = 1 << 16,
-                        min_doc_freq: int = 3, max_iter: int = 100) -> PipelineModel:
-    """Binary text classifier with positive-class weight and L2 penalty."""
+                        min_doc_freq: int = 3, max_iter: int = 30) -> PipelineModel:
+    """Binary text classifier with positive-class weight and L2 penalty.
+
+    The training rows are persisted for the fit (IDF and the optimizer each
+    pass over them) and released afterwards.
+    """
     if num_features > MAX_HASH_FEATURES:
         raise ValueError(f"num_features above {MAX_HASH_FEATURES}")
     pipe = Pipeline(stages=[
@@ -54,7 +58,11 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "
                            regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"),
     ])
-    return pipe.fit(spread(_with_weight(train, label, pos_weight)))
+    data = spread(_with_weight(train, label, pos_weight)).persist()
+    try:
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -90,6 +98,14 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def fit_or_load(path: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+    """Load the model saved at ``path``; fit and save it there if there is none."""
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # nothing saved yet
+        return PipelineModel.load(save_model(fit(), path))
+
+
 # ---------------------------------------------------------------- M2: epoch loop
 
 def hashed_ids(text_col: str, num_features: int) -> Column:
@@ -123,13 +139,18 @@ class EpochRecord:
     extra: dict = field(default_factory=dict)
 
 
-def _partition_pass(bc, num_features: int, with_grad: bool) -> Callable:
+_TRAIN_LOSS, _TRAIN_N, _VAL_LOSS, _VAL_N = -1, -2, -3, -4
+
+
+def _partition_pass(bc, num_features: int) -> Callable:
+    """Per partition: gradient and loss over train rows (part 0), loss over
+    validation rows (part 1), all at the broadcast weights."""
     d = num_features
 
     def run(batches):
         w = bc.value
         g = np.zeros(d + 1)
-        loss, n = 0.0, 0
+        sums = {_TRAIN_LOSS: 0.0, _TRAIN_N: 0.0, _VAL_LOSS: 0.0, _VAL_N: 0.0}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -140,45 +161,49 @@ def _partition_pass(bc, num_features: int, with_grad: bool) -> Callable:
             z = np.bincount(row, weights=w[flat], minlength=len(pdf)) + w[d]
             y = pdf["y"].to_numpy(dtype=float)
             sw = pdf["sw"].to_numpy(dtype=float)
-            sp_pos = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))      # softplus(z)
-            loss += float((sw * (sp_pos - y * z)).sum())
-            n += len(pdf)
-            if with_grad:
-                r = sw * (1.0 / (1.0 + np.exp(-z)) - y)
-                g[:d] += np.bincount(flat, weights=r[row], minlength=d)
-                g[d] += r.sum()
+            is_val = pdf["part"].to_numpy() == 1
+            loss = sw * (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z)
+            sums[_TRAIN_LOSS] += float(loss[~is_val].sum())
+            sums[_TRAIN_N] += float((~is_val).sum())
+            sums[_VAL_LOSS] += float(loss[is_val].sum())
+            sums[_VAL_N] += float(is_val.sum())
+            r = np.where(is_val, 0.0, sw * (1.0 / (1.0 + np.exp(-z)) - y))
+            g[:d] += np.bincount(flat, weights=r[row], minlength=d)
+            g[d] += r.sum()
         nz = np.nonzero(g)[0]
-        yield pd.DataFrame({"idx": np.concatenate([nz, [-1, -2]]).astype("int32"),
-                            "v": np.concatenate([g[nz], [loss, float(n)]])})
+        keys = list(sums)
+        yield pd.DataFrame({"idx": np.concatenate([nz, keys]).astype("int32"),
+                            "v": np.concatenate([g[nz], [sums[k] for k in keys]])})
 
     return run
 
 
-def _epoch_sums(df: DataFrame, model_w: np.ndarray, num_features: int, with_grad: bool):
+def _epoch_sums(df: DataFrame, model_w: np.ndarray, num_features: int):
+    """One job: summed gradient (weight-sized) and loss sums, collected to the driver."""
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(model_w)
     try:
-        parts = df.mapInPandas(_partition_pass(bc, num_features, with_grad), "idx int, v double")
+        parts = df.mapInPandas(_partition_pass(bc, num_features), "idx int, v double")
         rows = parts.groupBy("idx").agg(F.sum("v").alias("v")).collect()
     finally:
         bc.unpersist()
     g = np.zeros(num_features + 1)
-    loss = n = 0.0
+    sums = {}
     for r in rows:
-        if r["idx"] == -1:
-            loss = r["v"]
-        elif r["idx"] == -2:
-            n = r["v"]
+        if r["idx"] < 0:
+            sums[r["idx"]] = r["v"]
         else:
             g[r["idx"]] += r["v"]
-    return g, loss, n
+    return (g, sums.get(_TRAIN_LOSS, 0.0), sums.get(_TRAIN_N, 0.0),
+            sums.get(_VAL_LOSS, 0.0), sums.get(_VAL_N, 0.0))
 
 
 def prepare_hashed(df: DataFrame, text_col: str, label: str, num_features: int,
-                   pos_weight: float = 1.0) -> DataFrame:
+                   pos_weight: float = 1.0, part: int = 0) -> DataFrame:
     return spread(df).select(hashed_ids(text_col, num_features).alias("ids"),
-                     F.col(label).cast("double").alias("y"),
-                     F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)).alias("sw"))
+                             F.col(label).cast("double").alias("y"),
+                             F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)).alias("sw"),
+                             F.lit(part).alias("part"))
 
 
 def train_epochs(train: DataFrame, val: DataFrame, text_col: str = "text", label: str = "label",
@@ -189,18 +214,21 @@ def train_epochs(train: DataFrame, val: DataFrame, text_col: str = "text", label
                  ) -> tuple[HashedLogistic, list[EpochRecord]]:
     """Epoch training with early stopping on val loss; returns best weights and the log.
 
-    One gradient job over train and one loss job over val per epoch. Features
-    are persisted once and unpersisted at the end. Adam update on the driver
-    (only the weight vector lives there).
+    One Spark job per epoch over train and validation rows together: the
+    gradient at the new weights and the validation loss of the epoch just
+    taken come from the same pass. Hashed features are persisted once and
+    unpersisted at the end; the Adam update runs on the driver, which holds
+    only the weight vector.
     """
     if num_features > MAX_HASH_FEATURES:
         raise ValueError(f"num_features above {MAX_HASH_FEATURES}")
-    # Rows are hashed once and kept; the dataset for each epoch is re-read from the cache.
-    tr = prepare_hashed(train, text_col, label, num_features, pos_weight).persist()
-    va = prepare_hashed(val, text_col, label, num_features, pos_weight).persist()
+    data = (prepare_hashed(train, text_col, label, num_features, pos_weight, 0)
+            .unionByName(prepare_hashed(val, text_col, label, num_features, pos_weight, 1))
+            .persist())
     w = np.zeros(num_features + 1)
     # Bias starts at the (weighted) base-rate logit: one small aggregate.
-    r = tr.agg(F.sum(F.col("sw") * F.col("y")).alias("pos"), F.sum("sw").alias("all")).first()
+    r = (data.where(F.col("part") == 0)
+         .agg(F.sum(F.col("sw") * F.col("y")).alias("pos"), F.sum("sw").alias("all")).first())
     if r["all"] and 0 < r["pos"] < r["all"]:
         w[num_features] = float(np.log(r["pos"] / (r["all"] - r["pos"])))
     m = np.zeros_like(w)
@@ -210,16 +238,17 @@ def train_epochs(train: DataFrame, val: DataFrame, text_col: str = "text", label
     wait = 0
     log: list[EpochRecord] = []
     try:
+        g, tl, tn, _, _ = _epoch_sums(data, w, num_features)
         for epoch in range(max_epochs):
-            g, tl, tn = _epoch_sums(tr, w, num_features, True)
-            g = g / max(tn, 1.0) + weight_decay * w
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
+            step = g / max(tn, 1.0) + weight_decay * w
+            m = b1 * m + (1 - b1) * step
+            v = b2 * v + (1 - b2) * step * step
             mh = m / (1 - b1 ** (epoch + 1))
             vh = v / (1 - b2 ** (epoch + 1))
             w = w - lr * mh / (np.sqrt(vh) + eps)
-            _, vl, vn = _epoch_sums(va, w, num_features, False)
-            val_loss = vl / max(vn, 1.0)
+            train_loss = tl / max(tn, 1.0)          # at the weights the epoch started from
+            g, tl, tn, vl, vn = _epoch_sums(data, w, num_features)
+            val_loss = vl / max(vn, 1.0)            # after the epoch's update
             if val_loss < best_loss:
                 best_loss, best_w = val_loss, w.copy()
             improved = val_loss < best_monitor - min_delta
@@ -228,15 +257,14 @@ def train_epochs(train: DataFrame, val: DataFrame, text_col: str = "text", label
             else:
                 wait += 1
             stop = wait >= patience
-            rec = EpochRecord(epoch, tl / max(tn, 1.0), val_loss, best_loss, improved, wait, stop)
+            rec = EpochRecord(epoch, train_loss, val_loss, best_loss, improved, wait, stop)
             log.append(rec)
             if on_epoch:
                 on_epoch(rec)
             if stop:
                 break
     finally:
-        tr.unpersist()
-        va.unpersist()
+        data.unpersist()
     return HashedLogistic(num_features, best_w), log
 
 

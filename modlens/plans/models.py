@@ -8,6 +8,7 @@ early stopping stops where the rule says).
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from modlens.operators import evaluate as ev
 from modlens.operators import ml
 from modlens.operators import sampling as smp
 from modlens.plans import inputs as I
-from modlens.session import scratch_path
+from modlens.session import checkpoint_root, scratch_path
 from modlens.sources import files
 from modlens.sources.tables import table
 
@@ -53,6 +54,16 @@ def _fit(spark, sf_dir):
     return model, data
 
 
+def _checkpointed(spark, sf_dir):
+    """The fitted text model as saved in this application's checkpoint folder
+    (fit and saved on first use), the way evaluation loads the best checkpoint."""
+    tag = hashlib.md5(repr((sf_dir.rstrip("/"), TEXT_FEATURES, TEXT_REG, TEXT_MIN_DOC_FREQ,
+                            POS_WEIGHT, I.SEED)).encode()).hexdigest()[:16]
+    path = f"{checkpoint_root(spark).rstrip('/')}/modlens-models/text-{tag}"
+    model = ml.fit_or_load(path, lambda: _fit(spark, sf_dir)[0])
+    return model, split_labeled(spark, sf_dir), path
+
+
 @_register("ml_fit_text")
 def ml_fit_text(spark, sf_dir):
     """Per split: rows, model log-loss and the constant base-rate log-loss."""
@@ -69,14 +80,14 @@ def ml_fit_text(spark, sf_dir):
 
 @_register("ml_score")
 def ml_score(spark, sf_dir):
-    model, data = _fit(spark, sf_dir)
+    model, data, _ = _checkpointed(spark, sf_dir)
     return ml.score(model, data.where(F.col("split") == "test"), "doc_id", "label")
 
 
 @_register("ml_test_metrics")
 def ml_test_metrics(spark, sf_dir):
     """Test pass: BCE loss plus accuracy / precision / recall / F1."""
-    model, data = _fit(spark, sf_dir)
+    model, data, _ = _checkpointed(spark, sf_dir)
     s = ml.score(model, data.where(F.col("split") == "test"), "doc_id", "label")
     a = s.agg(F.avg(ev.bce_with_logits("label", "logit")).alias("loss"),
               *ev.confusion_aggs("label", "pred"))
@@ -85,7 +96,7 @@ def ml_test_metrics(spark, sf_dir):
 
 @_register("ml_checkpoint_reload")
 def ml_checkpoint_reload(spark, sf_dir):
-    """Save the fitted pipeline, load it back, score the test split with both."""
+    """Fit the pipeline, save it, load it back, and score the test split with both."""
     model, data = _fit(spark, sf_dir)
     path = ml.save_model(model, scratch_path(spark, "text_model"))
     reloaded = ml.load_model(path)
