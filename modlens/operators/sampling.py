@@ -65,12 +65,14 @@ def sorted_rank(df: DataFrame, order_cols: Sequence[Column], rank_col: str = "ra
     pid = F.shiftright(F.col("_mid"), 33)
     sizes = {r["p"]: r["c"] for r in
              ordered.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    offsets, acc = {}, 0
-    for p in sorted(sizes):
-        offsets[p] = acc
-        acc += sizes[p]
+    # partition ids are 0..P-1, so the offsets are an array indexed by id (O(1) per row)
+    offsets, acc = [], 0
+    for p in range(max(sizes) + 1 if sizes else 0):
+        offsets.append(acc)
+        acc += sizes.get(p, 0)
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    off = F.element_at(_literal_map(offsets), pid) if offsets else F.lit(0)
+    off = (F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), (pid + 1).cast("int"))
+           if offsets else F.lit(0))
     return ordered.withColumn(rank_col, (off + local + 1).cast("bigint")).drop("_mid")
 
 
@@ -117,11 +119,35 @@ def _class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
+INLINE_MAX_CLASSES = 64
+
+
 def _literal_map(d: Mapping) -> Column:
     return F.create_map(*[x for k, v in sorted(d.items(), key=lambda kv: (kv[0] is None, kv[0]))
                           if k is not None for x in (F.lit(k), F.lit(v))])
 
 
+def with_class_values(df: DataFrame, label: str, values: Mapping, out_cols: Sequence[str]) -> DataFrame:
+    """Attach per-class values ``{class: (v1, v2, ...)}`` as columns.
+
+    Few classes: literal maps, evaluated in place. More classes (at most
+    MAX_CLASSES, checked when the counts were taken): a broadcast join with
+    the per-class table, whose size is bounded by that check.
+    """
+    items = {k: (v if isinstance(v, tuple) else (v,)) for k, v in values.items() if k is not None}
+    if len(items) <= INLINE_MAX_CLASSES:
+        out = df
+        for i, c in enumerate(out_cols):
+            out = out.withColumn(c, F.element_at(_literal_map({k: v[i] for k, v in items.items()}),
+                                                 F.col(label)))
+        return out
+    spark = df.sparkSession
+    ltype = df.schema[label].dataType.simpleString()
+    rows = [(k, *[float(x) for x in v]) for k, v in items.items()]
+    table = spark.createDataFrame(rows, f"`{label}` {ltype}, " + ", ".join(f"`{c}` double" for c in out_cols))
+    return df.join(F.broadcast(table), label, "left")
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int = DEFAULT_SEED,
                      test_size: float = 0.2, test_share: float = 0.5,
                      split_col: str = "split", digits: int | None = None) -> DataFrame:
@@ -134,16 +160,15 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
     if None in counts:
         raise ValueError(f"NULL {label!r} cannot be stratified")
     q = split_quotas(counts, test_size, test_share)
-    train_max = _literal_map({c: n - h for c, (n, h, t) in q.items()})
-    val_max = _literal_map({c: n - t for c, (n, h, t) in q.items()})
     d = digits or bucket_digits(sum(counts.values()))
     ranked = bucketed_rank(df, md5_hex(F.col(key), seed), key, [label], "_rank", d)
-    lab = F.col(label)
+    ranked = with_class_values(ranked, label, {c: (n - h, n - t) for c, (n, h, t) in q.items()},
+                               ["_train_max", "_val_max"])
     return (ranked.withColumn(split_col,
-                              F.when(F.col("_rank") <= F.element_at(train_max, lab), "train")
-                              .when(F.col("_rank") <= F.element_at(val_max, lab), "val")
+                              F.when(F.col("_rank") <= F.col("_train_max"), "train")
+                              .when(F.col("_rank") <= F.col("_val_max"), "val")
                               .otherwise("test"))
-            .drop("_rank"))
+            .select(*[F.col(f"`{c}`") for c in df.columns], split_col))
 
 
 def sample_per_group(df: DataFrame, group_cols: Sequence[str], n: int, key: str,
@@ -167,8 +192,7 @@ def class_weights(df: DataFrame, label: str = "label", weight_col: str = "weight
     """Per-row weight 1 / (rows of its class). Class counts are few (checked), so
     they travel as a literal map: no join, no shuffle of the rows."""
     counts = _class_counts(df, label)
-    w = _literal_map({c: 1.0 / n for c, n in counts.items() if c is not None})
-    return df.withColumn(weight_col, F.element_at(w, F.col(label)))
+    return with_class_values(df, label, {c: 1.0 / n for c, n in counts.items()}, [weight_col])
 
 
 def poisson_cdf(lam: float, cut: int = POISSON_CUT) -> list[float]:

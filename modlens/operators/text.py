@@ -27,18 +27,34 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1) -> Dat
     return ranked.select("token", "n", (F.col("_r") + F.lit(FIRST_WORD_ID - 1)).alias("id"))
 
 
+HEAD_SIZE = 100_000
+
+
 def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
-                 max_len: int = 128) -> DataFrame:
+                 max_len: int = 128, head_size: int = HEAD_SIZE) -> DataFrame:
     """(key, input_ids, attention_mask): [BOS] + ids + [EOS], truncated right and
-    padded with PAD to ``max_len``; mask is 1 on non-pad positions."""
+    padded with PAD to ``max_len``; mask is 1 on non-pad positions.
+
+    Frequent words are hot join keys (one word may be a third of all tokens).
+    Ids rank words by frequency, so the ``head_size`` most frequent words are a
+    bounded table: it is broadcast and resolves the hot tokens map-side. Only
+    the remaining (rarer) tokens are joined to the rest of the vocabulary
+    through a shuffle; resolved rows get a spread-out key that matches nothing.
+    """
     body = max_len - 2
     toks = F.slice(tokens(F.col(text_col)), 1, body)
     # explode_outer keeps texts without tokens, so no join back to the keys is needed
     exploded = spread(df.select(key, text_col), key).select(key, F.posexplode_outer(toks).alias("pos", "token"))
+    head = vocab.where(F.col("id") < FIRST_WORD_ID + head_size).select("token", F.col("id").alias("_hid"))
+    tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select(
+        F.col("token").alias("_jk"), F.col("id").alias("_tid"))
+    step1 = exploded.join(F.broadcast(head), "token", "left")
+    jk = F.when(F.col("_hid").isNull(), F.col("token")).otherwise(
+        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string")))
+    step2 = step1.withColumn("_jk", jk).join(tail, "_jk", "left")
     entry = F.when(F.col("pos").isNotNull(),
-                   F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    base = (exploded.join(vocab.select("token", "id"), "token", "left")
-            .groupBy(key)
+                   F.struct("pos", F.coalesce("_hid", "_tid", F.lit(UNK)).alias("id")))
+    base = (step2.groupBy(key)
             .agg(F.array_sort(F.collect_list(entry)).alias("_p")))
     word_ids = F.transform(F.col("_p"), lambda s: s["id"].cast("int"))
     seq = F.concat(F.array(F.lit(BOS)), word_ids, F.array(F.lit(EOS)))

@@ -96,3 +96,13 @@ def test_batches_fixed_size(spark):
     df = spark.range(130).select(F.col("id").alias("k"))
     b = {r["batch_id"]: r["count"] for r in smp.batches(df, "k", 64).groupBy("batch_id").count().collect()}
     assert b == {0: 64, 1: 64, 2: 2}
+
+
+def test_many_classes_use_the_join_path(spark):
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 100).alias("label"))
+    out = smp.stratified_split(df, "k", "label")
+    assert out.columns == ["k", "label", "split"]
+    per = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert per == {"train": 1600, "val": 200, "test": 200}
+    w = smp.class_weights(df)
+    assert {round(r["weight"], 12) for r in w.collect()} == {0.05}

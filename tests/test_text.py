@@ -41,3 +41,11 @@ def test_truncation_profile(spark):
     r = txt.truncation_profile(df, max_len=5).first()
     assert (r["n_docs"], r["p50"], r["max_tokens"]) == (3, 3, 5)
     assert abs(r["share_truncated"] - 1 / 3) < 1e-12
+
+
+def test_head_and_tail_vocab_paths_agree(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    vocab = txt.vocabulary(docs)
+    a = txt.encode_fixed(docs, vocab, "doc_id", "text", max_len=64)
+    b = txt.encode_fixed(docs, vocab, "doc_id", "text", max_len=64, head_size=3)
+    assert a.count() == docs.count() and a.exceptAll(b).count() == 0
