@@ -225,13 +225,15 @@ def kde_grid(df: DataFrame, col: str, grid_points: int = 50, fine_bins: int = 20
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, value, n) for several small categorical columns: the long form of
-    ``dict(zip(*np.unique(x, return_counts=True)))`` per column."""
-    parts = None
-    for c in columns:
-        p = (df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit(c).alias("variable"), F.col("value").cast("bigint").alias("value"), "n"))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    ``dict(zip(*np.unique(x, return_counts=True)))`` per column.
+
+    One scan: each row yields one (variable, value) pair per column through a
+    generator, and a single partial/final aggregate counts them.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("bigint").alias("value"))
+                      for c in columns])
+    return (df.select(F.inline(pairs)).groupBy("variable", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def counts_as_map(long: DataFrame, group: str = "variable", value: str = "value", n: str = "n") -> DataFrame:

@@ -27,15 +27,45 @@ POISSON_CUT = 40          # inverse-CDF multiplicity is at most this on the CDF
 POISSON_DIRECT_ABOVE = 10.0
 
 
+MIN_DIGITS, MAX_DIGITS = 3, 8
+UNKNOWN_SIZE_DIGITS = 5   # 2^20 buckets: about 1M rows each at 10^12 rows
+COARSE_DIGITS = 2
+
+
 def bucket_digits(n_rows: int | None, rows_per_bucket: int = 1 << 20) -> int:
-    """Hex digits of the md5 bucket: at least 3 (4096 buckets), more as rows grow."""
-    if not n_rows:
-        return 3
-    return max(3, min(12, math.ceil(math.log(max(n_rows / rows_per_bucket, 1), 16)) + 3))
+    """Hex digits of the md5 bucket so that a bucket holds about ``rows_per_bucket``
+    rows: 3 (4096 buckets) up to ~4 billion rows, one more per 16x beyond.
+    Unknown size: 5 digits (2^20 buckets)."""
+    if n_rows is None:
+        return UNKNOWN_SIZE_DIGITS
+    need = math.ceil(math.log(max(n_rows / rows_per_bucket, 1), 16))
+    return max(MIN_DIGITS, min(MAX_DIGITS, need))
+
+
+def _bucket_offsets(counts: DataFrame, g: list[str], digits: int) -> DataFrame:
+    """(group, _b, _off): rows in earlier buckets of the same group.
+
+    Prefix sums in two levels so no window holds more than 16^(digits-2)
+    count rows: coarse buckets (first two hex digits, at most 256 per group)
+    get offsets in one small window per group; fine buckets get offsets inside
+    their coarse bucket, one window partition per (group, coarse bucket).
+    """
+    before = Window.unboundedPreceding, -1
+    if digits <= MIN_DIGITS:
+        w = Window.partitionBy(*g).orderBy("_b").rowsBetween(*before)
+        return counts.select(*g, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    fine = counts.withColumn("_c", F.substring("_b", 1, COARSE_DIGITS))
+    coarse = fine.groupBy(*g, "_c").agg(F.sum("_n").alias("_cn"))
+    w_c = Window.partitionBy(*g).orderBy("_c").rowsBetween(*before)
+    coarse_off = coarse.select(*g, "_c", F.coalesce(F.sum("_cn").over(w_c), F.lit(0)).alias("_coff"))
+    w_f = Window.partitionBy(*g, "_c").orderBy("_b").rowsBetween(*before)
+    fine_off = fine.select(*g, "_c", "_b", F.coalesce(F.sum("_n").over(w_f), F.lit(0)).alias("_foff"))
+    return (fine_off.join(coarse_off, [*g, "_c"], "inner")
+            .select(*g, "_b", (F.col("_coff") + F.col("_foff")).alias("_off")))
 
 
 def bucketed_rank(df: DataFrame, order_hash: Column, key: str, group_cols: Sequence[str] = (),
-                  rank_col: str = "rank", digits: int = 3) -> DataFrame:
+                  rank_col: str = "rank", digits: int = MIN_DIGITS) -> DataFrame:
     """1-based rank inside ``group_cols`` by (order_hash, key), exact and skew-free.
 
     Equals ``row_number() over (partition by group order by order_hash, key)``.
@@ -43,8 +73,7 @@ def bucketed_rank(df: DataFrame, order_hash: Column, key: str, group_cols: Seque
     g = list(group_cols)
     h = df.withColumn("_h", order_hash).withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    offsets = _bucket_offsets(counts, g, digits)
     w = Window.partitionBy(*g, "_b").orderBy("_h", key)
     return (h.join(offsets, [*g, "_b"], "inner")
             .withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
@@ -236,14 +265,18 @@ def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: in
 
 
 def shuffle_order(df: DataFrame, key: str, epoch: int = 0, seed: int = DEFAULT_SEED,
-                  pos_col: str = "pos", digits: int = 3) -> DataFrame:
+                  pos_col: str = "pos", digits: int | None = None,
+                  n_rows: int | None = None) -> DataFrame:
     """Reshuffle for an epoch: 1-based position by md5(seed:epoch:key), exact and
-    partition-independent (bucketed rank; no single-partition sort)."""
-    return bucketed_rank(df, md5_hex(seed, epoch, F.col(key)), key, (), pos_col, digits)
+    partition-independent (bucketed rank; no single-partition sort). Buckets
+    are sized from ``n_rows`` when the caller knows it, else 2^20 buckets."""
+    d = digits or bucket_digits(n_rows)
+    return bucketed_rank(df, md5_hex(seed, epoch, F.col(key)), key, (), pos_col, d)
 
 
 def batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0, seed: int = DEFAULT_SEED,
-            batch_col: str = "batch_id", pos_col: str = "pos", digits: int = 3) -> DataFrame:
+            batch_col: str = "batch_id", pos_col: str = "pos", digits: int | None = None,
+            n_rows: int | None = None) -> DataFrame:
     """Fixed-size batches in shuffled order; the last batch may be short."""
-    ordered = shuffle_order(df, key, epoch, seed, pos_col, digits)
+    ordered = shuffle_order(df, key, epoch, seed, pos_col, digits, n_rows)
     return ordered.withColumn(batch_col, F.floor((F.col(pos_col) - 1) / F.lit(batch_size)).cast("bigint"))

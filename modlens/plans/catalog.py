@@ -235,11 +235,14 @@ def err_cell_filter(spark, sf_dir):
     return ev.with_confusion_cell(s, "label", "pred")
 
 
-def _confusion_samples(spark, sf_dir, pred_col="pred_lex"):
+def _cell_sample(spark, sf_dir, pred_col="pred_lex"):
     s = I.scored(spark, sf_dir).select("doc_id", "label", F.col(pred_col).alias("pred"))
     cells = ev.with_confusion_cell(s, "label", "pred")
-    sample = smp.sample_per_group(cells, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
-    sample = I.attach_text(spark, sf_dir, sample, 4 * I.SAMPLES_PER_CELL)
+    return smp.sample_per_group(cells, ["cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED, rank_col="_rn")
+
+
+def _confusion_samples(spark, sf_dir, pred_col="pred_lex"):
+    sample = I.attach_text(spark, sf_dir, _cell_sample(spark, sf_dir, pred_col), 4 * I.SAMPLES_PER_CELL)
     out = smp.renumber(sample, [_cell_order(), F.col("_rn")], "row_id")
     return out.select("row_id", "cell", "doc_id", "text", "label", "pred")
 
@@ -274,7 +277,8 @@ def err_disagreement_samples(spark, sf_dir):
 def set_union_tagged(spark, sf_dir):
     parts = []
     for name, col in (("lexicon", "pred_lex"), ("logistic", "pred_lm")):
-        s = _confusion_samples(spark, sf_dir, col)
+        # the report has no text column, so no documents fetch for the sample
+        s = _cell_sample(spark, sf_dir, col)
         parts.append(s.select(F.lit(name).alias("classifier"), "cell", "doc_id", "label", "pred"))
     return parts[0].unionByName(parts[1])
 

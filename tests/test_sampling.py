@@ -57,6 +57,26 @@ def test_bucketed_rank_equals_window(spark):
     assert fast.exceptAll(naive).count() == 0 and fast.count() == 5000
 
 
+def test_two_level_offsets_equal_window(spark):
+    df = _labelled(spark, 4000, 3)
+    h = md5_hex(F.col("k"), 7)
+    w = Window.partitionBy("label").orderBy(h, F.col("k"))
+    naive = df.withColumn("r", F.row_number().over(w).cast("bigint"))
+    for d in (4, 5):
+        fast = smp.bucketed_rank(df, h, "k", ["label"], "r", digits=d)
+        assert fast.exceptAll(naive).count() == 0 and fast.count() == 4000
+    pos = smp.shuffle_order(df.select("k"), "k", epoch=2)  # size unknown: 2^20 buckets
+    assert sorted(r["pos"] for r in pos.collect()) == list(range(1, 4001))
+
+
+def test_bucket_digits_scale_with_rows():
+    assert smp.bucket_digits(10_000) == 3
+    assert smp.bucket_digits(4_000_000_000) == 3
+    assert smp.bucket_digits(10 ** 12) == 5       # ~1M rows per bucket
+    assert smp.bucket_digits(10 ** 18) == 8
+    assert smp.bucket_digits(None) == 5
+
+
 def test_sorted_rank_is_dense_and_ordered(spark):
     df = spark.range(3000).select((F.col("id") % 17).alias("n"), F.col("id").cast("string").alias("t"))
     ranked = smp.sorted_rank(df, [F.col("n").desc(), F.col("t")], "r").collect()
