@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,25 +44,27 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "
                         min_doc_freq: int = 3, max_iter: int = 30) -> PipelineModel:
     """Binary text classifier with positive-class weight and L2 penalty.
 
-    The training rows are persisted for the fit (IDF and the optimizer each
-    pass over them) and released afterwards.
+    Texts are tokenised and hashed once; only the sparse term vectors, label
+    and weight are persisted for the fit (IDF and the optimizer each pass over
+    them), never the raw text, and they are released afterwards. The stages
+    are assembled into one ``PipelineModel`` that scores raw text.
     """
     if num_features > MAX_HASH_FEATURES:
         raise ValueError(f"num_features above {MAX_HASH_FEATURES}")
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
-                       toLowercase=True, minTokenLength=1),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features, binary=True),
-        IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_doc_freq),
-        LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w",
-                           regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
-                           probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"),
-    ])
-    data = spread(_with_weight(train, label, pos_weight)).persist()
+    tokenizer = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
+                               toLowercase=True, minTokenLength=1)
+    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features, binary=True)
+    rows = spread(_with_weight(train, label, pos_weight).select(text_col, label, "_w"))
+    feats = tf.transform(tokenizer.transform(rows)).select("_tf", label, "_w").persist()
     try:
-        return pipe.fit(data)
+        idf = IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_doc_freq).fit(feats)
+        lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w",
+                                regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
+                                probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
+        head = lr.fit(idf.transform(feats))
     finally:
-        data.unpersist()
+        feats.unpersist()
+    return PipelineModel(stages=[tokenizer, tf, idf, head])
 
 
 def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:
