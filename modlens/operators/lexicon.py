@@ -73,12 +73,33 @@ def _could_match(keys: Sequence[str], text_col: str, lang_col: str) -> Column:
     return F.coalesce(gate, F.lit(False))
 
 
+_INLINE_CACHE: dict = {}
+_INLINE_CACHE_MAX = 32
+
+
 def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFrame:
+    matched, result = _inline_columns(df.sparkSession, rows, text_col, lang_col)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    return df.withColumn("_matched", matched).select(*keep, result)
+
+
+def _inline_columns(spark: SparkSession, rows, text_col: str, lang_col: str) -> tuple[Column, Column]:
+    """The match column and the result generator for a bounded lexicon.
+
+    Columns are immutable expressions, so they are built once per lexicon and
+    application and reused by every query that scores with that lexicon.
+    """
+    entries = tuple(sorted(((r["lang"], r["term"], r["category"]) for r in rows),
+                           key=lambda e: (e[0], e[1], e[2] is None, e[2] or "")))
+    sig = (spark.sparkContext.applicationId, text_col, lang_col, entries)
+    hit = _INLINE_CACHE.get(sig)
+    if hit is not None:
+        return hit
     cats: dict[str, set[str]] = defaultdict(set)
-    for r in rows:
-        k = f"{r['lang']}{_SEP}{r['term']}"
-        if r["category"] is not None:
-            cats[k].add(r["category"])
+    for lang_v, term, category in entries:
+        k = f"{lang_v}{_SEP}{term}"
+        if category is not None:
+            cats[k].add(category)
         else:
             cats.setdefault(k, set())
     keys = sorted(cats)
@@ -93,7 +114,6 @@ def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFram
         matched = empty
     cat_map = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.lit(c) for c in sorted(cats[k])]).cast("array<string>"))]) \
         if keys else None
-    out = df.withColumn("_matched", matched)
     terms = F.array_sort(F.array_distinct(F.col("_matched")))
     if cat_map is not None:
         categories = F.array_sort(F.array_distinct(F.flatten(F.transform(
@@ -108,8 +128,10 @@ def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFram
     result = F.inline(F.array(F.struct(F.size("_matched").cast("bigint").alias("hits"),
                                        terms.alias("matched_terms"),
                                        categories.alias("categories"))))
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    return out.select(*keep, result)
+    if len(_INLINE_CACHE) >= _INLINE_CACHE_MAX:
+        _INLINE_CACHE.clear()
+    _INLINE_CACHE[sig] = (matched, result)
+    return matched, result
 
 
 def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang_col: str,
