@@ -235,23 +235,32 @@ def poisson_cdf(lam: float, cut: int = POISSON_CUT) -> list[float]:
     return out
 
 
+COPY_CHUNK = 1 << 16
+
+
 def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: int | None = None,
-                      seed: int = DEFAULT_SEED, copy_col: str = "copy") -> DataFrame:
+                      seed: int = DEFAULT_SEED, copy_col: str = "copy",
+                      copy_chunk: int = COPY_CHUNK) -> DataFrame:
     """Class-balanced resample with replacement (weight 1/class count, N draws).
 
     Each row is repeated k ~ Poisson(N / (K * n_c)) times, k drawn by inverse
     CDF from md5(key:seed), cut at 40. For a rate above 10 (a rare class)
     k = floor(rate) + (u < frac(rate)). The total is N in expectation, not exactly.
-    Map-only after one small class-count job; copies per key stay bounded.
+
+    Map-only after one small class-count job while every rate is at most
+    ``copy_chunk``. A very rare class (one row may then owe a third of all
+    draws) is expanded in two steps instead: its rows become chunks of at
+    most ``copy_chunk`` copies, the chunks are shuffled over the cluster, and
+    each task expands its own chunks, so no task emits one row's copies alone.
     """
     counts = _class_counts(df, label)
     n = n_draws if n_draws is not None else sum(counts.values())
     k_classes = len(counts)
+    rates = {c: n / (k_classes * nc) for c, nc in counts.items() if c is not None}
     u = md5_uniform(F.col(key), seed)
     lab = F.col(label)
-    k = F.lit(0)
-    for c, nc in sorted(counts.items(), key=lambda kv: kv[0]):
-        lam = n / (k_classes * nc)
+    k = F.lit(0).cast("bigint")
+    for c, lam in sorted(rates.items(), key=lambda kv: kv[0]):
         if lam > POISSON_DIRECT_ABOVE:
             fl = math.floor(lam)
             kc = F.lit(fl) + F.when(u < F.lit(lam - fl), 1).otherwise(0)
@@ -259,9 +268,26 @@ def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: in
             cdf = F.array(*[F.lit(p) for p in poisson_cdf(lam)])
             kc = F.size(F.filter(cdf, lambda p: p <= u))
         k = F.when(lab == F.lit(c), kc).otherwise(k)
-    with_k = df.withColumn("_k", k.cast("int")).where(F.col("_k") > 0)
-    return (with_k.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("_k"))))
-            .drop("_k"))
+    copy_type = "int" if max(rates.values(), default=0.0) < 2 ** 31 - 2 else "bigint"
+    with_k = df.withColumn("_k", k.cast("bigint")).where(F.col("_k") > 0)
+    one = F.lit(1).cast("bigint")
+
+    def expand(frame: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        return (frame.withColumn(copy_col, F.explode(F.sequence(lo.cast(copy_type), hi.cast(copy_type))))
+                .drop("_k", "_c"))
+
+    heavy = sorted(c for c, lam in rates.items() if lam > copy_chunk)
+    if not heavy:
+        return expand(with_k, one, F.col("_k"))
+    is_heavy = lab.isin(heavy)
+    light = expand(with_k.where(~is_heavy), one, F.col("_k"))
+    step = F.lit(copy_chunk).cast("bigint")
+    chunks = (with_k.where(is_heavy)
+              .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                     F.floor((F.col("_k") - 1) / step).cast("bigint"))))
+              .repartition(key, "_c"))
+    spread_rows = expand(chunks, F.col("_c") * step + 1, F.least(F.col("_c") * step + step, F.col("_k")))
+    return light.unionByName(spread_rows)
 
 
 def shuffle_order(df: DataFrame, key: str, epoch: int = 0, seed: int = DEFAULT_SEED,

@@ -112,6 +112,16 @@ def test_balanced_resample_balances_classes(spark):
     assert out.exceptAll(again).count() == 0
 
 
+def test_rare_class_copies_are_chunked_and_complete(spark):
+    df = _labelled(spark, 1000, 1000)          # key 0 is the only positive: rate 500
+    plain = smp.balanced_resample(df, "k", "label", copy_chunk=1 << 16)
+    chunked = smp.balanced_resample(df, "k", "label", copy_chunk=64)
+    assert "Exchange" in chunked._jdf.queryExecution().executedPlan().toString()
+    assert plain.exceptAll(chunked).count() == 0 and chunked.exceptAll(plain).count() == 0
+    copies = sorted(r["copy"] for r in chunked.where(F.col("k") == 0).collect())
+    assert copies == list(range(1, 501))
+
+
 def test_batches_fixed_size(spark):
     df = spark.range(130).select(F.col("id").alias("k"))
     b = {r["batch_id"]: r["count"] for r in smp.batches(df, "k", 64).groupBy("batch_id").count().collect()}
