@@ -209,8 +209,10 @@ def channel_search(df: DataFrame, query: Mapping[str, Sequence[str]],
         if not clean:
             continue
         grams = _all_grams(toks, _gram_sizes(clean))
-        hit = (F.col(lang_col) == F.lit(lang)) & F.arrays_overlap(
-            grams, F.array(*[F.lit(t) for t in clean]))
+        # exact gate first (language, and a term word in the lower-cased text), so
+        # posts that cannot match are never tokenised; And short-circuits
+        gate = _could_match([f"{lang}{_SEP}{t}" for t in clean], text_col, lang_col)
+        hit = gate & F.arrays_overlap(grams, F.array(*[F.lit(t) for t in clean]))
         cond = hit if cond is None else (cond | hit)
     if cond is None:
         cond = F.lit(False)
