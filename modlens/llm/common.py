@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from modlens.session import checkpoint_root, scratch_path
 
@@ -16,6 +19,12 @@ FILTER_BITS = 25
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of ``sf_dir``. Python workers find this package where the driver did, so a local session
+    may be started from any folder; clusters get it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -27,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, others: list[str], added: str) -> StructType:
+    """The schema of the columns ``others`` followed by the fields of a DDL string."""
+    return StructType([df.schema[c] for c in others] + StructType.fromDDL(added).fields)
+
+
 def cut(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -113,8 +127,8 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, counts
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of one text's words (A-Z lowered), in pieces so that a very long text stays bounded."""
+def long_text_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of one long text's words, hashed in pieces so that memory stays bounded."""
     out, a = [], 0
     while a < len(data):
         b = min(a + SLICE_BYTES, len(data))
@@ -127,23 +141,25 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
                     b += 1
         piece = LOWER[data[a:b]]
         s, e, _ = words(piece, np.array([0, len(piece)]))
-        out.append(span_hashes(piece, s, e))
+        out.append((s + a, e + a, span_hashes(piece, s, e)))
         a = b
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def text_words(col: pa.Array):
-    """For each slice of rows: (first row, word hashes of all rows, word counts per row)."""
+    """For each slice of rows: (first row, bytes, word starts, word ends, word hashes, words per row).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, hashed with A-Z lowered; starts and ends are places in bytes."""
     raw, offs = utf8(col)
     for a, b in slices(offs):
         data = raw[offs[a]:offs[b]]
         if b == a + 1 and len(data) > SLICE_BYTES:
-            h = word_hashes(data)
-            yield a, h, np.array([len(h)])
+            s, e, h = long_text_words(data)
+            yield a, data, s, e, h, np.array([len(h)])
         else:
             low = LOWER[data]
             s, e, n = words(low, offs[a:b + 1] - offs[a])
-            yield a, span_hashes(low, s, e), n
+            yield a, data, s, e, span_hashes(low, s, e), n
 
 
 def key_filter(df: DataFrame, key: Column, bits: int = FILTER_BITS) -> np.ndarray:

@@ -41,7 +41,7 @@ MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64)) for i in range(64
 
 def row_sets(col, words: int):
     """(row, sorted distinct shingle hashes) of every text of an Arrow column."""
-    for first, h, counts in text_words(col):
+    for first, _, _, _, h, counts in text_words(col):
         grams = None
         if len(h) >= words:
             m = len(h) - words + 1
