@@ -13,7 +13,7 @@ the input grows, and there are as many tables as give a pair at the threshold 97
 Rerank. A bucket's original vectors are compared by cosine in double precision, in tiles of at most
 ``TILE`` by ``TILE`` rows, so a bucket of any size is split over tasks; no pair leaves a tile. A tile
 gives each vector its number of links that no earlier table has seen, and its smallest partner in
-the tile's components. Equal vectors are one row with a count.
+the tile's components. Vectors of equal direction (in single precision) are one row with a count.
 
 Nulls and ties: vectors that are null, zero, hold null or non-finite components, have another length
 than the sample's most common one, or have no label link with nothing and are kept; a row without an
@@ -68,7 +68,7 @@ class Quantiser:
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """(rows, bits) of 0 and 1."""
-        return ((unit - self.mean) @ self.project >= 0).astype(np.uint8)
+        return ((unit - self.mean) @ self.project >= -1e-9).astype(np.uint8)  # equal directions, equal codes
 
 
 def tables(bits: int, n: int, cosine: float, seed: int = 2) -> list[np.ndarray]:
@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             code = np.packbits(quantiser.codes(unit), axis=1) if pairs else np.empty((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take),
-                 pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v, _ in pairs], pa.binary()),
+                 pa.array([xxhash.xxh3_128_digest((u.astype(np.float32) + 0).tobytes()) for u in unit], pa.binary()),
                  pa.array([v.tobytes() for v, _ in pairs], pa.binary()),
                  pa.array([c.tobytes() for c in code], pa.binary())], ["id", "label", "same", "v", "code"])
 
