@@ -79,8 +79,9 @@ def numeric_guard(c: str | Column) -> Column:
 
 
 def fill_cast(c: str | Column, dtype: str = "int", fill=0) -> Column:
-    """``fillna(fill).astype(dtype)``."""
-    return F.coalesce(_col(c), F.lit(fill)).cast(dtype)
+    """``fillna(fill).astype(dtype)``; NaN counts as missing."""
+    x = _col(c)
+    return F.coalesce(F.when(~F.isnan(x), x), F.lit(fill)).cast(dtype)
 
 
 def split_words(c: str | Column, lower: bool = True, pattern: str = WHITESPACE_SPLIT) -> Column:

@@ -16,15 +16,23 @@ from pyspark.sql.types import NumericType, StringType
 
 from modlens.functions.columns import split_words
 
-MAX_ONEHOT_CATEGORIES = 1000
+#: A discovered category becomes a column: more than this many want the long form, or ``categories=``.
+MAX_DISCOVERED = 1000
 
 
-def profile_counts(df: DataFrame, id_col: str) -> DataFrame:
-    """Row count and distinct-id count, NULL counted as one value."""
+def profile_counts(df: DataFrame, id_col: str, approx: bool = False) -> DataFrame:
+    """Row count and distinct-id count, NULL counted as one value.
+
+    Strings are counted by their 128-bit digest, so texts don't cross the shuffle;
+    ``approx`` counts with a HyperLogLog sketch instead (no distinct shuffle at all).
+    """
+    c = F.col(id_col)
+    if isinstance(df.schema[id_col].dataType, StringType):
+        c = F.unhex(F.md5(c.cast("binary")))
+    distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        (F.count_distinct(F.col(id_col))
-         + F.max(F.col(id_col).isNull().cast("int"))).cast("bigint").alias("n_distinct"),
+        (distinct + F.coalesce(F.max(F.col(id_col).isNull().cast("int")), F.lit(0))).cast("bigint").alias("n_distinct"),
     )
 
 
@@ -44,8 +52,8 @@ def class_share(df: DataFrame, label: str = "label", by: str = "split",
     """
     # grouping sets ((by, label), (label)): one scan, one aggregate
     agg = (df.where(F.col(label).isNotNull())
-           .cube(by, label).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
-           .where(F.col("_g").isin(0, 2)))
+           .groupingSets([(F.col(by), F.col(label)), (F.col(label),)], by, label)
+           .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")))
     both = agg.select(
         F.when(F.col("_g") == 2, F.lit(overall)).otherwise(F.col(by).cast("string")).alias(by),
         label, "n")
@@ -79,8 +87,10 @@ def multilabel_long(df: DataFrame, key: str, list_col: str, value_col: str = "ca
             .groupBy(key, value_col).agg(F.count(F.lit(1)).alias("n")))
 
 
-def discover_categories(df: DataFrame, list_col: str, limit: int = MAX_ONEHOT_CATEGORIES) -> list[str]:
-    """Distinct list values (one job); fails above ``limit``, never truncates."""
+def discover_categories(df: DataFrame, list_col: str, limit: int = MAX_DISCOVERED) -> list[str]:
+    """Distinct list values (one job), for a wide table whose categories the caller doesn't know.
+    Above ``limit`` it raises and never truncates: ``multilabel_long`` has no bound, and a given
+    ``categories`` list isn't checked against it."""
     rows = (df.select(F.explode(F.col(list_col)).alias("v")).distinct()
             .limit(limit + 1).collect())
     if len(rows) > limit:
@@ -223,6 +233,26 @@ def kde_grid(df: DataFrame, col: str, grid_points: int = 50, fine_bins: int = 20
                     (F.lit(g_lo) + F.col("grid") * F.lit(step)).alias("x"), "density"))
 
 
+def kde_exact(df: DataFrame, col: str, grid_points: int = 50) -> DataFrame:
+    """Gaussian kernel density on the same grid as ``kde_grid``, summed over every value: one pass with
+    one partial sum per grid point, nothing but those sums shuffled. Returns (grid, x, density)."""
+    n, lo, hi, sd = _score_stats(df, col)
+    spark = df.sparkSession
+    if n < 2 or not sd:
+        return spark.createDataFrame([], "grid int, x double, density double")
+    bw = sd * n ** (-0.2)
+    step = (hi - lo) / (grid_points - 1)
+    x = F.col(col)
+    points = [lo + i * step for i in range(grid_points)]
+    sums = df.where(x.isNotNull() & ~F.isnan(x)).agg(*[
+        F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(g) - x) / F.lit(bw), F.lit(2.0)))).alias(f"g{i}")
+        for i, g in enumerate(points)])
+    norm = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
+    rows = F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(g).alias("x"), (F.col(f"g{i}") * F.lit(norm)).alias("density"))
+                     for i, g in enumerate(points)])
+    return sums.select(F.inline(rows))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, value, n) for several small categorical columns: the long form of
     ``dict(zip(*np.unique(x, return_counts=True)))`` per column.
@@ -234,13 +264,3 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                       for c in columns])
     return (df.select(F.inline(pairs)).groupBy("variable", "value")
             .agg(F.count(F.lit(1)).alias("n")))
-
-
-def counts_as_map(long: DataFrame, group: str = "variable", value: str = "value", n: str = "n") -> DataFrame:
-    """(group, {value: n}) from the long form (the aggregated rows are few)."""
-    return long.groupBy(group).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(value), F.col(n))))).alias("counts"))
-
-
-def is_string(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, StringType)

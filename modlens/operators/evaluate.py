@@ -147,10 +147,10 @@ def disagreements(df: DataFrame, label: str, pred_a: str, pred_b: str, name_a: s
 
 
 def align_predictions(labels: DataFrame, preds: DataFrame, key: str,
-                      validate: bool = False) -> DataFrame:
+                      validate: bool = True) -> DataFrame:
     """Align labels and predictions on a key (never by position).
 
-    With ``validate`` one aggregate job per side checks the key is unique and
+    With ``validate`` (the default) one aggregate job per side checks the key is unique and
     both sides have the same key count; a mismatch raises.
     """
     if validate:

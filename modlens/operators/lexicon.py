@@ -5,6 +5,8 @@ words and is then matched as an n-gram of the post's tokens.
 
 Two physical forms, chosen by the (checked) lexicon size:
 
+Both give the same rows, also where a key repeats.
+
 * inline (default up to ``INLINE_MAX_TERMS`` terms): the lexicon is collected to
   the driver (bounded by the check) and compiled into a literal set; matching
   is an array filter per row. No explode, no shuffle: the scan, tokenizer and
@@ -17,6 +19,7 @@ Two physical forms, chosen by the (checked) lexicon size:
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -34,11 +37,18 @@ LEXICON_SCHEMA = "term string, category string, lang string"
 
 
 def lexicon_frame(spark: SparkSession, rows: Iterable[tuple[str, str | None, str]]) -> DataFrame:
-    """(term, category, lang) rows -> lexicon DataFrame (terms lower-cased, spaces normalised)."""
-    clean = [(" ".join(t.lower().split()), c, l) for t, c, l in rows]
+    """(term, category, lang) rows -> lexicon DataFrame. Terms go through the token rule of texts
+    (lower-cased, split at everything but letters and digits), so a punctuated or hyphenated
+    term is the n-gram of its parts; terms without a letter or digit are dropped."""
+    clean = [(term, c, l) for t, c, l in rows if (term := clean_term(t))]
     return spark.createDataFrame(clean, LEXICON_SCHEMA)
 
 
+def clean_term(term: str) -> str:
+    """The term as texts are tokenised: letter and digit runs, lower-cased, single-spaced."""
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in term.lower()).split())
+
+
 def _collect_bounded(lexicon: DataFrame, limit: int) -> list | None:
     rows = lexicon.select("term", "category", "lang").limit(limit + 1).collect()
     return None if len(rows) > limit else rows
@@ -73,28 +83,16 @@ def _could_match(keys: Sequence[str], text_col: str, lang_col: str) -> Column:
     return F.coalesce(gate, F.lit(False))
 
 
-_INLINE_CACHE: dict = {}
-_INLINE_CACHE_MAX = 32
-
-
 def _inline_match(df: DataFrame, rows, text_col: str, lang_col: str) -> DataFrame:
-    matched, result = _inline_columns(df.sparkSession, rows, text_col, lang_col)
+    matched, result = _inline_columns(rows, text_col, lang_col)
     keep = [F.col(f"`{c}`") for c in df.columns]
     return df.withColumn("_matched", matched).select(*keep, result)
 
 
-def _inline_columns(spark: SparkSession, rows, text_col: str, lang_col: str) -> tuple[Column, Column]:
-    """The match column and the result generator for a bounded lexicon.
-
-    Columns are immutable expressions, so they are built once per lexicon and
-    application and reused by every query that scores with that lexicon.
-    """
+def _inline_columns(rows, text_col: str, lang_col: str) -> tuple[Column, Column]:
+    """The match column and the result generator for a bounded lexicon."""
     entries = tuple(sorted(((r["lang"], r["term"], r["category"]) for r in rows),
                            key=lambda e: (e[0], e[1], e[2] is None, e[2] or "")))
-    sig = (spark.sparkContext.applicationId, text_col, lang_col, entries)
-    hit = _INLINE_CACHE.get(sig)
-    if hit is not None:
-        return hit
     cats: dict[str, set[str]] = defaultdict(set)
     for lang_v, term, category in entries:
         k = f"{lang_v}{_SEP}{term}"
@@ -128,30 +126,33 @@ def _inline_columns(spark: SparkSession, rows, text_col: str, lang_col: str) ->
     result = F.inline(F.array(F.struct(F.size("_matched").cast("bigint").alias("hits"),
                                        terms.alias("matched_terms"),
                                        categories.alias("categories"))))
-    if len(_INLINE_CACHE) >= _INLINE_CACHE_MAX:
-        _INLINE_CACHE.clear()
-    _INLINE_CACHE[sig] = (matched, result)
     return matched, result
 
 
 def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang_col: str,
                 n_terms: int) -> DataFrame:
-    lex = (lexicon.groupBy("lang", "term")
+    lex = (lexicon.groupBy("lang", F.array_join(tokens(F.col("term")), " ").alias("term"))
            .agg(F.array_sort(F.collect_set("category")).alias("cats")))
     # Distinct n-gram lengths present in the lexicon: a handful of small ints.
     sizes = sorted(int(r["n"]) for r in
                    lex.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
     grams = _all_grams(tokens(F.col(text_col)), sizes or [1])
-    exploded = df.select(F.col(key), F.col(lang_col).alias("_lang"), F.explode(grams).alias("_g"))
+    # A row is its key, language and text digest: a repeated key keeps each row's own hits, and
+    # equal rows (told apart by a number while exploded) share one result.
+    row = F.struct(F.col(key).alias("k"), F.col(lang_col).alias("l"),
+                   F.md5(F.col(text_col).cast("binary")).alias("t"))
+    numbered = df.select(row.alias("_row"), F.col(lang_col).alias("_lang"), grams.alias("_grams"),
+                         F.monotonically_increasing_id().alias("_nth"))
+    exploded = numbered.select("_row", "_nth", "_lang", F.explode("_grams").alias("_g"))
     lex_side = F.broadcast(lex) if n_terms <= BROADCAST_MAX_TERMS else lex
     matched = exploded.join(lex_side, (F.col("_lang") == lex_side["lang"]) & (F.col("_g") == lex_side["term"]))
-    per_key = matched.groupBy(key).agg(
+    per_row = matched.groupBy("_row", "_nth").agg(
         F.count(F.lit(1)).alias("hits"),
         F.array_sort(F.collect_set("term")).alias("matched_terms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("cats")))).alias("categories"),
-    )
+    ).groupBy("_row").agg(*[F.first(c).alias(c) for c in ("hits", "matched_terms", "categories")])
     empty = F.array().cast("array<string>")
-    return (df.join(per_key, key, "left")
+    return (df.withColumn("_row", row).join(per_row, "_row", "left").drop("_row")
             .withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))
             .withColumn("matched_terms", F.coalesce("matched_terms", empty))
             .withColumn("categories", F.coalesce("categories", empty)))
@@ -169,7 +170,7 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str
     if method not in ("auto", "inline", "join"):
         raise ValueError(method)
     if not isinstance(lexicon, DataFrame):
-        rows = [{"term": " ".join(t.lower().split()), "category": c, "lang": l} for t, c, l in lexicon]
+        rows = [{"term": term, "category": c, "lang": l} for t, c, l in lexicon if (term := clean_term(t))]
         if method == "join" or len(rows) > INLINE_MAX_TERMS:
             lexicon = lexicon_frame(df.sparkSession, [(r["term"], r["category"], r["lang"]) for r in rows])
             rows = None
@@ -205,7 +206,7 @@ def channel_search(df: DataFrame, query: Mapping[str, Sequence[str]],
     toks = tokens(F.col(text_col))
     cond = None
     for lang, terms in query.items():
-        clean = sorted({" ".join(t.lower().split()) for t in terms if t.strip()})
+        clean = sorted({c for t in terms if (c := clean_term(t))})
         if not clean:
             continue
         grams = _all_grams(toks, _gram_sizes(clean))
@@ -246,7 +247,7 @@ def url_path(url: Column) -> Column:
 def path_matches(url: Column, prefixes: Sequence[str]) -> Column:
     """True when the URL falls under any prefix. A prefix starting with '/'
     is matched against the path; otherwise against ``host/path``
-    (e.g. 'reddit.com/r/politics', with or without a leading 'www.')."""
+    (e.g. 'forum.example/garden', with or without a leading 'www.')."""
     cond = F.lit(False)
     hp = F.regexp_replace(url_host_path(url), r"^www\.", "")
     p = url_path(url)

@@ -3,33 +3,32 @@ batch scoring, test metrics, checkpoint / reload, epoch metric logs.
 
 * ``fit_text_classifier`` (M1): Spark ML pipeline -- tokenizer, hashed binary
   term features, IDF, L2 logistic regression with a positive-class weight.
-* ``train_epochs`` (M2): a logistic model over hashed token ids trained one
-  epoch per Spark job: the weight vector is broadcast, each partition computes
-  its partial gradient in ``mapInPandas`` (numpy, Arrow batches), the partials
-  are summed by ``groupBy(idx)``, and only the weight-sized sum reaches the
-  driver. Validation loss each epoch; stop after ``patience`` epochs without a
-  ``min_delta`` improvement of val loss; keep the best weights.
+* ``train_epochs`` (M2): Spark ML's perceptron classifier over hashed term
+  features, fitted epoch by epoch: each epoch continues from the weights of
+  the one before. Validation loss and metrics each epoch; stop after
+  ``patience`` epochs without a ``min_delta`` improvement of val loss; the best
+  epoch's model is saved as it is found, and reloaded for use.
 * ``fit_embedding_head`` (M5): logistic head on pooled vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import (
+    LogisticRegression,
+    MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier,
+)
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.functions.columns import TOKEN_SPLIT, flag_gt, tokens
-from modlens.operators.partitioning import spread
-
-MAX_HASH_FEATURES = 1 << 18
+from modlens.functions.columns import TOKEN_SPLIT, flag_gt
+from modlens.operators.evaluate import bce_with_logits, confusion_aggs, metric_columns
 
 
 # ---------------------------------------------------------------- M1 / M3 / M5
@@ -41,25 +40,24 @@ def _with_weight(df: DataFrame, label: str, pos_weight: float, weight_col: str =
 
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "label",
                         pos_weight: float = 1.0, reg: float = 0.05, num_features: int = 1 << 16,
-                        min_doc_freq: int = 3, max_iter: int = 30) -> PipelineModel:
-    """Binary text classifier with positive-class weight and L2 penalty.
+                        min_doc_freq: int = 3, max_iter: int = 200, tol: float = 1e-6) -> PipelineModel:
+    """Binary text classifier with positive-class weight and L2 penalty, run to tolerance.
+    ``num_features`` (hash buckets) and ``min_doc_freq`` are model parameters.
 
     Texts are tokenised and hashed once; only the sparse term vectors, label
     and weight are persisted for the fit (IDF and the optimizer each pass over
     them), never the raw text, and they are released afterwards. The stages
     are assembled into one ``PipelineModel`` that scores raw text.
     """
-    if num_features > MAX_HASH_FEATURES:
-        raise ValueError(f"num_features above {MAX_HASH_FEATURES}")
     tokenizer = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
                                toLowercase=True, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features, binary=True)
-    rows = spread(_with_weight(train, label, pos_weight).select(text_col, label, "_w"))
+    rows = _with_weight(train, label, pos_weight).select(text_col, label, "_w")
     feats = tf.transform(tokenizer.transform(rows)).select("_tf", label, "_w").persist()
     try:
         idf = IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_doc_freq).fit(feats)
         lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w",
-                                regParam=reg, elasticNetParam=0.0, maxIter=max_iter,
+                                regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=tol,
                                 probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
         head = lr.fit(idf.transform(feats))
     finally:
@@ -67,13 +65,16 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "
     return PipelineModel(stages=[tokenizer, tf, idf, head])
 
 
-def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(key, label, logit, prob, pred): pred = sigmoid(logit) > 0.5."""
+def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, label, carried columns, logit, prob, pred): pred = sigmoid(logit) > 0.5.
+
+    The logit is a logistic head's second raw score, and the difference of a perceptron's two."""
     out = model.transform(df)
     raw = vector_to_array(F.col("_raw"))
-    z = raw[1]
     prob = vector_to_array(F.col("_prob"))[1]
-    return out.select(key, label, z.alias("logit"), prob.alias("prob"), flag_gt(prob, 0.5).alias("pred"))
+    head = model.stages[-1] if isinstance(model, PipelineModel) else model
+    z = raw[1] - raw[0] if isinstance(head, MultilayerPerceptronClassificationModel) else raw[1]
+    return out.select(key, label, *carry, z.alias("logit"), prob.alias("prob"), flag_gt(prob, 0.5).alias("pred"))
 
 
 def fit_embedding_head(train: DataFrame, vec_col: str = "embedding", label: str = "label",
@@ -100,35 +101,8 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def fit_or_load(path: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
-    """Load the model saved at ``path``; fit and save it there if there is none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # nothing saved yet
-        return PipelineModel.load(save_model(fit(), path))
-
-
 # ---------------------------------------------------------------- M2: epoch loop
 
-def hashed_ids(text_col: str, num_features: int) -> Column:
-    """Distinct hashed token ids of a text (binary bag of words), JVM-side."""
-    return F.array_distinct(F.transform(
-        tokens(F.col(text_col)),
-        lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int")))
-
-
-@dataclass
-class HashedLogistic:
-    """Weights of a logistic model over hashed ids; last entry is the bias."""
-    num_features: int
-    weights: np.ndarray
-
-    def to_frame(self, spark: SparkSession) -> DataFrame:
-        nz = np.nonzero(self.weights)[0]
-        pdf = pd.DataFrame({"idx": nz.astype("int32"), "w": self.weights[nz]})
-        return spark.createDataFrame(pdf, "idx int, w double")
-
-
 @dataclass
 class EpochRecord:
     epoch: int
@@ -138,167 +112,66 @@ class EpochRecord:
     improved: bool
     wait: int
     stopped: bool
-    extra: dict = field(default_factory=dict)
-
-
-_TRAIN_LOSS, _TRAIN_N, _VAL_LOSS, _VAL_N = -1, -2, -3, -4
-
-
-def _partition_pass(bc, num_features: int) -> Callable:
-    """Per partition: gradient and loss over train rows (part 0), loss over
-    validation rows (part 1), all at the broadcast weights."""
-    d = num_features
-
-    def run(batches):
-        w = bc.value
-        g = np.zeros(d + 1)
-        sums = {_TRAIN_LOSS: 0.0, _TRAIN_N: 0.0, _VAL_LOSS: 0.0, _VAL_N: 0.0}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["ids"].to_numpy()
-            lengths = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
-            flat = np.concatenate(ids).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(pdf)), lengths)
-            z = np.bincount(row, weights=w[flat], minlength=len(pdf)) + w[d]
-            y = pdf["y"].to_numpy(dtype=float)
-            sw = pdf["sw"].to_numpy(dtype=float)
-            is_val = pdf["part"].to_numpy() == 1
-            loss = sw * (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z)
-            sums[_TRAIN_LOSS] += float(loss[~is_val].sum())
-            sums[_TRAIN_N] += float((~is_val).sum())
-            sums[_VAL_LOSS] += float(loss[is_val].sum())
-            sums[_VAL_N] += float(is_val.sum())
-            r = np.where(is_val, 0.0, sw * (1.0 / (1.0 + np.exp(-z)) - y))
-            g[:d] += np.bincount(flat, weights=r[row], minlength=d)
-            g[d] += r.sum()
-        nz = np.nonzero(g)[0]
-        keys = list(sums)
-        yield pd.DataFrame({"idx": np.concatenate([nz, keys]).astype("int32"),
-                            "v": np.concatenate([g[nz], [sums[k] for k in keys]])})
-
-    return run
-
-
-def _epoch_sums(df: DataFrame, model_w: np.ndarray, num_features: int):
-    """One job: summed gradient (weight-sized) and loss sums, collected to the driver."""
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(model_w)
-    try:
-        parts = df.mapInPandas(_partition_pass(bc, num_features), "idx int, v double")
-        rows = parts.groupBy("idx").agg(F.sum("v").alias("v")).collect()
-    finally:
-        bc.unpersist()
-    g = np.zeros(num_features + 1)
-    sums = {}
-    for r in rows:
-        if r["idx"] < 0:
-            sums[r["idx"]] = r["v"]
-        else:
-            g[r["idx"]] += r["v"]
-    return (g, sums.get(_TRAIN_LOSS, 0.0), sums.get(_TRAIN_N, 0.0),
-            sums.get(_VAL_LOSS, 0.0), sums.get(_VAL_N, 0.0))
-
-
-def prepare_hashed(df: DataFrame, text_col: str, label: str, num_features: int,
-                   pos_weight: float = 1.0, part: int = 0) -> DataFrame:
-    return spread(df).select(hashed_ids(text_col, num_features).alias("ids"),
-                             F.col(label).cast("double").alias("y"),
-                             F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)).alias("sw"),
-                             F.lit(part).alias("part"))
-
-
-def train_epochs(train: DataFrame, val: DataFrame, text_col: str = "text", label: str = "label",
+    metrics: dict
+
+
+def _losses(model, rows: DataFrame, label: str) -> dict:
+    """Loss per part (0 train, 1 validation) and validation metrics, in one pass."""
+    scored = score(model, rows, "_part", label)
+    per = scored.groupBy("_part").agg(F.avg(bce_with_logits(label, "logit")).alias("loss"),
+                                      *confusion_aggs(label, "pred")).select("_part", "loss", "n", *metric_columns())
+    return {r["_part"]: r.asDict() for r in per.collect()}
+
+
+def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "text", label: str = "label",
                  num_features: int = 1 << 12, max_epochs: int = 20, patience: int = 3,
-                 min_delta: float = 1e-4, lr: float = 0.002, weight_decay: float = 5e-4,
-                 pos_weight: float = 1.0,
+                 min_delta: float = 1e-4, iterations: int = 5, seed: int = 1,
                  on_epoch: Callable[[EpochRecord], None] | None = None
-                 ) -> tuple[HashedLogistic, list[EpochRecord]]:
-    """Epoch training with early stopping on val loss; returns best weights and the log.
-
-    One Spark job per epoch over train and validation rows together: the
-    gradient at the new weights and the validation loss of the epoch just
-    taken come from the same pass. Hashed features are persisted once and
-    unpersisted at the end; the Adam update runs on the driver, which holds
-    only the weight vector.
+                 ) -> tuple[PipelineModel, list[EpochRecord]]:
+    """Epoch training with early stopping on val loss; returns the best epoch's model, read back
+    from ``path``, and the log.
+
+    An epoch is ``iterations`` steps of Spark ML's solver from the last epoch's weights. Hashed
+    features are persisted once; the driver holds the weights (two per feature) and the losses.
     """
-    if num_features > MAX_HASH_FEATURES:
-        raise ValueError(f"num_features above {MAX_HASH_FEATURES}")
-    data = (prepare_hashed(train, text_col, label, num_features, pos_weight, 0)
-            .unionByName(prepare_hashed(val, text_col, label, num_features, pos_weight, 1))
-            .persist())
-    w = np.zeros(num_features + 1)
-    # Bias starts at the (weighted) base-rate logit: one small aggregate.
-    r = (data.where(F.col("part") == 0)
-         .agg(F.sum(F.col("sw") * F.col("y")).alias("pos"), F.sum("sw").alias("all")).first())
-    if r["all"] and 0 < r["pos"] < r["all"]:
-        w[num_features] = float(np.log(r["pos"] / (r["all"] - r["pos"])))
-    m = np.zeros_like(w)
-    v = np.zeros_like(w)
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    best_w, best_loss, best_monitor = w.copy(), np.inf, np.inf
-    wait = 0
-    log: list[EpochRecord] = []
+    tokenizer = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
+                               toLowercase=True, minTokenLength=1)
+    tf = HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=num_features, binary=True)
+    part = lambda df, n: df.select(text_col, label, F.lit(n).alias("_part"))
+    rows = (tf.transform(tokenizer.transform(part(train, 0).unionByName(part(val, 1))))
+            .select("_features", label, "_part").persist())
+    step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[num_features, 2],
+                                          maxIter=iterations, solver="l-bfgs", seed=seed, probabilityCol="_prob",
+                                          rawPredictionCol="_raw", predictionCol="_pred")
+    best, monitor, wait, log = float("inf"), float("inf"), 0, []
     try:
-        g, tl, tn, _, _ = _epoch_sums(data, w, num_features)
         for epoch in range(max_epochs):
-            step = g / max(tn, 1.0) + weight_decay * w
-            m = b1 * m + (1 - b1) * step
-            v = b2 * v + (1 - b2) * step * step
-            mh = m / (1 - b1 ** (epoch + 1))
-            vh = v / (1 - b2 ** (epoch + 1))
-            w = w - lr * mh / (np.sqrt(vh) + eps)
-            train_loss = tl / max(tn, 1.0)          # at the weights the epoch started from
-            g, tl, tn, vl, vn = _epoch_sums(data, w, num_features)
-            val_loss = vl / max(vn, 1.0)            # after the epoch's update
-            if val_loss < best_loss:
-                best_loss, best_w = val_loss, w.copy()
-            improved = val_loss < best_monitor - min_delta
-            if improved:
-                best_monitor, wait = val_loss, 0
-            else:
-                wait += 1
-            stop = wait >= patience
-            rec = EpochRecord(epoch, train_loss, val_loss, best_loss, improved, wait, stop)
-            log.append(rec)
+            head = step.fit(rows.where("_part = 0"))
+            step = step.setInitialWeights(head.weights)
+            losses = _losses(head, rows, label)
+            train_loss = losses.get(0, {}).get("loss", 0.0)
+            val_loss = losses.get(1, {}).get("loss", train_loss)
+            if val_loss < best:
+                best = val_loss
+                save_model(PipelineModel(stages=[tokenizer, tf, head]), path)
+            improved = val_loss < monitor - min_delta
+            monitor, wait = (val_loss, 0) if improved else (monitor, wait + 1)
+            metrics = {m: losses.get(1, {}).get(m) for m in ("accuracy", "precision", "recall", "f1")}
+            log.append(EpochRecord(epoch, train_loss, val_loss, best, improved, wait, wait >= patience, metrics))
             if on_epoch:
-                on_epoch(rec)
-            if stop:
+                on_epoch(log[-1])
+            if log[-1].stopped:
                 break
     finally:
-        data.unpersist()
-    return HashedLogistic(num_features, best_w), log
-
-
-def score_hashed(model: HashedLogistic, df: DataFrame, key: str, text_col: str = "text",
-                 label: str = "label") -> DataFrame:
-    """(key, label, logit, prob, pred) with the weights broadcast to a mapInPandas pass."""
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(model.weights)
-    d = model.num_features
-    key_type = df.schema[key].dataType.simpleString()
-    lab_type = df.schema[label].dataType.simpleString()
-
-    def run(batches):
-        w = bc.value
-        for pdf in batches:
-            ids = pdf["ids"].to_numpy()
-            lengths = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
-            flat = np.concatenate(ids).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(pdf)), lengths)
-            z = np.bincount(row, weights=w[flat], minlength=len(pdf)) + w[d]
-            p = 1.0 / (1.0 + np.exp(-z))
-            yield pd.DataFrame({key: pdf[key], label: pdf[label], "logit": z, "prob": p,
-                                "pred": (p > 0.5).astype("int32")})
-
-    feats = df.select(key, label, hashed_ids(text_col, d).alias("ids"))
-    return feats.mapInPandas(run, f"{key} {key_type}, {label} {lab_type}, logit double, prob double, pred int")
+        rows.unpersist()
+    return load_model(path), log
 
 
 def epoch_log_frame(spark: SparkSession, run: str, log: Sequence[EpochRecord]) -> DataFrame:
-    """Long (run, epoch, split, metric, value) rows of an epoch log."""
+    """Long (run, epoch, split, metric, value) rows of an epoch log: losses, and validation metrics."""
     rows = []
     for r in log:
         rows.append((run, r.epoch, "train", "loss", float(r.train_loss)))
         rows.append((run, r.epoch, "val", "loss", float(r.val_loss)))
+        rows.extend((run, r.epoch, "val", m, float(v)) for m, v in r.metrics.items() if v is not None)
     return spark.createDataFrame(rows, "run string, epoch int, split string, metric string, value double")

@@ -1,10 +1,11 @@
 """Partitioning helpers.
 
 ``spread`` gives CPU-heavy per-row work (tokenising long texts, regex, model
-scoring) at least one partition per core. When a scan already yields at least
-that many splits -- any large input on a cluster -- it is a no-op; only
-small, few-split inputs pay one hash shuffle on the key, which later joins and
-aggregations on the same key then reuse. An explicit partition count is not
+scoring) at least one partition per core. It looks at the number of files only
+(no job, no planning of the input): from that many files on -- any large
+input on a cluster -- it is a no-op; only small, few-file inputs pay one hash
+shuffle on the key, which later joins and aggregations on the same key then
+reuse. It is meant for a bare scan. An explicit partition count is not
 coalesced away by AQE.
 """
 
@@ -17,6 +18,6 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if df.isStreaming:
         return df  # a stream's partitions come from its source and micro-batches
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import NumericType
 
 from modlens.functions.columns import (
     fill_cast,
@@ -117,10 +117,6 @@ def prepare_adversarial(df: DataFrame, columns: Sequence[str] = ("acl.id", "text
     return replace_values(out, "split", {"dev": "val"})
 
 
-def is_string(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, StringType)
-
-
 __all__ = [
     "clean_annotations", "fill_cast", "lowercase_columns", "prepare_adversarial",
     "prepare_scored_comments", "prepare_tweets", "rename_class_label", "replace_values",

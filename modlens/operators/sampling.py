@@ -14,19 +14,17 @@ of all rows is still spread over 16^d tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import md5_hex, md5_uniform
+from modlens.session import checkpoint_root
 
 DEFAULT_SEED = 42
-MAX_CLASSES = 10_000
-POISSON_CUT = 40          # inverse-CDF multiplicity is at most this on the CDF branch
-POISSON_DIRECT_ABOVE = 10.0
-
-
+#: Per-class tables of up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_CLASSES = 10_000
 MIN_DIGITS, MAX_DIGITS = 3, 8
 UNKNOWN_SIZE_DIGITS = 5   # 2^20 buckets: about 1M rows each at 10^12 rows
 COARSE_DIGITS = 2
@@ -105,34 +103,27 @@ def sorted_rank(df: DataFrame, order_cols: Sequence[Column], rank_col: str = "ra
     return ordered.withColumn(rank_col, (off + local + 1).cast("bigint")).drop("_mid")
 
 
-def _largest_remainder(counts: Mapping, total: int) -> dict:
-    """Share ``total`` over classes in proportion to ``counts``; integer floors,
-    leftovers to the largest remainders (ties: smaller class value)."""
-    n = sum(counts.values())
-    if n == 0:
-        return {c: 0 for c in counts}
-    base = {c: (v * total) // n for c, v in counts.items()}
-    rem = {c: (v * total) % n for c, v in counts.items()}
-    left = total - sum(base.values())
-    for c in sorted(counts, key=lambda c: (-rem[c], c))[:left]:
-        base[c] += 1
-    return base
-
+def split_quotas(counts: DataFrame, label: str, test_size: float = 0.2, test_share: float = 0.5) -> DataFrame:
+    """(label, n, held, test) for a two-step stratified split, from (label, n).
 
-def split_quotas(counts: Mapping, test_size: float = 0.2, test_share: float = 0.5) -> dict:
-    """Per-class (n, held_out, test) for a two-step stratified split.
-
-    Held-out total is ceil(test_size * N), the test part ceil(test_share * held-out),
-    both shared by largest remainder. Defaults give 80/10/10.
+    Held-out total is ceil(test_size * N), the test part ceil(test_share * held-out), both shared by
+    largest remainder (ties: smaller label). The windows run over one row per class.
     """
-    n = sum(counts.values())
     num, den = _as_fraction(test_size)
-    held = -((-n * num) // den)
-    h = _largest_remainder(counts, held)
     tnum, tden = _as_fraction(test_share)
-    t_total = -((-held * tnum) // tden)
-    t = _largest_remainder(h, t_total)
-    return {c: (counts[c], h[c], t[c]) for c in counts}
+
+    def share(df: DataFrame, of: str, total: Column, out: str) -> DataFrame:
+        everything = Window.partitionBy()
+        whole = df.withColumn("_s", F.sum(of).over(everything)).withColumn("_t", total)
+        base = whole.withColumn("_b", F.when(F.col("_s") > 0, F.expr(f"({of} * _t) div _s")).otherwise(0))
+        rem = base.withColumn("_r", F.when(F.col("_s") > 0, F.expr(f"({of} * _t) % _s")).otherwise(0))
+        nth = F.row_number().over(Window.orderBy(F.desc("_r"), F.col(label)))
+        left = F.col("_t") - F.sum("_b").over(everything)
+        return (rem.withColumn(out, (F.col("_b") + F.when(nth <= left, 1).otherwise(0)).cast("bigint"))
+                .drop("_s", "_t", "_b", "_r"))
+
+    up = lambda a, b: F.floor((F.col("_s") * F.lit(a) + F.lit(b - 1)) / F.lit(b)).cast("bigint")
+    return share(share(counts, "n", up(num, den), "held"), "held", up(tnum, tden), "test")
 
 
 def _as_fraction(x: float) -> tuple[int, int]:
@@ -141,40 +132,20 @@ def _as_fraction(x: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def _class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
-    return {r[label]: r["count"] for r in rows}
-
-
-INLINE_MAX_CLASSES = 64
-
+def per_class(table: DataFrame) -> DataFrame:
+    """A table with one row per class, broadcast behind a check of its size; a larger one is joined
+    by shuffle. Only the plan differs."""
+    few = len(table.limit(BROADCAST_CLASSES + 1).select(F.lit(1)).collect()) <= BROADCAST_CLASSES
+    return F.broadcast(table) if few else table
 
-def _literal_map(d: Mapping) -> Column:
-    return F.create_map(*[x for k, v in sorted(d.items(), key=lambda kv: (kv[0] is None, kv[0]))
-                          if k is not None for x in (F.lit(k), F.lit(v))])
 
-
-def with_class_values(df: DataFrame, label: str, values: Mapping, out_cols: Sequence[str]) -> DataFrame:
-    """Attach per-class values ``{class: (v1, v2, ...)}`` as columns.
-
-    Few classes: literal maps, evaluated in place. More classes (at most
-    MAX_CLASSES, checked when the counts were taken): a broadcast join with
-    the per-class table, whose size is bounded by that check.
-    """
-    items = {k: (v if isinstance(v, tuple) else (v,)) for k, v in values.items() if k is not None}
-    if len(items) <= INLINE_MAX_CLASSES:
-        out = df
-        for i, c in enumerate(out_cols):
-            out = out.withColumn(c, F.element_at(_literal_map({k: v[i] for k, v in items.items()}),
-                                                 F.col(label)))
-        return out
-    spark = df.sparkSession
-    ltype = df.schema[label].dataType.simpleString()
-    rows = [(k, *[float(x) for x in v]) for k, v in items.items()]
-    table = spark.createDataFrame(rows, f"`{label}` {ltype}, " + ", ".join(f"`{c}` double" for c in out_cols))
-    return df.join(F.broadcast(table), label, "left")
+def _class_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n), computed once: cut by a checkpoint, as several plans read it."""
+    checkpoint_root(df.sparkSession)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    if not counts.where(F.col(label).isNull()).isEmpty():
+        raise ValueError(f"NULL {label!r} has no class")
+    return counts
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int = DEFAULT_SEED,
@@ -182,22 +153,38 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
                      split_col: str = "split", digits: int | None = None) -> DataFrame:
     """Exact stratified train/val/test split (80/10/10 by default), disjoint and complete.
 
-    Within each label, rows are ranked by md5(key:seed); the first n-h go to
-    train, the next h-t to val, the last t to test, with integer quotas.
+    Within each label, rows are ranked by md5(key:seed); the first n-h go to train, the next h-t to
+    val, the last t to test, with integer quotas. ``key`` is unique.
+
+    Rows are never ranked or moved for it. A label needs two cut points, the (hash, key) at ranks
+    n-h and n-t: rows are counted per (label, hash bucket), and only the key and hash of the two
+    buckets that hold a cut are ranked. The split itself is a comparison with the label's cuts.
     """
+    h = md5_hex(F.col(key), seed)
+    narrow = df.select(F.col(label), F.col(key).alias("_k"), h.alias("_h"))
     counts = _class_counts(df, label)
-    if None in counts:
-        raise ValueError(f"NULL {label!r} cannot be stratified")
-    q = split_quotas(counts, test_size, test_share)
-    d = digits or bucket_digits(sum(counts.values()))
-    ranked = bucketed_rank(df, md5_hex(F.col(key), seed), key, [label], "_rank", d)
-    ranked = with_class_values(ranked, label, {c: (n - h, n - t) for c, (n, h, t) in q.items()},
-                               ["_train_max", "_val_max"])
-    return (ranked.withColumn(split_col,
-                              F.when(F.col("_rank") <= F.col("_train_max"), "train")
-                              .when(F.col("_rank") <= F.col("_val_max"), "val")
-                              .otherwise("test"))
-            .select(*[F.col(f"`{c}`") for c in df.columns], split_col))
+    total = counts.agg(F.sum("n")).first()[0]
+    d = digits or bucket_digits(total)
+    bucket = F.substring("_h", 1, d)
+    quotas = split_quotas(counts, label, test_size, test_share)
+    ranks = quotas.select(F.col(label), F.explode(F.array(
+        F.struct(F.lit("train").alias("cut"), (F.col("n") - F.col("held")).alias("at")),
+        F.struct(F.lit("val").alias("cut"), (F.col("n") - F.col("test")).alias("at")))).alias("c")).select(label, "c.*")
+    sums = narrow.groupBy(label, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sums.join(_bucket_offsets(sums, [label], d), [label, "_b"])
+    edges = (offsets.join(ranks, label)
+             .where((F.col("_off") < F.col("at")) & (F.col("at") <= F.col("_off") + F.col("_n")))
+             .select(label, "_b", "cut", (F.col("at") - F.col("_off")).alias("nth")))
+    order = Window.partitionBy(label, "_b", "cut").orderBy("_h", "_k")
+    found = (narrow.withColumn("_b", bucket).join(per_class(edges), [label, "_b"])
+             .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("nth")))
+    checkpoint_root(df.sparkSession)
+    cuts = found.groupBy(label).agg(*[
+        F.max(F.when(F.col("cut") == c, F.struct("_h", "_k"))).alias(f"_{c}") for c in ("train", "val")]).checkpoint()
+    own = F.struct(h.alias("_h"), F.col(key).alias("_k"))
+    part = (F.when(own <= F.col("_train"), "train").when(own <= F.col("_val"), "val").otherwise("test"))
+    return (df.join(per_class(cuts), label, "left")
+            .select(*[F.col(f"`{c}`") for c in df.columns], part.alias(split_col)))
 
 
 def sample_per_group(df: DataFrame, group_cols: Sequence[str], n: int, key: str,
@@ -218,24 +205,29 @@ def renumber(sample: DataFrame, order_cols: Sequence[Column], id_col: str = "row
 
 
 def class_weights(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Per-row weight 1 / (rows of its class). Class counts are few (checked), so
-    they travel as a literal map: no join, no shuffle of the rows."""
-    counts = _class_counts(df, label)
-    return with_class_values(df, label, {c: 1.0 / n for c, n in counts.items()}, [weight_col])
+    """Per-row weight 1 / (rows of its class), after the row's own columns."""
+    w = _class_counts(df, label).select(label, (F.lit(1.0) / F.col("n")).alias(weight_col))
+    return df.join(per_class(w), label).select(*[F.col(f"`{c}`") for c in df.columns], weight_col)
+
 
+#: A draw's rate is at most RATE_STEP, so terms beyond this are below 1e-30.
+POISSON_TERMS = 64
 
-def poisson_cdf(lam: float, cut: int = POISSON_CUT) -> list[float]:
-    """CDF(0..cut-1) of Poisson(lam), log-factorials summed term by term."""
-    out, acc, lf = [], 0.0, 0.0
-    for j in range(cut):
-        if j > 0:
-            lf += math.log(j)
-        acc += math.exp(-lam + j * math.log(lam) - lf)
-        out.append(acc)
-    return out
 
+def poisson_cdf(rate: Column) -> Column:
+    """Array of CDF(0..POISSON_TERMS-1) of Poisson(rate), terms summed in order."""
+    logs = [0.0]
+    for j in range(1, POISSON_TERMS):
+        logs.append(logs[-1] + math.log(j))
+    terms = F.transform(F.array(*[F.lit(x) for x in logs]),
+                        lambda lf, j: F.exp(-rate + j * F.log(rate) - lf))
+    return F.transform(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), lambda j: F.aggregate(
+        F.slice(terms, F.lit(1), j), F.lit(0.0), lambda s, x: s + x))
 
-COPY_CHUNK = 1 << 16
+
+#: A draw at a higher rate is the sum of independent draws at equal rates of at most this.
+RATE_STEP = 8
+COPY_CHUNK = 1 << 12
 
 
 def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: int | None = None,
@@ -243,51 +235,31 @@ def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: in
                       copy_chunk: int = COPY_CHUNK) -> DataFrame:
     """Class-balanced resample with replacement (weight 1/class count, N draws).
 
-    Each row is repeated k ~ Poisson(N / (K * n_c)) times, k drawn by inverse
-    CDF from md5(key:seed), cut at 40. For a rate above 10 (a rare class)
-    k = floor(rate) + (u < frac(rate)). The total is N in expectation, not exactly.
-
-    Map-only after one small class-count job while every rate is at most
-    ``copy_chunk``. A very rare class (one row may then owe a third of all
-    draws) is expanded in two steps instead: its rows become chunks of at
-    most ``copy_chunk`` copies, the chunks are shuffled over the cluster, and
-    each task expands its own chunks, so no task emits one row's copies alone.
+    Each row is repeated k ~ Poisson(N / (K * n_c)) times; the total is N in expectation. One rule
+    for every rate: a rate r is m = ceil(r / 8) independent Poisson(r / m) draws, each by inverse CDF
+    from md5(key:seed) (draw 0) or md5(key:seed:draw). A row of a very rare class owes many draws;
+    they are dealt out in chunks of ``copy_chunk`` draws, so no task makes one row's copies alone.
+    ``copy`` (bigint) numbers a row's copies by draw: draw * 2^16 + 1, 2, ...
     """
     counts = _class_counts(df, label)
-    n = n_draws if n_draws is not None else sum(counts.values())
-    k_classes = len(counts)
-    rates = {c: n / (k_classes * nc) for c, nc in counts.items() if c is not None}
-    u = md5_uniform(F.col(key), seed)
-    lab = F.col(label)
-    k = F.lit(0).cast("bigint")
-    for c, lam in sorted(rates.items(), key=lambda kv: kv[0]):
-        if lam > POISSON_DIRECT_ABOVE:
-            fl = math.floor(lam)
-            kc = F.lit(fl) + F.when(u < F.lit(lam - fl), 1).otherwise(0)
-        else:
-            cdf = F.array(*[F.lit(p) for p in poisson_cdf(lam)])
-            kc = F.size(F.filter(cdf, lambda p: p <= u))
-        k = F.when(lab == F.lit(c), kc).otherwise(k)
-    copy_type = "int" if max(rates.values(), default=0.0) < 2 ** 31 - 2 else "bigint"
-    with_k = df.withColumn("_k", k.cast("bigint")).where(F.col("_k") > 0)
-    one = F.lit(1).cast("bigint")
-
-    def expand(frame: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        return (frame.withColumn(copy_col, F.explode(F.sequence(lo.cast(copy_type), hi.cast(copy_type))))
-                .drop("_k", "_c"))
-
-    heavy = sorted(c for c, lam in rates.items() if lam > copy_chunk)
-    if not heavy:
-        return expand(with_k, one, F.col("_k"))
-    is_heavy = lab.isin(heavy)
-    light = expand(with_k.where(~is_heavy), one, F.col("_k"))
-    step = F.lit(copy_chunk).cast("bigint")
-    chunks = (with_k.where(is_heavy)
-              .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                     F.floor((F.col("_k") - 1) / step).cast("bigint"))))
-              .repartition(key, "_c"))
-    spread_rows = expand(chunks, F.col("_c") * step + 1, F.least(F.col("_c") * step + step, F.col("_k")))
-    return light.unionByName(spread_rows)
+    n, k_classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    n = n_draws if n_draws is not None else (n or 0)
+    rate = F.lit(float(n)) / (F.lit(float(k_classes or 1)) * F.col("n"))
+    classes = (counts.withColumn("_draws", F.greatest(F.lit(1), F.ceil(rate / RATE_STEP)).cast("bigint"))
+               .select(label, "_draws", poisson_cdf(rate / F.col("_draws")).alias("_cdf")).checkpoint())
+    chunks = F.floor((F.col("_draws") - 1) / F.lit(copy_chunk)).cast("bigint")
+    heavy = classes.where(F.col("_draws") > copy_chunk)
+    dealt = df.join(per_class(classes), label).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks)))
+    if not heavy.isEmpty():
+        dealt = dealt.repartition(key, "_c")
+    first = F.col("_c") * copy_chunk
+    draw = F.explode(F.sequence(first, F.least(first + (copy_chunk - 1), F.col("_draws") - 1)))
+    u = F.when(F.col("_d") == 0, md5_uniform(F.col(key), seed)).otherwise(md5_uniform(F.col(key), seed, F.col("_d")))
+    drawn = (dealt.withColumn("_d", draw).withColumn("_u", u)
+             .withColumn("_k", F.expr("cast(size(filter(_cdf, p -> p <= _u)) as bigint)")).where("_k > 0"))
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k")))
+    return (drawn.withColumn("_n", copy)
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_d") * (1 << 16) + F.col("_n")).alias(copy_col)))
 
 
 def shuffle_order(df: DataFrame, key: str, epoch: int = 0, seed: int = DEFAULT_SEED,

@@ -7,6 +7,7 @@ so the results can be hashed against the SQL oracle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,11 +52,17 @@ def r6(c: str | Column) -> Column:
 # Parameters of the demonstration queries.
 CHANNEL_PLATFORMS = [f"src{i}" for i in range(10)]
 PATH_PREFIXES = ["/en/", "/fr/"]
+# A channel: terms by language (one hyphenated), platforms, path prefixes of one of them.
+CHANNEL_TERMS = {"en": ["of-the", "and the", "idiot"], "fr": ["de la"], "de": ["und"]}
+CHANNEL_SPEC = {"name": "demo", "public": True, "search_parameters": {"platform": {
+    "example.com": {"path": ["/en/", "/fr/"]}, "example.net": {"path": []}}}}
 LINEAR_HEAD_BIAS = 0.1
 HIST_BINS = 30
 KDE_GRID = 50
 KDE_FINE_BINS = 2000
 MAX_LEN = 256
+#: The lexicon's own categories: known, so no job has to discover them.
+LEXICON_CATEGORIES = sorted({c for _, c, _ in I.LEXICON_ROWS})
 SHUFFLE_EPOCH = 1
 ADVERSARIAL_POSITIVE = "error"
 ROLE_REPLACE = {"assistant": "model"}
@@ -149,6 +156,25 @@ def lex_channel_search(spark, sf_dir):
     return lx.channel_search(docs, query, platforms, key="doc_id").select("doc_id", "lang", "source")
 
 
+@register("lex_channel_spec")
+def lex_channel_spec(spark, sf_dir):
+    """A channel as it is kept: a term file per language and an indented JSON spec with platforms, some
+    with path prefixes. Both are landed, read back, and applied to the pages together."""
+    folder = scratch_path(spark, "channel")
+    for lang, terms in CHANNEL_TERMS.items():
+        spark.createDataFrame([(t,) for t in terms], "value string").coalesce(1).write.text(f"{folder}/terms-{lang}")
+    spark.createDataFrame([(json.dumps(CHANNEL_SPEC, indent=2),)], "value string").write.text(f"{folder}/spec")
+    schema = "name string, public boolean, search_parameters struct<platform: map<string, struct<path: array<string>>>>"
+    spec = files.read_json(spark, f"{folder}/spec", schema, multi_line=True).first()
+    query = {lang: [r["term"] for r in files.read_term_list(spark, f"{folder}/terms-{lang}", lang).collect()]
+             for lang in CHANNEL_TERMS}
+    platforms = {name: list(v["path"] or []) for name, v in spec["search_parameters"]["platform"].items()}
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.col("html").alias("text"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
+        F.regexp_extract("url", r"example\.[a-z]+", 0).alias("source"))
+    return lx.channel_search(pages, query, platforms, url_col="url", key="page_id").select("page_id", "lang", "source")
+
+
 @register("lex_path_filter")
 def lex_path_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -159,10 +185,11 @@ def lex_path_filter(spark, sf_dir):
 
 @register("join_align_predictions")
 def join_align_predictions(spark, sf_dir):
-    s = I.scored(spark, sf_dir)
-    labels = s.select("doc_id", "label")
-    preds = s.select("doc_id", "pred_lex", "pred_lm")
-    return ev.align_predictions(labels, preds, "doc_id")
+    # the predictions are a stored table, as a scoring run leaves them; unmatched keys raise
+    path = scratch_path(spark, "predictions")
+    I.scored(spark, sf_dir).select("doc_id", "pred_lex", "pred_lm").write.parquet(path)
+    labels = I.labeled_ids(spark, sf_dir, with_label=True)
+    return ev.align_predictions(labels, spark.read.parquet(path), "doc_id", validate=True)
 
 
 @register("eval_confusion_matrix")
@@ -202,8 +229,10 @@ def eval_bce_loss(spark, sf_dir):
 
 @register("eval_epoch_batch_mean")
 def eval_epoch_batch_mean(spark, sf_dir):
+    # batches depend on the labelled ids only: rank those that have a document, join the scores once
     s = I.scored(spark, sf_dir).select("doc_id", "label", "pred_lm")
-    b = smp.batches(s, "doc_id", I.BATCH_SIZE, epoch=0, seed=I.SEED)
+    ids = I.labeled_ids(spark, sf_dir)
+    b = smp.batches(ids, "doc_id", I.BATCH_SIZE, epoch=0, seed=I.SEED).join(s, "doc_id")
     m = ev.epoch_batch_mean(b, "batch_id", "label", "pred_lm")
     return m.select("n_batches", "n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
@@ -275,12 +304,13 @@ def err_disagreement_samples(spark, sf_dir):
 
 @register("set_union_tagged")
 def set_union_tagged(spark, sf_dir):
-    parts = []
-    for name, col in (("lexicon", "pred_lex"), ("logistic", "pred_lm")):
-        # the report has no text column, so no documents fetch for the sample
-        s = _cell_sample(spark, sf_dir, col)
-        parts.append(s.select(F.lit(name).alias("classifier"), "cell", "doc_id", "label", "pred"))
-    return parts[0].unionByName(parts[1])
+    # one scan: each row yields one row per classifier, sampled per (classifier, cell)
+    both = F.array(*[F.struct(F.lit(name).alias("classifier"), F.col(c).alias("pred"))
+                     for name, c in (("lexicon", "pred_lex"), ("logistic", "pred_lm"))])
+    rows = I.scored(spark, sf_dir).select("doc_id", "label", F.inline(both))
+    cells = ev.with_confusion_cell(rows, "label", "pred")
+    return (smp.sample_per_group(cells, ["classifier", "cell"], I.SAMPLES_PER_CELL, "doc_id", I.SEED)
+            .select("classifier", "cell", "doc_id", "label", "pred"))
 
 
 @register("snk_tsv_samples")
@@ -295,7 +325,9 @@ def snk_tsv_samples(spark, sf_dir):
 
 @register("src_csv_roundtrip")
 def src_csv_roundtrip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # outer blanks and tabs must come back too
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("  "), "text", F.lit("\t")).alias("text"), "lang", "source")
     path = files.write_csv(docs, scratch_path(spark, "documents_csv"))
     return files.read_csv(spark, path, "doc_id bigint, text string, lang string, source string")
 
@@ -314,6 +346,14 @@ def view_split(spark, sf_dir):
     return prep.split_view(_split_labeled(spark, sf_dir), "test", ["doc_id", "text", "label"])
 
 
+@register("view_split_partitioned")
+def view_split_partitioned(spark, sf_dir):
+    """The split view over a table written by split: the filter prunes its partitions."""
+    path = scratch_path(spark, "by_split")
+    data = files.write_split_table(_split_labeled(spark, sf_dir).select("doc_id", "text", "label", "split"), path)
+    return prep.split_view(data, "val", ["doc_id", "text", "label"])
+
+
 @register("prj_select")
 def prj_select(spark, sf_dir):
     return I.labeled(spark, sf_dir).select("doc_id", "lang", "source", "label")
@@ -393,15 +433,15 @@ def agg_multilabel_long(spark, sf_dir):
 @register("agg_multilabel_onehot")
 def agg_multilabel_onehot(spark, sf_dir):
     a = annotations_raw(spark, sf_dir).select("doc_id", split_words("Categories").alias("cats"))
-    return agg.multilabel_onehot(a, "doc_id", "cats")
+    return agg.multilabel_onehot(a, "doc_id", "cats", categories=LEXICON_CATEGORIES)
 
 
 @register("join_left_categories")
 def join_left_categories(spark, sf_dir):
     a = annotations_raw(spark, sf_dir).select("doc_id", split_words("Categories").alias("cats"))
     # several rows per key in general: grouped one-hot, left-joined back to every key
-    onehot = agg.multilabel_onehot(a, "doc_id", "cats", unique_key=False)
-    return agg.join_categories(a.select("doc_id"), onehot, "doc_id")
+    onehot = agg.multilabel_onehot(a, "doc_id", "cats", categories=LEXICON_CATEGORIES, unique_key=False)
+    return agg.join_categories(I.labeled_ids(spark, sf_dir), onehot, "doc_id")
 
 
 @register("agg_category_counts")
@@ -412,7 +452,7 @@ def agg_category_counts(spark, sf_dir):
 
 @register("prep_annotations")
 def prep_annotations(spark, sf_dir):
-    return prep.clean_annotations(annotations_raw(spark, sf_dir), "doc_id")
+    return prep.clean_annotations(annotations_raw(spark, sf_dir), "doc_id", categories=LEXICON_CATEGORIES)
 
 
 # ---------------------------------------------------------------- aggregation
@@ -469,6 +509,12 @@ def agg_kde_grid(spark, sf_dir):
     return k.select("grid", r6("x").alias("x"), F.round("density", 9).alias("density"))
 
 
+@register("agg_kde_exact")
+def agg_kde_exact(spark, sf_dir):
+    k = agg.kde_exact(table(spark, sf_dir, "events"), "value", KDE_GRID)
+    return k.select("grid", r6("x").alias("x"), F.round("density", 9).alias("density"))
+
+
 # ---------------------------------------------------------------- sampling
 
 @register("smp_stratified_split")
@@ -532,10 +578,9 @@ def txt_truncation_profile(spark, sf_dir):
 
 @register("prep_tweets")
 def prep_tweets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tweet"))
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"),
-                                                    F.col("label").alias("class"))
-    raw = docs.join(emb, "doc_id", "inner")
+    # the class stands in for a rater's: every document has one
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tweet"),
+                                                   (F.col("doc_id") % 3).cast("int").alias("class"))
     out = prep.prepare_tweets(raw, "doc_id", seed=I.SEED)
     return out.select("doc_id", "class", "text", "label", "split")
 

@@ -56,6 +56,14 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("toxic").cast("int").alias("label")))
 
 
+def labeled_ids(spark: SparkSession, sf_dir: str, with_label: bool = False) -> DataFrame:
+    """The ids (and labels) of the labelled documents, without their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    out = labels.join(docs, "doc_id", "left_semi")
+    return out if with_label else out.select("doc_id")
+
+
 def lm_logit(matched_terms: str = "matched_terms") -> Column:
     strong = F.size(F.array_except(F.col(matched_terms),
                                    F.array(*[F.lit(t) for t in NOISY_TERMS])))
@@ -105,7 +113,8 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(m == 4, F.lit(None)).when(m == 5, "2").otherwise("1.0"))
     tox_raw = (F.when(m == 2, "none").when(m == 3, "").when(m == 4, "NaN")
                .when(m == 5, F.lit(None)).otherwise((F.col("value") / 100.0).cast("string")))
-    n_raw = F.when(m.isin(3, 4), F.lit(None)).otherwise(F.floor(F.col("value"))).cast("double")
+    n_raw = (F.when(m.isin(3, 4), F.lit(None)).when(m == 1, F.lit(float("nan")))
+             .otherwise(F.floor(F.col("value"))).cast("double"))
     return ev.select("event_id", "user_id", "event_type",
                      label_raw.alias("label_raw"), tox_raw.alias("toxicity_raw"),
                      n_raw.alias("n_raw"))

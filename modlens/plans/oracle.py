@@ -139,7 +139,7 @@ DIRTY_EVENTS = """de AS (
   SELECT event_id, user_id, event_type,
     CASE event_id % 7 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '2' ELSE '1.0' END AS label_raw,
     CASE event_id % 7 WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN 'NaN' WHEN 5 THEN NULL ELSE CAST(value / 100.0 AS VARCHAR) END AS toxicity_raw,
-    CASE WHEN event_id % 7 IN (3, 4) THEN NULL ELSE CAST(floor(value) AS DOUBLE) END AS n_raw
+    CASE WHEN event_id % 7 IN (3, 4) THEN NULL WHEN event_id % 7 = 1 THEN 'NaN'::DOUBLE ELSE CAST(floor(value) AS DOUBLE) END AS n_raw
   FROM events)"""
 
 SCORED_EVENTS = """se AS (
@@ -188,16 +188,32 @@ def _poisson_ctes() -> str:
     return f"""c AS (SELECT label, count(*) AS n_c FROM lab GROUP BY label),
 kk AS (SELECT count(*) AS k_cls, sum(n_c) AS n_all FROM c),
 lam AS (SELECT label, CAST(n_all AS DOUBLE) / (k_cls * n_c) AS lam FROM c, kk),
-jj AS (SELECT range AS j FROM range({40})),
+dr AS (SELECT label, greatest(1, ceil(lam / 8))::BIGINT AS m FROM lam),
+jj AS (SELECT range AS j FROM range(64)),
 lf AS (SELECT j, sum(CASE WHEN j = 0 THEN 0.0 ELSE ln(j) END) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lf FROM jj),
-pm AS (SELECT label, j, exp(-lam + j * ln(lam) - lf) AS p FROM lam, lf),
+pm AS (SELECT label, j, exp(-(lam / m) + j * ln(lam / m) - lf) AS p FROM lam JOIN dr USING (label), lf),
 cdf AS (SELECT label, j, sum(p) OVER (PARTITION BY label ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cdf FROM pm),
-u AS (SELECT doc_id, label, {_md5u('doc_id')} AS u FROM lab),
+rd AS (SELECT doc_id, lab.label, unnest(range(m)) AS d FROM lab JOIN dr ON lab.label = dr.label),
+u AS (SELECT doc_id, label, d, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{I.SEED}'
+        || CASE WHEN d = 0 THEN '' ELSE ':' || CAST(d AS VARCHAR) END), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0 AS u FROM rd),
 uk AS (
-  SELECT u.doc_id, u.label,
-    CASE WHEN l.lam > 10 THEN CAST(floor(l.lam) AS INTEGER) + CASE WHEN u.u < l.lam - floor(l.lam) THEN 1 ELSE 0 END
-         ELSE (SELECT count(*) FROM cdf WHERE cdf.label = u.label AND cdf.cdf <= u.u) END AS k
-  FROM u JOIN lam l ON u.label = l.label)"""
+  SELECT u.doc_id, u.label, u.d, (SELECT count(*) FROM cdf WHERE cdf.label = u.label AND cdf.cdf <= u.u) AS k FROM u)"""
+
+
+def _channel_spec() -> str:
+    """Pages whose tokens, space-joined, hold a term of their language, on a platform, under a path."""
+    terms = " OR ".join(
+        f"(lang = {_q(l)} AND (" + " OR ".join(
+            f"contains(toks, {_q(' ' + ' '.join(t.replace('-', ' ').split()) + ' ')})" for t in ts) + "))"
+        for l, ts in C.CHANNEL_TERMS.items())
+    path = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)?', 1)"
+    places = " OR ".join(
+        f"(source = {_q(n)}" + ("" if not v["path"] else " AND (" + " OR ".join(
+            f"starts_with({path}, {_q(x)})" for x in v["path"]) + ")") + ")"
+        for n, v in C.CHANNEL_SPEC["search_parameters"]["platform"].items())
+    return f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+  regexp_extract(url, 'example\\.[a-z]+', 0) AS source, ' ' || array_to_string({_tok('html')}, ' ') || ' ' AS toks FROM pages)
+SELECT page_id, lang, source FROM p WHERE ({terms}) AND ({places})"""
 
 
 ORACLE: dict[str, str] = {
@@ -217,6 +233,8 @@ SELECT doc_id, array_to_string(categories, ' ') AS categories, array_to_string(m
 WHERE lang = 'en' AND len(list_filter({_tok('text')}, lambda t: t IN {_in_list(t for t, _, _ in I.LEXICON_ROWS)})) > 0
   AND source IN {_in_list(C.CHANNEL_PLATFORMS)}""",
 
+    "lex_channel_spec": _channel_spec(),
+
     "lex_path_filter": "SELECT page_id, url FROM pages WHERE "
         + " OR ".join(f"starts_with(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(/[^?#]*)?', 1), {_q(p)})"
                       for p in C.PATH_PREFIXES),
@@ -282,12 +300,16 @@ SELECT 'logistic' AS classifier, cell, doc_id, label, pred FROM ({_conf_samples(
 
     "snk_tsv_samples": _conf_samples("pred_lex"),
 
-    "src_csv_roundtrip": "SELECT doc_id, text, lang, source FROM documents",
+    "src_csv_roundtrip": "SELECT doc_id, '  ' || text || chr(9) AS text, lang, source FROM documents",
 
     "src_json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
 
     "view_split": f"WITH {SPLIT_LAB} SELECT doc_id, text, label FROM spl WHERE split = 'test'",
 
+    "ml_checkpoint_reload": f"WITH {SPLIT_LAB} SELECT doc_id, label, TRUE AS same FROM spl WHERE split = 'test'",
+
+    "view_split_partitioned": f"WITH {SPLIT_LAB} SELECT doc_id, text, label FROM spl WHERE split = 'val'",
+
     "prj_select": f"WITH {LABELED} SELECT doc_id, lang, source, label FROM lab",
 
     "prj_rename_class_label": "SELECT vec_id, label AS class, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings",
@@ -313,7 +335,7 @@ SELECT event_id, label_raw,
 SELECT event_id,
   coalesce(CASE WHEN isnan(TRY_CAST(toxicity_raw AS DOUBLE)) THEN 0.0 ELSE TRY_CAST(toxicity_raw AS DOUBLE) END, 0.0) AS toxicity FROM de""",
 
-    "prj_fill_cast": f"WITH {DIRTY_EVENTS} SELECT event_id, CAST(coalesce(n_raw, 0) AS INTEGER) AS n FROM de",
+    "prj_fill_cast": f"WITH {DIRTY_EVENTS} SELECT event_id, CAST(coalesce(CASE WHEN isnan(n_raw) THEN 0 ELSE n_raw END, 0) AS INTEGER) AS n FROM de",
 
     "arr_split_categories": f"WITH {ANNOTATIONS} SELECT doc_id, array_to_string(cats, ' ') AS categories FROM annc",
 
@@ -380,6 +402,14 @@ SELECT grid, round(gx, 6) AS x,
   round(sum(m * exp(-0.5 * pow((gx - c) / bw, 2.0))) * (1.0 / (n * bw * sqrt(2.0 * pi()))), 9) AS density
 FROM g, c, p GROUP BY grid, gx, n, bw""",
 
+    "agg_kde_exact": f"""WITH x AS (SELECT value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd FROM x),
+p AS (SELECT n, lo, sd * pow(n, -0.2) AS bw, (hi - lo) / {C.KDE_GRID - 1} AS step FROM st),
+g AS (SELECT CAST(range AS INTEGER) AS grid, lo + range * step AS gx, n, bw FROM p, range({C.KDE_GRID}))
+SELECT grid, round(gx, 6) AS x,
+  round(sum(exp(-0.5 * pow((gx - v) / bw, 2.0))) * (1.0 / (n * bw * sqrt(2.0 * pi()))), 9) AS density
+FROM g, x GROUP BY grid, gx, n, bw""",
+
     "smp_stratified_split": f"WITH {SPLIT_LAB} SELECT doc_id, label, split FROM spl",
 
     "smp_split_balance": f"WITH {SPLIT_LAB} SELECT split, label, count(*) AS n FROM spl GROUP BY split, label",
@@ -388,7 +418,7 @@ FROM g, c, p GROUP BY grid, gx, n, bw""",
 SELECT doc_id, lab.label, round(1.0::DOUBLE / c.n, 9) AS weight FROM lab JOIN c ON lab.label = c.label""",
 
     "smp_balanced_resample": f"""WITH {LABELED}, {_poisson_ctes()}
-SELECT doc_id, label, CAST(unnest(generate_series(1, k)) AS INTEGER) AS copy FROM uk WHERE k > 0""",
+SELECT doc_id, label, CAST(d * 65536 + unnest(generate_series(1, k)) AS BIGINT) AS copy FROM uk WHERE k > 0""",
 
     "smp_shuffle_order": f"""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('{I.SEED}:{C.SHUFFLE_EPOCH}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS BIGINT) AS pos FROM orders""",
 
@@ -417,8 +447,8 @@ SELECT CAST(max(total) AS BIGINT) AS n_docs, round(sum(len * c) / max(total), 6)
   {ML} AS max_len FROM hc""",
 
     "prep_tweets": f"""WITH tw AS (
-  SELECT d.doc_id, e.label AS class, d.text, CASE WHEN e.label = 0 THEN 1 ELSE 0 END AS label
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+  SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS class, text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS label
+  FROM documents),
 {split_ctes('tw', 'doc_id', 'label', 'tws')}
 SELECT doc_id, class, text, label, split FROM tws""",
 

@@ -39,13 +39,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only where none is named."""
+    """The shared checkpoint folder the session names. A local one is made only for a local
+    master (tests, single-machine runs); elsewhere a missing name raises, as executors would
+    each write to their own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="modlens-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

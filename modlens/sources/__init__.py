@@ -1,6 +1,5 @@
 from modlens.sources.files import (
     append_metric_log,
-    land_csv,
     parse_json_column,
     read_csv,
     read_json,
@@ -13,6 +12,6 @@ from modlens.sources.files import (
 from modlens.sources.tables import TABLES, table
 
 __all__ = [
-    "TABLES", "append_metric_log", "land_csv", "parse_json_column", "read_csv", "read_json",
+    "TABLES", "append_metric_log", "parse_json_column", "read_csv", "read_json",
     "read_term_list", "read_tsv", "table", "write_csv", "write_split_table", "write_tsv_report",
 ]

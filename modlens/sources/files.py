@@ -1,7 +1,6 @@
 """File sources and sinks: CSV / TSV, JSON, term lists, partitioned Parquet, metric logs.
 
-CSV with ``multiLine`` is not splittable, so a CSV is landed once and queried as
-Parquet afterwards (``land_csv``).
+CSV with ``multiLine`` is not splittable: write several files and query Parquet afterwards.
 """
 
 from __future__ import annotations
@@ -12,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Options that make quotes, separators and newlines inside text round-trip.
-CSV_WRITE_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "quote": '"'}
+from modlens.functions.columns import tokens
+
+# Options that make quotes, separators, newlines and outer blanks inside text round-trip
+# (Spark trims fields on write by default).
+CSV_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "quote": '"', **CSV_KEEP_BLANKS}
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-                    "mode": "FAILFAST"}
+                    "mode": "FAILFAST", **CSV_KEEP_BLANKS}
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
@@ -43,17 +46,6 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
     return df
 
 
-def land_csv(spark: SparkSession, csv_path: str, schema: StructType | str, parquet_path: str,
-             partition_by: Sequence[str] = (), sep: str = ",") -> DataFrame:
-    """Read a CSV once and land it as Parquet; later queries read the Parquet."""
-    df = read_csv(spark, csv_path, schema, sep=sep)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(parquet_path)
-    return spark.read.parquet(parquet_path)
-
-
 def write_tsv_report(df: DataFrame, path: str) -> str:
     """Sample report as TSV with a header. Reports are small by construction
     (at most n rows per cell), so one output file is written."""
@@ -65,9 +57,10 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return read_csv(spark, path, schema, sep="\t")
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines (or one document per file with ``multiLine``) with a declared schema."""
-    return spark.read.schema(schema).json(path)
+def read_json(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """JSON lines, or one (possibly indented) document per file with ``multi_line``, with a declared
+    schema. A malformed record raises instead of reading as a row of NULLs."""
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
 
 def parse_json_column(df: DataFrame, column: str, schema: StructType | str,
@@ -78,10 +71,11 @@ def parse_json_column(df: DataFrame, column: str, schema: StructType | str,
 
 def read_term_list(spark: SparkSession, path: str, lang: str = "en",
                    category: str | None = None) -> DataFrame:
-    """One term per line (UTF-8) -> (term, category, lang). Blank lines dropped;
-    a line may hold several words (matched as an n-gram)."""
+    """One term per line (UTF-8) -> (term, category, lang). Blank lines dropped; a line
+    goes through the token rule of texts, so several words, or a hyphenated one, match
+    as an n-gram."""
     df = spark.read.text(path)
-    term = F.regexp_replace(F.trim(F.lower(F.col("value"))), r"\s+", " ")
+    term = F.array_join(tokens(F.col("value")), " ")
     return (df.select(term.alias("term"))
             .where(F.col("term") != "")
             .select("term", F.lit(category).cast("string").alias("category"),

@@ -38,14 +38,14 @@ def test_score_threshold_inclusive(spark):
 
 def test_channel_search_with_paths(spark):
     df = spark.createDataFrame([
-        (1, "what an idiot", "en", "Reddit", "https://www.reddit.com/r/politics/abc"),
-        (2, "what an idiot", "en", "Reddit", "https://reddit.com/r/cats/abc"),
-        (3, "what an idiot", "en", "Twitter", "https://twitter.com/x"),
+        (1, "what an idiot", "en", "Board", "https://www.board.example/garden/abc"),
+        (2, "what an idiot", "en", "Board", "https://board.example/kitchen/abc"),
+        (3, "what an idiot", "en", "Wall", "https://twitter.com/x"),
         (4, "what an idiot", "en", "Forum", "https://forum.example/x"),
-        (5, "all good", "en", "Twitter", "https://twitter.com/y"),
+        (5, "all good", "en", "Wall", "https://twitter.com/y"),
     ], "doc_id long, text string, lang string, source string, url string")
     spec_q = {"en": ["idiot"]}
-    spec_p = {"Twitter": [], "Reddit": ["reddit.com/r/politics", "reddit.com/r/darkjokes"]}
+    spec_p = {"Wall": [], "Board": ["board.example/garden", "board.example/tools"]}
     got = sorted(r["doc_id"] for r in lx.channel_search(df, spec_q, spec_p, url_col="url").collect())
     assert got == [1, 3]
 

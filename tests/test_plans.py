@@ -20,8 +20,15 @@ def test_lexicon_score_is_map_only_with_hash_set(spark):
     plan = _plan(df)
     for slow in ("BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin", "CartesianProduct"):
         assert slow not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in df._jdf.queryExecution() \
-        .executedPlan().toString() or "doc_id" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+
+
+def test_one_scan_of_the_documents(spark):
+    """The lexicon pass over the corpus runs once per query; other scans read ids only."""
+    for key in ("set_union_tagged", "agg_multilabel_onehot", "join_left_categories", "eval_epoch_batch_mean", "prep_annotations",
+                "flagship_compare"):
+        plan = _plan(C.QUERIES[key](spark, SF01)).split("== Initial Plan ==")[0]
+        assert plan.count("text:string") == 1, key
 
 
 def test_scan_prunes_columns(spark):
