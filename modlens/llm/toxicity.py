@@ -29,7 +29,7 @@ from modlens.llm.common import SLICE_BYTES, schema_with, slices, span_hashes, st
 from modlens.llm.decontaminate import FOLD
 
 SAMPLE, VOCABULARY, FOLDS, MIN_DOCS = 20_000, 1024, 5, 5
-ROUNDS, L2 = 150, 1.0
+ROUNDS, L2 = 300, 0.1
 
 
 def row_words(col: pa.Array):
