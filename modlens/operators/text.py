@@ -38,8 +38,9 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col:
     Frequent words are hot join keys (one word may be a third of all tokens).
     Ids rank words by frequency, so the ``head_size`` most frequent words are a
     bounded table: it is broadcast and resolves the hot tokens map-side. Only
-    the remaining (rarer) tokens are joined to the rest of the vocabulary
-    through a shuffle; resolved rows get a spread-out key that matches nothing.
+    the remaining (rarer) tokens meet the rest of the vocabulary in a shuffle;
+    the texts are tokenised once for each of the two, which costs less than
+    moving every resolved token twice.
     """
     body = max_len - 2
     toks = F.slice(tokens(F.col(text_col)), 1, body)
@@ -49,12 +50,12 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col:
     tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select(
         F.col("token").alias("_jk"), F.col("id").alias("_tid"))
     step1 = exploded.join(F.broadcast(head), "token", "left")
-    jk = F.when(F.col("_hid").isNull(), F.col("token")).otherwise(
-        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string")))
-    step2 = step1.withColumn("_jk", jk).join(tail, "_jk", "left")
-    entry = F.when(F.col("pos").isNotNull(),
-                   F.struct("pos", F.coalesce("_hid", "_tid", F.lit(UNK)).alias("id")))
-    base = (step2.groupBy(key)
+    rare = F.col("_hid").isNull() & F.col("pos").isNotNull()
+    resolved = step1.where(~rare).select(key, "pos", F.col("_hid").alias("_id"))
+    looked_up = (step1.where(rare).join(tail, F.col("token") == F.col("_jk"), "left")
+                 .select(key, "pos", F.col("_tid").alias("_id")))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")))
+    base = (resolved.unionByName(looked_up).groupBy(key)
             .agg(F.array_sort(F.collect_list(entry)).alias("_p")))
     word_ids = F.transform(F.col("_p"), lambda s: s["id"].cast("int"))
     seq = F.concat(F.array(F.lit(BOS)), word_ids, F.array(F.lit(EOS)))

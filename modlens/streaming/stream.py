@@ -2,9 +2,9 @@
 
 The lexicon classifier's inline form, the thresholds and the projections are
 row-local, so they run on a stream unchanged. Confusion counts over a stream
-are a global streaming aggregate whose state is five counters. Sinks write
-under the shared checkpoint folder with a checkpoint location per query, so a
-restarted query resumes where it stopped.
+are a global streaming aggregate whose state is five counters. A caller that
+names its checkpoint location resumes there after a restart; without one, a run
+is on its own, under the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -42,14 +42,15 @@ def confusion_stream(scored: DataFrame, label: str = "label", pred: str = "pred"
 
 
 def run_available(df: DataFrame, name: str, sink_path: str | None = None,
-                  output_mode: str = "append", fmt: str = "parquet") -> tuple[StreamingQuery, str]:
+                  output_mode: str = "append", fmt: str = "parquet",
+                  checkpoint: str | None = None) -> tuple[StreamingQuery, str]:
     """Process everything available now, then stop; returns the query and the sink path.
 
-    Sink and checkpoint live under the shared checkpoint folder.
+    A later call with the same ``checkpoint`` and ``sink_path`` takes only what is new.
     """
     spark = df.sparkSession
     sink = sink_path or scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"stream-{name}-checkpoint")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{name}-checkpoint")
     writer = (df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
               .trigger(availableNow=True))
     if fmt == "memory":
@@ -60,9 +61,11 @@ def run_available(df: DataFrame, name: str, sink_path: str | None = None,
     return q, sink
 
 
-def for_each_batch(df: DataFrame, name: str, fn: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run ``fn(batch_df, batch_id)`` on every micro-batch (exactly-once sinks)."""
-    ckpt = scratch_path(df.sparkSession, f"stream-{name}-checkpoint")
+def for_each_batch(df: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
+                   checkpoint: str | None = None) -> StreamingQuery:
+    """Run ``fn(batch_df, batch_id)`` on every micro-batch. With a ``checkpoint`` a restarted call goes on
+    from there; the last batch may come again under its id, so ``fn`` should be idempotent by id."""
+    ckpt = checkpoint or scratch_path(df.sparkSession, f"stream-{name}-checkpoint")
     q = (df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
          .foreachBatch(fn).start())
     q.awaitTermination()

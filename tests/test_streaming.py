@@ -22,10 +22,18 @@ def test_stream_equals_batch(spark):
     assert out.count() == batch.count() and out.exceptAll(batch).count() == 0
     assert len(q.recentProgress) >= 2
 
+    # a named checkpoint resumes: the second run takes only the new file
+    sink, ckpt = scratch_path(spark, "resumed"), scratch_path(spark, "resumed-checkpoint")
+    run_available(scored, "resume_test", sink, checkpoint=ckpt)
+    docs.limit(7).withColumn("doc_id", F.col("doc_id") + 10 ** 6).coalesce(1).write.mode("append").parquet(src)
+    run_available(scored, "resume_test", sink, checkpoint=ckpt)
+    assert spark.read.parquet(sink).count() == docs.count() + 7
+
+    stream = read_parquet_stream(spark, src, docs.schema).where("doc_id < 1000000")
     labels = spark.read.parquet(f"{SF01}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     cs = confusion_stream(score_stream(stream, I.LEXICON_ROWS).join(labels, "doc_id"))
     run_available(cs, "conf_stream_test", output_mode="complete", fmt="memory")
     r = spark.sql("SELECT * FROM conf_stream_test").first()
-    b = scored_batch = lex_score(spark, SF01).join(labels, "doc_id")
+    b = lex_score(spark, SF01).join(labels, "doc_id")
     assert r["n"] == b.count()
     assert r["tp"] == b.where((F.col("label") == 1) & (F.col("pred") == 1)).count()
