@@ -9,9 +9,9 @@ Two texts link when ``100 * |A & B| >= threshold * |A | B|`` over their distinct
 2. Prefix. A text of n shingles posts its first n - ceil(0.75 n) + 1: linked texts share
    one. Postings are aggregated per shingle (partial sums before the shuffle); a shingle
    of one text ends there.
-3. Pivots. Each shared shingle's texts are compared with its smallest text only: a group
-   of thousands of near copies costs one pair per text, not all pairs. The links found
-   give classes.
+3. Pivots. Each shared shingle's texts are compared with its most typical text only, the one
+   with the fewest rarer shingles: a group of thousands of near copies costs one pair per
+   text, not all pairs. The links found give classes.
 4. Tiles. Shingles that still touch two or more classes are joined within size bands
    (ratio 4/3), between classes only, with a positional bound, so no link between classes
    is missed; pairs inside a class add nothing to it.
@@ -186,7 +186,8 @@ def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, thre
 
 
 def shared(signed: DataFrame, groups: DataFrame) -> DataFrame:
-    """(h, s, n, pos, low): postings of the shingles in ``groups`` with the group's smallest set."""
+    """(h, s, n, pos, pivot): postings of the shingles in ``groups``, with the set in which fewest
+    rarer shingles, for its size, come before."""
     keep = signed.sparkSession.sparkContext.broadcast(key_filter(groups, F.col("h")))
 
     def post(batches):
@@ -205,7 +206,10 @@ def shared(signed: DataFrame, groups: DataFrame) -> DataFrame:
     rows = (signed.where(F.col("set_id").isNotNull()).select("set_id", "n", "prefix")
             .mapInArrow(post, "h bigint, s bigint, n bigint, pos bigint")
             .groupBy("h", "s").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
-    return rows.join(groups.select("h", "low"), "h")
+    rows = stored(rows, "jaccard-postings")
+    typical = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "s"))
+    pivots = rows.groupBy("h").agg(typical.getField("s").alias("pivot"), F.count(F.lit(1)).alias("sets"))
+    return rows.join(pivots.where("sets > 1").drop("sets"), "h")
 
 
 def tiles(posts: DataFrame, threshold: int) -> DataFrame:
@@ -239,7 +243,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     larger = groups.where("cnt > 2")
     posts = stored(shared(signed, larger), "jaccard-posts")
     first = (groups.select(F.col("low").alias("a"), F.col("top").alias("b"))
-             .unionByName(posts.where("s != low").select(F.col("low").alias("a"), F.col("s").alias("b"))).distinct())
+             .unionByName(posts.where("s != pivot").select(F.least("pivot", "s").alias("a"),
+                                                          F.greatest("pivot", "s").alias("b"))).distinct())
     links = cut(linked(first, sets, texts, words, threshold))
     classes = cut(connected(links, "a", "b"))
     labelled = (posts.join(classes.select(F.col("node").alias("s"), "component"), "s", "left")
