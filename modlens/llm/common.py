@@ -13,14 +13,18 @@ from pyspark.sql.types import StructType
 from modlens.session import checkpoint_root, scratch_path
 
 #: Text is worked on in slices of about this many bytes, whatever the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Arrow batches sent to Python workers hold at most about this much (Spark's own default is 64 MB).
+BATCH_BYTES = "16m"
 #: Bits of the fixed-size membership filters (4 MB each, however many keys they hold).
 FILTER_BITS = 25
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of ``sf_dir``. Python workers find this package where the driver did, so a local session
-    may be started from any folder; clusters get it with ``--py-files``."""
+    may be started from any folder; clusters get it with ``--py-files``. Their batches are bounded
+    in bytes, as texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

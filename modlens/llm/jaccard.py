@@ -127,7 +127,7 @@ def signatures(texts: DataFrame, words: int, threshold: int, order: np.ndarray)
                     c = cls[g >> shift]
                     if c.any():
                         g = g[np.argsort(c, kind="stable")]
-                    prefixes[i] = g[:n + (-threshold * n) // 100 + 1].view(np.int64)
+                    prefixes[i] = g[:n + (-threshold * n) // 100 + 1].view(np.int64).copy()  # not all of g
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(ns), pa.array(sets, pa.int64()), pa.array(sigs, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "set_id", "sig", "prefix"])
