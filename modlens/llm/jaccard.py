@@ -3,7 +3,7 @@
 Two texts link when ``100 * |A & B| >= threshold * |A | B|`` over their distinct word
 5-gram hashes (64 bit). The join is exact and never enumerates a group's pairs blindly:
 
-1. Order. A fixed-size sketch (2^20 buckets) of frequent shingles gives one global order,
+1. Order. A fixed-size sketch (2^23 buckets) of frequent shingles gives one global order,
    frequent buckets last, so that a passage in thousands of texts leaves the prefixes.
    Any order keeps the join exact; the sketch only saves work.
 2. Prefix. A text of n shingles posts its first n - ceil(0.75 n) + 1: linked texts share
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from modlens.llm.common import connected, cut, key_filter, mix64, passes, stored, text_words
 
 WORDS, THRESHOLD = 5, 75
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64)) for i in range(64)]
 
 
@@ -92,13 +92,12 @@ def frequent_buckets(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> n
 
     At most 2^bits rows reach the driver, whatever the input."""
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            got = [g >> np.uint64(64 - bits) for _, g in row_sets(batch.column(0), words) if len(g)]
-            if got:
-                total += np.bincount(np.concatenate(got).astype(np.int64), minlength=1 << bits)
-        hot = np.flatnonzero(total >= 8 + 4 * total.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(total[hot])], ["b", "n"])
+            for _, g in row_sets(batch.column(0), words):
+                np.add.at(total, (g >> np.uint64(64 - bits)).astype(np.int64), 1)
+        hot = np.flatnonzero(total >= 5 + 4 * total.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(total[hot].astype(np.int64))], ["b", "n"])
 
     rows = (texts.select("text").mapInArrow(count, "b int, n bigint")
             .groupBy("b").agg(F.sum("n").alias("n")).collect())
@@ -252,8 +251,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = labelled.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
     second = tiles(labelled.join(mixed, "h", "left_semi"), threshold)
     more = cut(linked(second.join(first, ["a", "b"], "left_anti"), sets, texts, words, threshold))
-    if not more.isEmpty():
-        classes = connected(links.unionByName(more), "a", "b")
+    if not more.isEmpty():  # the classes that the second round joins: a graph of classes only
+        known = classes.withColumnRenamed("component", "c")
+        for side in ("a", "b"):
+            more = (more.join(known.withColumnRenamed("node", side), side, "left")
+                    .withColumn(side, F.coalesce("c", side)).drop("c"))
+        joined = cut(connected(more, "a", "b")).withColumnRenamed("component", "c")
+        classes = (classes.join(joined.withColumnRenamed("node", "component"), "component", "left")
+                   .select("node", F.coalesce("c", "component").alias("component"))
+                   .unionByName(joined.join(classes, "node", "left_anti").select("node", F.col("c").alias("component"))))
     member = (sets.select("set_id", "rep").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
               .withColumn("component", F.coalesce("component", "set_id")))
     names = member.groupBy("component").agg(F.min("rep").alias("component_id"))
