@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,15 @@ def schema_with(df: DataFrame, others: list[str], added: str) -> StructType:
     return StructType([df.schema[c] for c in others] + StructType.fromDDL(added).fields)
 
 
+def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashes of ``key``: a fixed choice for given rows.
+    About twice as many pass a threshold on the hash first, so a task's share stays small."""
+    share = min(1.0, 2 * size / max(df.count(), 1))
+    h = F.xxhash64(F.col(key))
+    near = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return near.orderBy(F.pmod(h, F.lit(1 << 30)), h, key).limit(size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -186,6 +196,19 @@ def passes(filt: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -> np.nd
     return (filt[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
 
 
+def parted(df: DataFrame, key: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose bigint key may be among ``keys``, the rest): only the first have to meet them in a
+    join, so most texts aren't shuffled. Only the key crosses to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(key_filter(keys, F.col(column)))
+
+    def flag(ids: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, ids.to_numpy(np.int64)))
+
+    may = F.pandas_udf(flag, "boolean")(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0)))
+    marked = df.withColumn("__may", may)
+    return marked.where("__may").drop("__may"), marked.where(~F.col("__may")).drop("__may")
+
+
 def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): smallest node reachable, by alternating large and small stars.
 

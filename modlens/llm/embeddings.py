@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import connected, cut, stored
+from modlens.llm.common import connected, cut, hash_sample, stored
 
 COSINE = 0.93
 SAMPLE, BITS, ROUNDS, TILE = 10_000, 64, 50, 1024
@@ -116,11 +116,11 @@ def learn(vectors: DataFrame, id_col: str, vec_col: str, sample: int = SAMPLE) -
                 [batch.column(0).take(pa.array(at, pa.int64())),
                  pa.array([(v / np.linalg.norm(v)).tobytes() for v in got], pa.binary())], ["h", "v"])
 
-    rows = (vectors.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(vec_col).alias("v"))
-            .mapInArrow(usable, "h bigint, v binary").orderBy("h", "v").limit(sample).collect())
+    chosen = hash_sample(vectors.select(F.col(id_col).alias("h"), F.col(vec_col).alias("v")), "h", sample)
+    rows = chosen.mapInArrow(usable, "h bigint, v binary").collect()
     if not rows:
         return None
-    got = [np.frombuffer(r["v"]) for r in rows]
+    got = [np.frombuffer(r["v"]) for r in sorted(rows, key=lambda r: (r["h"] is None, r["h"], bytes(r["v"])))]
     sizes = [len(v) for v in got]
     size = max(sorted(set(sizes)), key=sizes.count)
     return Quantiser(np.stack([v for v in got if len(v) == size])), size

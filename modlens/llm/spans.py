@@ -11,7 +11,7 @@ run that covers it isn't the first of its kind.
 Two passes over the texts: the first aggregates run hashes (partial sums before the shuffle, so a
 run in a third of the texts is a few rows); the second emits the places of repeated runs only,
 found by a fixed-size bit filter and then joined exactly. What a text loses is gathered by id and
-joined to the texts.
+joined to the texts that may lose anything; the others aren't shuffled.
 
 Nulls and ties: a null text stays null and an empty one empty, with no sentences; a row without an id
 keeps its text and its runs don't count; repeated rows (same id and text) are one document, each
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import POWERS, key_filter, mix64, passes, schema_with, stored, text_words
+from modlens.llm.common import POWERS, key_filter, mix64, parted, passes, schema_with, stored, text_words
 
 RUN, MIN_WORDS, LONG = 3, 8, 16
 ENDS = np.zeros(256, bool)
@@ -123,8 +123,10 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lost = stored(repeated_runs(docs, id_col, text_col, run, min_words), "runs-lost")
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).alias("__text"))
     lost = lost.select(F.col("id").alias("__id"), F.col("x").alias("__x"), F.col("drop").alias("__drop"))
-    rows = (rows.join(lost, (F.col(f"`{id_col}`") == F.col("__id")) & (version(F.col("__text")) == F.col("__x")), "left")
-            .drop("__id", "__x"))
+    affected, whole = parted(rows, id_col, lost, "__id")
+    affected = (affected.join(lost, (F.col(f"`{id_col}`") == F.col("__id")) & (version(F.col("__text")) == F.col("__x")), "left")
+                .drop("__id", "__x"))
+    rows = affected.unionByName(whole.withColumn("__drop", F.lit(None).cast("array<int>")))
 
     def clean(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import SLICE_BYTES, schema_with, slices, span_hashes, stored, utf8, words
+from modlens.llm.common import SLICE_BYTES, hash_sample, schema_with, slices, span_hashes, stored, utf8, words
 from modlens.llm.decontaminate import FOLD
 
 SAMPLE, VOCABULARY, FOLDS, MIN_DOCS = 20_000, 1024, 5, 5
@@ -62,10 +62,10 @@ def row_words(col: pa.Array):
 def sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str,
             size: int) -> DataFrame:
     """(y, fold, words) of the labelled sample; its ids are broadcast (at most ``size`` rows)."""
-    chosen = (labels.where(F.col(id_col).isNotNull())
+    usable = (labels.where(F.col(id_col).isNotNull())
               .where(" and ".join(f"`{c}` is not null" for c in categories))
-              .select(F.col(id_col).alias("__id"), F.array(*[F.col(f"`{c}`").cast("int") for c in categories]).alias("y"))
-              .orderBy(F.xxhash64("__id"), "__id", "y").limit(size))
+              .select(F.col(id_col).alias("__id"), F.array(*[F.col(f"`{c}`").cast("int") for c in categories]).alias("y")))
+    chosen = hash_sample(usable, "__id", size)
     rows = (docs.where(F.col(text_col).isNotNull())
             .join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
             .select("y", F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"),
