@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm.common import documents, stored
+from modlens.llm.common import documents, parted, stored
 from modlens.llm.decontaminate import without_contaminated
 from modlens.llm.jaccard import jaccard_components
 from modlens.llm.langid import UNKNOWN, predict, profiles
@@ -33,12 +33,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id and a text are one document."""
     groups = (jaccard_components(docs).groupBy(F.col("doc_id").alias("__id"))
               .agg(F.count(F.lit(1)).alias("__rows"), F.min("component_id").alias("__component")))
-    kept = stored(groups.where("__id = __component").select("__id", "__rows"), "pipeline-kept")
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"))
+    # Most documents are alone: only those that may go or repeat an id meet their groups in a join.
+    groups = stored(groups.where("__id is not null and (__id != __component or __rows > 1)"), "pipeline-groups")
+    some, alone = parted(docs, "doc_id", groups, "__id")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.where("__rows = 1").select(*own)
-    repeated = joined.where("__rows > 1").select(*own).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    some = (some.join(groups, F.col("doc_id") == F.col("__id"), "left")
+            .where("__id is null or __id = __component"))
+    once = some.where("coalesce(__rows, 1) = 1").select(*own)
+    repeated = some.where("__rows > 1").select(*own).dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(once).unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
