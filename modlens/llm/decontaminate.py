@@ -56,7 +56,7 @@ def fold(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
     keep[offs[:-1][offs[:-1] < len(x)]] = True
     src = np.flatnonzero(keep)
-    row = np.searchsorted(offs, src, side="right") - 1
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(src, offs)))
     at = np.arange(len(src)) + row * GAP
     out = np.zeros(len(src) + GAP * (len(offs) - 1), np.uint8)
     origin = np.full(len(out), -1, np.int64)
@@ -80,6 +80,7 @@ class Benchmark:
         sizes = np.array([len(f) for f in folded])
         self.begin = np.concatenate(([0], np.cumsum(sizes + GAP)))
         self.text = np.zeros(self.begin[-1], np.uint8)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes + GAP)  # item of each place
         self.units: list[np.ndarray] = []
         self.length = np.minimum(sizes, WINDOW)
         for f, b, n in zip(folded, self.begin, self.length):
@@ -120,29 +121,44 @@ def candidates(b: Benchmark, x: np.ndarray) -> list[tuple[int, int, int]]:
     p, g = hits(b, x)
     if not len(p):
         return []
-    item = np.searchsorted(b.begin, g, side="right") - 1
     n_items = len(b.ids)
-    key = ((p - g + len(b.text)) // CELL) * n_items + item
+    key = ((p - g + len(b.text)) // CELL) * n_items + b.owner[g]
     order = np.argsort(key)  # any order within a cell: places are sorted where they are used
     key, g = key[order], g[order]
-    cells, first, count = np.unique(key, return_index=True, return_counts=True)
-    # A band is a cell and the next one; it begins at the cell or, where that is empty, before the next.
-    bands = np.unique(np.concatenate((cells, cells - n_items)))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    cells, count = key[first], np.diff(np.append(first, len(key)))
+    # A band is a cell and the next one. One of the two holds at least half of what a band must hold.
+    strong = cells[2 * count >= b.least[cells % n_items]]
+    bands = np.sort(np.concatenate((strong, strong - n_items)))
+    bands = bands[np.concatenate(([True], bands[1:] != bands[:-1]))] if len(bands) else bands
     size = np.zeros(len(bands), np.int64)
     for shift in (0, n_items):
         k = np.minimum(np.searchsorted(cells, bands + shift), len(cells) - 1)
         size += np.where(cells[k] == bands + shift, count[k], 0)
+    # The distinct benchmark places of each band that has enough hits, bands one after the other.
+    bands = bands[size >= b.least[bands % n_items]]
+    held = []
+    for shift in (0, n_items):
+        k = np.minimum(np.searchsorted(cells, bands + shift), len(cells) - 1)
+        n = np.where(cells[k] == bands + shift, count[k], 0)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held.append((np.repeat(np.arange(len(bands)), n) << 32) | g[np.repeat(first[k], n) + within])
+    held = np.sort(np.concatenate(held))
+    held = held[np.concatenate(([True], held[1:] != held[:-1]))] if len(held) else held
+    of, places = held >> 32, held & 0xFFFFFFFF
+    # A window's worth of them must stand within a window's length.
+    i = bands[of] % n_items
+    last = np.arange(len(held)) + b.least[i] - 1
+    inside = last < len(held)
+    last = np.where(inside, last, 0)
+    dense = inside & (of[last] == of) & (places[last] - places <= b.length[i] - Q)
     out = []
-    for band in bands[size >= b.least[bands % n_items]].tolist():
+    for k in np.unique(of[dense]).tolist():
+        band = int(bands[k])
         i = band % n_items
-        parts = []
-        for c in (band, band + n_items):
-            k = int(np.searchsorted(cells, c))
-            if k < len(cells) and cells[k] == c:
-                parts.append(g[first[k]:first[k] + count[k]])
-        places = np.unique(np.concatenate(parts))
+        own = places[np.searchsorted(of, k):np.searchsorted(of, k + 1)]
         units = b.units[i]
-        shared = np.searchsorted(places, units + b.length[i] - Q + 1) - np.searchsorted(places, units)
+        shared = np.searchsorted(own, units + b.length[i] - Q + 1) - np.searchsorted(own, units)
         diagonal = band // n_items * CELL - len(b.text)
         out.extend((i, int(u), diagonal) for u in units[shared >= b.least[i]])
     return out
