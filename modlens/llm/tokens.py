@@ -1,10 +1,11 @@
 """Token counts by separator scan over flat, unindexed token files.
 
-Layout. A token file is a stream of little-endian 32-bit ids. Each document is its tokens, three words
-that hold its 64-bit id (22 bits each, so that they can't look like the separator), and the separator.
-There is no index and no header. Spark's text writer makes the files: a row is a document's bytes, the
-line separator is the end-of-document identifier ``0x7F7F7F7F``; ids are below 2^24, so those four
-bytes occur nowhere else. Files hold at most ``DOCS_PER_FILE`` documents.
+Layout. A token file is a stream of big-endian words of 16 bits, or of 32 for a vocabulary of more than
+50,367. Each document is its tokens, a few words that hold its 64-bit id (in so few bits each that they
+can't look like the separator), and the separator. There is no index and no header. Spark's text
+writer makes the files: a row is a document's bytes, and the line separator is the end-of-document
+identifier, a word that is no token and whose bytes are a character (``0xC4BF``, or ``0x7F7F7F7F``).
+Files hold at most ``DOCS_PER_FILE`` documents.
 
 Scan. Files are cut into blocks of ``BLOCK`` words wherever that falls. Each block is searched for
 separators with one vector comparison, on its own; boundaries are stitched by a prefix scan over a
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import importlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,32 @@ from modlens.llm.common import scratch_path
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SEPARATOR = 0x7F7F7F7F
-SEPARATOR_TEXT = "\x7f" * 4
-ID_WORDS, ID_BITS = 3, 22
-BLOCK = 1 << 18
+BLOCK = 1 << 19
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Words of a token file. The id takes ``id_words`` words of ``id_bits`` bits; the bit after its last
+    marks a null id."""
+
+    kind: str
+    separator: int
+    text: str
+    id_words: int
+    id_bits: int
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+
+NARROW = Layout(">u2", 0xC4BF, "\u013f", 5, 15)
+WIDE = Layout(">u4", 0x7F7F7F7F, "\x7f" * 4, 3, 22)
 DOCS_PER_FILE = 4096
 #: A run without any blank is tokenised in parts of this many characters: the vocabulary's merges
 #: take time with the square of a run's length. Such runs are no words; their counts are of the parts.
 LONGEST_RUN = 4096
+LONG_RUN = re.compile(rf"(?<!\S)\S{{{LONGEST_RUN + 1},}}")
 
 _MADE: dict[int, object] = {}
 
@@ -54,15 +75,11 @@ def tokenizer(ranks: bytes):
 
 def parts(text: str) -> list[str]:
     """The text, cut inside runs of more than LONGEST_RUN characters without a blank."""
-    if len(text) <= LONGEST_RUN:
-        return [text]
-    out, a, run = [], 0, 0
-    for word in text.split(" "):
-        if len(word) > LONGEST_RUN:
-            for b in range(run + LONGEST_RUN, run + len(word), LONGEST_RUN):
-                out.append(text[a:b])
-                a = b
-        run += len(word) + 1
+    out, a = [], 0
+    for run in LONG_RUN.finditer(text):
+        for b in range(run.start() + LONGEST_RUN, run.end(), LONGEST_RUN):
+            out.append(text[a:b])
+            a = b
     return [*out, text[a:]]
 
 
@@ -71,24 +88,32 @@ def encode(encoder, text: str) -> np.ndarray:
     return got[0] if len(got) == 1 else np.concatenate(got)
 
 
-def id_words(key: int | None) -> np.ndarray:
-    """Three words below 2^23: 22, 22 and 20 bits of the id, the last with a bit for null."""
-    if key is None:
-        return np.array([0, 0, 1 << 20], np.uint32)
-    u = key & ((1 << 64) - 1)
-    return np.array([u & 0x3FFFFF, u >> 22 & 0x3FFFFF, u >> 44], np.uint32)
+def id_words(key: int | None, layout: Layout) -> list[int]:
+    """The id's bits, lowest first; only the null mark for a null id."""
+    u = 1 << 64 if key is None else key & ((1 << 64) - 1)
+    return [u >> layout.id_bits * j & ((1 << layout.id_bits) - 1) for j in range(layout.id_words)]
 
 
-def word_ids(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(words: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     """(ids, null flags) of rows of id words."""
     w = words.astype(np.uint64)
-    null = (w[:, 2] >> np.uint64(20)) != 0
-    return (w[:, 0] | (w[:, 1] << np.uint64(22)) | (w[:, 2] << np.uint64(44))).view(np.int64), null
+    out = np.zeros(len(w), np.uint64)
+    for j in range(layout.id_words):
+        out |= w[:, j] << np.uint64(layout.id_bits * j)
+    null = w[:, -1] >> np.uint64(64 - layout.id_bits * (layout.id_words - 1)) != 0
+    return out.view(np.int64), null
+
+
+def layout_of(vocabulary: str) -> Layout:
+    """Narrow words where every id of a ranks file is below the narrow separator."""
+    with open(vocabulary, "rb") as f:
+        return NARROW if max(int(line.split()[1]) for line in f if line.strip()) < NARROW.separator else WIDE
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                       vocabulary: str = VOCABULARY) -> None:
-    """Tokenise every text into flat token files under ``path``."""
+    """Tokenise every text into flat token files under ``path``, in the vocabulary's layout."""
+    layout = layout_of(vocabulary)
     with open(vocabulary, "rb") as f:  # on the driver; workers get the content
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -96,46 +121,47 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         encoder = tokenizer(ranks.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [np.concatenate((encode(encoder, t.as_py() or ""), id_words(i))).astype("<u4").tobytes()
+            rows = [np.append(encode(encoder, t.as_py() or ""), id_words(i, layout)).astype(layout.kind).tobytes()
                     for i, t in zip(ids, batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["tokens"])
 
     (docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(work, "tokens binary")
      .select(F.col("tokens").cast("string").alias("value"))
-     .write.option("maxRecordsPerFile", DOCS_PER_FILE).text(path, lineSep=SEPARATOR_TEXT))
+     .write.option("maxRecordsPerFile", DOCS_PER_FILE).text(path, lineSep=layout.text))
 
 
-def scan_token_files(spark: SparkSession, path: str, separator: int = SEPARATOR, trailer: int = ID_WORDS,
+def scan_token_files(spark: SparkSession, path: str, layout: Layout = NARROW, ids: bool = True,
                      block: int = BLOCK) -> DataFrame:
     """(path, document, start, n_tokens, id): documents of flat token files, numbered within a file.
 
-    start is the place of a document's first token; trailer words before the separator aren't
-    tokens (0 for files without ids, whose id is then null)."""
-    size = 4 * block
+    start is the place of a document's first token. Without ``ids`` the files hold tokens and
+    separators only, and id is null."""
+    trailer, word = layout.id_words if ids else 0, layout.size
+    size = word * block
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
              .load(path).where("length > 0"))
     blocks = files.select("path", F.explode(F.expr(
         f"transform(sequence(0, cast((length - 1) div {size} as int)), b -> struct(b as block, substring(content, "
-        f"greatest(b * {size} - {4 * trailer}, 0) + 1, {size} + if(b = 0, 0, {4 * trailer})) as words))")).alias("b"))
+        f"greatest(b * {size} - {word * trailer}, 0) + 1, {size} + if(b = 0, 0, {word * trailer})) as words))")).alias("b"))
 
     def find(batches):
         for batch in batches:
-            ends, ids = [], []
+            ends, keys = [], []
             for b, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(raw.as_buffer(), "<u4")
+                x = np.frombuffer(raw.as_buffer(), layout.kind)
                 lead = trailer if b else 0
-                at = np.flatnonzero(x[lead:] == separator) + lead
+                at = np.flatnonzero(x[lead:] == layout.separator) + lead
                 ends.append(at - lead + b * block)
                 if trailer:
-                    key, null = word_ids(np.stack([x[at - trailer + j] for j in range(ID_WORDS)], axis=1))
-                    ids.append(pa.array(key, mask=null))
+                    key, null = word_ids(np.stack([x[at - trailer + j] for j in range(trailer)], axis=1), layout)
+                    keys.append(pa.array(key, mask=null))
                 else:
-                    ids.append(pa.nulls(len(at), pa.int64()))
+                    keys.append(pa.nulls(len(at), pa.int64()))
             offs = np.concatenate(([0], np.cumsum([len(e) for e in ends]))).astype(np.int32)
             flat = np.concatenate(ends).astype(np.int64) if ends else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, pa.array(flat)),
-                 pa.ListArray.from_arrays(offs, pa.concat_arrays(ids) if ids else pa.array([], pa.int64()))],
+                 pa.ListArray.from_arrays(offs, pa.concat_arrays(keys) if keys else pa.array([], pa.int64()))],
                 ["path", "block", "ends", "ids"])
 
     found = blocks.select("path", "b.block", "b.words").mapInArrow(
@@ -157,4 +183,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     write_token_files(docs, path, id_col, text_col, vocabulary)
-    return scan_token_files(spark, path).select(F.col("id").alias(id_col), "n_tokens")
+    return scan_token_files(spark, path, layout_of(vocabulary)).select(F.col("id").alias(id_col), "n_tokens")
