@@ -231,8 +231,6 @@ def channel_search(df: DataFrame, query: Mapping[str, Sequence[str]],
     return df.where(F.coalesce(cond, F.lit(False)))
 
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
-
 
 def url_host_path(url: Column) -> Column:
     """URL without scheme, query and fragment: ``host/path``."""

@@ -76,10 +76,6 @@ def _md5(key: str, seed: int = I.SEED) -> str:
     return f"md5(CAST({key} AS VARCHAR) || ':{seed}')"
 
 
-def _md5u(key: str, seed: int = I.SEED) -> str:
-    return f"CAST(('0x' || substr({_md5(key, seed)}, 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
-
-
 def split_ctes(src: str, key: str, label: str, out: str, p: str = "sp") -> str:
     """Exact stratified 80/10/10 split of CTE ``src`` into CTE ``out`` (adds ``split``)."""
     return f"""{p}_rank AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {_md5(key)}, {key}) AS {p}_rk FROM {src}),
