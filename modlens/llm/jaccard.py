@@ -88,22 +88,24 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
 
 
 def frequent_buckets(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Class of every hash bucket: 0, or 1 + log2 of its count where tasks find it frequent.
+    """Class of every hash bucket: 0, or 1 + log2 of its count where it stands out.
 
-    At most 2^bits rows reach the driver, whatever the input."""
+    A task passes on the buckets that hold more than chance gives them; what stands out of their
+    sums, at most a quarter of 2^bits rows whatever the input, reaches the driver."""
     def count(batches):
         total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, g in row_sets(batch.column(0), words):
                 np.add.at(total, (g >> np.uint64(64 - bits)).astype(np.int64), 1)
-        hot = np.flatnonzero(total >= 5 + 4 * total.mean())
+        mean = total.mean()
+        hot = np.flatnonzero(total >= 1 + mean + 2 * mean ** 0.5)
         yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(total[hot].astype(np.int64))], ["b", "n"])
 
-    rows = (texts.select("text").mapInArrow(count, "b int, n bigint")
-            .groupBy("b").agg(F.sum("n").alias("n")).collect())
+    sums = cut(texts.select("text").mapInArrow(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")))
+    noise = (sums.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    rows = sums.where(F.col("n") >= 16 + 4 * noise).toArrow()
     out = np.zeros(1 << bits, np.uint8)
-    for r in rows:
-        out[r["b"]] = 1 + int(r["n"]).bit_length()
+    out[rows.column("b").to_numpy()] = 1 + np.log2(np.maximum(rows.column("n").to_numpy(), 1)).astype(np.uint8)
     return out
 
 
@@ -126,7 +128,8 @@ def signatures(texts: DataFrame, words: int, threshold: int, order: np.ndarray)
                     c = cls[g >> shift]
                     if c.any():
                         g = g[np.argsort(c, kind="stable")]
-                    prefixes[i] = g[:n + (-threshold * n) // 100 + 1].view(np.int64).copy()  # not all of g
+                    # 48 bits say which postings to bring together; sets are compared on all 64
+                    prefixes[i] = (g[:n + (-threshold * n) // 100 + 1] >> np.uint64(16)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(ns), pa.array(sets, pa.int64()), pa.array(sigs, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "set_id", "sig", "prefix"])
