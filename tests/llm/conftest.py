@@ -3,6 +3,10 @@ import os
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+# The tests one folder up import these from "conftest", which may be this file when all tests run together.
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
                    StructField("source", StringType()), StructField("n_chars", LongType())])

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from modlens.llm.common import documents
-from modlens.llm.toxicity import FOLDS, Rows, chain_scores, fit, predict
+from modlens.llm.toxicity import FOLDS, L2, Rows, chain_scores, fit, predict
 
 
 def test_held_out_accuracy(spark):
@@ -57,7 +57,7 @@ def test_fit_reaches_the_optimum():
     y = (r.random(400) < predict(x, none, w0)).astype(float)
     use = np.ones(400, bool)
     w = fit(x, none, y, use, rounds=2000)
-    g = np.concatenate((x.back(predict(x, none, w) - y), [(predict(x, none, w) - y).sum()])) + np.append(w[:-1], 0)
+    g = np.concatenate((x.back(predict(x, none, w) - y), [(predict(x, none, w) - y).sum()])) + L2 * np.append(w[:-1], 0)
     assert np.abs(g).max() < 1e-3
     assert np.abs(fit(x, none, y, use) - w).max() < 0.05
 
