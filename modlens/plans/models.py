@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from modlens.operators import evaluate as ev
 from modlens.operators import ml
 from modlens.operators import sampling as smp
+from modlens.operators.partitioning import spread
 from modlens.plans import inputs as I
 from modlens.session import scratch_path
 from modlens.sources import files
@@ -43,7 +44,8 @@ def _register(name):
 
 
 def split_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smp.stratified_split(I.labeled(spark, sf_dir), "doc_id", "label", seed=I.SEED)
+    # few input files would leave the passes of a fit to one core
+    return smp.stratified_split(spread(I.labeled(spark, sf_dir), "doc_id"), "doc_id", "label", seed=I.SEED)
 
 
 def _fit(spark, sf_dir):
