@@ -99,14 +99,17 @@ def tokens(c: str | Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array (n = 1 returns the tokens)."""
+    """Space-joined n-grams of a token array (n = 1 returns the tokens).
+
+    The array is zipped with itself, shifted: an expression for the tokens is evaluated a few
+    times per row, not once per n-gram."""
     if n == 1:
         return toks
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(toks) - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(toks, i, n), " "),
-    )
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = toks
+    for j in range(1, n):
+        shifted = F.slice(toks, j + 1, F.greatest(F.size(toks), F.lit(1)))
+        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(grams, lambda g: g.isNotNull())
 
 
 def sigmoid(z: str | Column) -> Column:
