@@ -3,14 +3,18 @@
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes and brackets aside),
 and at a line break. A sentence of more than ``LONG`` words is cut further after every word whose
 hash is divisible by 4, so that a passage without full stops, or one glued into another sentence,
-is cut alike wherever it stands. Every run of ``RUN`` consecutive sentences with at least
-``MIN_WORDS`` words is hashed over its words (A-Z lowered). A run that occurs again, in any text,
-is removed everywhere but at its first place (smallest id, then place): a sentence goes when any
-run that covers it isn't the first of its kind.
-
-Two passes over the texts: the first aggregates run hashes (partial sums before the shuffle, so a
+is cut alike wherever it stands; what is still longer is cut every ``LONG`` words. From every
+sentence, and back from every sentence, the shortest run of at least ``RUN`` consecutive sentences
+with at least ``MIN_WORDS`` words is hashed over its words (A-Z lowered), so short lines make longer
+runs. Where a passage is glued into other sentences its first and last one differ, so runs of more
+than ``LONG`` words between content-defined cuts of the whole text, whatever its sentences, are hashed
+as well. A run that occurs again, in any text, is removed everywhere but at its first place (smallest
+id, then place): words go when any run that covers them isn't the first of its kind, and
+``n_removed`` counts the sentences that lose any.
+
+Two passes over the texts: the first counts run hashes (partial sums before the shuffle, so a
 run in a third of the texts is a few rows); the second emits the places of repeated runs only,
-found by a fixed-size bit filter and then joined exactly. What a text loses is gathered by id and
+found by a fixed-size bit filter, and joins them exactly with the first place of each run. What a text loses is gathered by id and
 joined to the texts that may lose anything; the others aren't shuffled.
 
 Nulls and ties: a null text stays null and an empty one empty, with no sentences; a row without an id
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from modlens.llm.common import POWERS, key_filter, mix64, parted, passes, schema_with, stored, text_words
 
 RUN, MIN_WORDS, LONG = 3, 8, 16
+RUNS_PER_BATCH = 1 << 18
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True
 CLOSING = np.zeros(256, bool)
@@ -49,13 +54,44 @@ def sentences(data: np.ndarray, breaks: np.ndarray, starts: np.ndarray, ends: np
     size = np.diff(np.append(first, n))
     cut = np.repeat(size > LONG, size) & (hashes % np.uint64(4) == 0)
     cut[-1] = False
-    return np.union1d(first, np.flatnonzero(cut) + 1)
+    return capped(np.union1d(first, np.flatnonzero(cut) + 1), n)
 
 
-def row_runs(col: pa.Array, run: int, min_words: int):
-    """(row, bytes, sentence begin places, run hashes, first sentence of each run) of every text.
+def capped(units: np.ndarray, n: int) -> np.ndarray:
+    """The units' first words, units of more than LONG of the n words cut every LONG words."""
+    more = (np.diff(np.append(units, n)) - 1) // LONG
+    if not more.any():
+        return units
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return np.union1d(units, np.repeat(units, more) + LONG * nth)
+
+
+def passages(hashes: np.ndarray) -> np.ndarray:
+    """Number of each piece's first word where a text is cut by content alone."""
+    cut = np.flatnonzero(hashes[:-1] % np.uint64(4) == 0) + 1
+    return capped(np.concatenate(([0], cut)), len(hashes))
 
-    Begin places are bytes within ``data``; the first is the text's own begin."""
+
+def shortest_runs(units: np.ndarray, n: int, run: int, min_words: int, both: bool) -> np.ndarray:
+    """First word and the word after the last, in one integer, of the shortest runs of at least ``run``
+    units and ``min_words`` words from every unit on; with ``both`` also of those up to every unit."""
+    edges, k = np.append(units, n), len(units)
+    if k < run or n < min_words:
+        return np.empty(0, np.int64)
+    at = np.arange(k)
+    to = np.maximum(at + run, np.searchsorted(edges, edges[:-1] + min_words))
+    if not both:
+        return edges[at[to <= k]] << 32 | edges[to[to <= k]]
+    end = np.arange(1, k + 1)
+    back = np.minimum(end - run, np.searchsorted(edges, edges[1:] - min_words, side="right") - 1)
+    a = np.concatenate((at[to <= k], back[back >= 0]))
+    b = np.concatenate((to[to <= k], end[back >= 0]))
+    return np.unique(edges[a] << 32 | edges[b])
+
+
+def row_units(col: pa.Array):
+    """(row, word begin places, word hash sums, powers, first word of each sentence, word hashes) of every
+    text. Places are bytes, the first word's being the text's own begin."""
     for first, data, s, e, h, counts in text_words(col):
         # Hash of any word range from prefix sums, as for words.
         up, down = POWERS.upto(len(h) + 1)
@@ -63,55 +99,80 @@ def row_runs(col: pa.Array, run: int, min_words: int):
         np.cumsum(h * up[:-1], out=sums[1:])
         breaks, at = np.flatnonzero(data == 10), 0
         for i, n in enumerate(counts.tolist()):
-            units = sentences(data, breaks, s[at:at + n], e[at:at + n], h[at:at + n]) + at
-            if len(units) >= run:
-                a = units[:len(units) - run + 1]
-                b = np.append(units[run:], at + n)
-                long = np.flatnonzero(b - a >= min_words)
-                a, b = a[long], b[long]
-                keys = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-            else:
-                long, keys = np.empty(0, np.int64), np.empty(0, np.uint64)
-            yield first + i, data, s[units], keys.view(np.int64), long
+            own = slice(at, at + n)
+            units = sentences(data, breaks, s[own], e[own], h[own])
+            yield first + i, s[own], sums[at:at + n + 1], down[own], units, h[own]
             at += n
 
 
+def row_runs(col: pa.Array, run: int, min_words: int):
+    """(row, run hashes, first word and number of words of each run) of every text.
+
+    The latter two share an integer; first and last would collide in the JVM's hash of a long."""
+    for row, _, sums, down, units, h in row_units(col):
+        n = len(h)
+        if not n:
+            continue
+        spans = np.union1d(shortest_runs(units, n, run, min_words, True),
+                           shortest_runs(passages(h), n, run, max(min_words, LONG + 1), False))
+        a, b = spans >> 32, spans & 0xFFFFFFFF
+        yield row, mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64), a << 32 | b - a
+
+
 def version(text: Column) -> Column:
     return F.crc32(text.cast("binary")).bitwiseAND(0x7FFFFFFF).cast("int")
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
-    """(id, x, drop): the numbers of the sentences each text loses; x tells apart texts under one id."""
+    """(id, x, drop): the runs each text loses, in order; x tells apart texts under one id."""
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), version(F.col(text_col)).alias("x"), F.col(text_col).alias("text"))
 
-    def emit(keep=None):
-        def work(batches):
-            for batch in batches:
-                rows, keys, places = [], [], []
-                for row, _, _, k, at in row_runs(batch.column(2), run, min_words):
-                    if keep is not None and len(k):
-                        ok = passes(keep.value, k)
-                        k, at = k[ok], at[ok]
-                    rows.append(np.full(len(k), row))
-                    keys.append(k)
-                    places.append(at)
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), batch.column(0).take(take), batch.column(1).take(take),
-                         pa.array(np.concatenate(places).astype(np.int32))], ["h", "id", "x", "at"])
-
-        return texts.mapInArrow(work, "h bigint, id bigint, x int, at int")
-
-    known = stored(emit().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "x", "at")).alias("first"))
-                   .where("n > 1"), "runs-repeated")
-    keep = docs.sparkSession.sparkContext.broadcast(key_filter(known, F.col("h")))
-    later = (emit(keep).join(known.select("h", "first"), "h")
-             .where(F.struct("id", "x", "at") != F.col("first")))
-    # Only the numbers of one text's own sentences meet here.
-    return (later.select("id", "x", F.explode(F.sequence("at", F.col("at") + (run - 1))).alias("s"))
-            .groupBy("id", "x").agg(F.sort_array(F.collect_set("s")).alias("drop")))
+    def hashes(batches):
+        for batch in batches:
+            keys, held = [], 0
+            for _, k, _ in row_runs(batch.column(0), run, min_words):
+                keys.append(k)
+                held += len(k)
+                if held >= RUNS_PER_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["h"])
+                    keys, held = [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["h"])
+
+    again = stored(texts.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").select("h"), "runs-repeated")
+    keep = docs.sparkSession.sparkContext.broadcast(key_filter(again, F.col("h")))
+
+    def emit(batches):
+        def made(batch, rows, keys, places):
+            take = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), batch.column(0).take(take), batch.column(1).take(take),
+                 pa.array(np.concatenate(places))], ["h", "id", "x", "at"])
+
+        for batch in batches:
+            rows, keys, places, held = [], [], [], 0
+            for row, k, at in row_runs(batch.column(2), run, min_words):
+                if len(k):
+                    ok = passes(keep.value, k)
+                    k, at = k[ok], at[ok]
+                rows.append(np.full(len(k), row))
+                keys.append(k)
+                places.append(at)
+                held += len(k)
+                if held >= RUNS_PER_BATCH:
+                    yield made(batch, rows, keys, places)
+                    rows, keys, places, held = [], [], [], 0
+            if rows:
+                yield made(batch, rows, keys, places)
+
+    # A place that only passes the filter is the first of its run and goes no further.
+    places = stored(texts.mapInArrow(emit, "h bigint, id bigint, x int, at bigint"), "runs-places")
+    firsts = places.groupBy("h").agg(F.min(F.struct("id", "x", "at")).alias("first"))
+    later = places.join(firsts, "h").where(F.struct("id", "x", "at") != F.col("first"))
+    # Only the runs of one text meet here.
+    return later.groupBy("id", "x").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
 def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
@@ -126,17 +187,17 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     affected, whole = parted(rows, id_col, lost, "__id")
     affected = (affected.join(lost, (F.col(f"`{id_col}`") == F.col("__id")) & (version(F.col("__text")) == F.col("__x")), "left")
                 .drop("__id", "__x"))
-    rows = affected.unionByName(whole.withColumn("__drop", F.lit(None).cast("array<int>")))
+    rows = affected.unionByName(whole.withColumn("__drop", F.lit(None).cast("array<bigint>")))
 
     def clean(batches):
         for batch in batches:
             col, drops = batch.column("__text"), batch.column("__drop")
             texts, counts, gone, spans = [], [], [], []
-            for i, data, begins, _, _ in row_runs(col, run, min_words):
-                drop = drops[i].as_py() or []
-                counts.append(len(begins))
-                gone.append(len(drop))
-                if not drop:
+            for i, begins, _, _, units, _ in row_units(col):
+                drop = drops[i].values.to_numpy() if drops[i].is_valid else ()
+                counts.append(len(units))
+                if not len(drop):
+                    gone.append(0)
                     texts.append(col[i].as_py())
                     spans.append("")
                     continue
@@ -144,8 +205,11 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 # begins are places in the slice's bytes: the text's own begin is found from its end
                 base = begins - begins[0] + (len(whole) - len(whole.lstrip(b" \t\n\x0b\x0c\r")))
                 edges = np.append(base, len(whole))
-                keep = np.ones(len(begins), bool)
-                keep[drop] = False
+                change = np.zeros(len(begins) + 1, np.int64)
+                np.add.at(change, drop >> 32, 1)
+                np.add.at(change, (drop >> 32) + (drop & 0xFFFFFFFF), -1)
+                keep = np.cumsum(change[:-1]) == 0
+                gone.append(int((np.add.reduceat(~keep, units) > 0).sum()))
                 edge = np.flatnonzero(np.diff(np.concatenate(([1], keep, [1])).astype(np.int8)))
                 out, at, said, chars = [], 0, [], 0
                 for a, b in edge.reshape(-1, 2):

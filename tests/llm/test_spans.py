@@ -66,3 +66,22 @@ def test_texts_under_one_id_are_told_apart(docs_frame):
     rows = [(1, p), (3, "first own words here. " + p), (3, "other words of another text. and some more. " + p)]
     assert sorted(r["text"] for r in run(docs_frame(rows)).values()) == sorted(
         [p, "first own words here. ", "other words of another text. and some more. "])
+
+
+def test_short_lines_and_repeated_words_make_runs(docs_frame):
+    r = random.Random(4)
+    lines = "\n".join(f"v{r.randrange(10 ** 6)}" for _ in range(60))
+    tail = "one two three four five six. a. b. seven eight nine ten eleven twelve thirteen. x. y. z."
+    rows = [(1, lines), (2, lines), (3, "buy " * 60), (4, "buy " * 60), (5, "spam " * 60), (6, "spam " * 60), (7, tail), (8, tail)]
+    got = {k[0]: v for k, v in run(docs_frame(rows)).items()}
+    assert got[1]["text"] == lines and got[7]["text"] == tail
+    assert all(got[i]["text"] == "" and got[i]["n_removed"] == got[i]["n_sentences"] for i in (2, 4, 6, 8))
+
+
+def test_a_passage_glued_at_both_edges(docs_frame):
+    r = random.Random(5)
+    for _ in range(5):
+        passage = " ".join(sentence(r, 15) for _ in range(4))[:-1]
+        rows = [(i, sentence(r, 6)[:-1] + " " + passage + " " + sentence(r, 6)) for i in range(2)]
+        got = {k[0]: v for k, v in run(docs_frame(rows)).items()}
+        assert got[0]["text"] == rows[0][1] and " ".join(passage.split()[20:40]) not in got[1]["text"]
