@@ -14,11 +14,13 @@ taken if that comes nearer). The miss is at most half a document per source.
 
 Scale. Within a source the Pareto order is the order of u, so the cut is found from word sums
 in 4096 buckets of u, then in 4096 finer ones of the one bucket it falls in, then exactly among
-the documents of that finer bucket (2^-24 of a source). Only sums are shuffled; the decision is
-a comparison with one cut per source.
+the distinct (k, id, size) of that finer bucket (2^-24 of a source, rows with one id aside). Only sums
+are shuffled; the decision is a comparison with one cut per source. Where the cut falls among rows with
+equal k, id and size, as many of them are taken as are needed, by a second hash of a row number: their
+count in 4096 buckets says which bucket is cut, and only its rows are ordered.
 
 Nulls and ties: a null text has size 0 and takes 0; a null source is a source of its own, last in
-order; equal hashes are ordered by id and size; repeated rows are taken or left together; a row with a null id hashes as ''; an empty table gives an empty result.
+order; equal hashes are ordered by id and size; repeated rows are each decided; a row with a null id hashes as ''; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """(id, source, size, source_size, target, copies, pareto_rank, taken), one row per input row."""
     key = order_key(F.col(id_col), seed)
     sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                               word_count(F.col(text_col)).alias("size"), key.alias("k")), "mix-sizes")
+                               word_count(F.col(text_col)).alias("size"), key.alias("k"),
+                               F.monotonically_increasing_id().alias("row")), "mix-sizes")
     first = F.shiftright("k", BITS - STEP)
     second = F.shiftright("k", BITS - 2 * STEP).bitwiseAND((1 << STEP) - 1)
     sums = stored(sized.groupBy("source", first.alias("b")).agg(F.sum("size").alias("s")), "mix-sums")
@@ -103,24 +106,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     u = (F.col("k") + 0.5) / float(1 << BITS)
     rank = u / (1 - u) * ((1 - F.col("f")) / F.col("f"))
-    edge = cuts.where("b2 is not null").select(F.col("source").alias("of"), "b1", "b2", "b2_low", "need", "f")
-    last = sized.join(edge, F.col("source").eqNullSafe(F.col("of"))
-                      & (first == F.col("b1")) & (second == F.col("b2")))
-    order = Window.partitionBy("source").orderBy(rank, "k", "id", "size")
-    ran = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = (last.withColumn("before", F.col("b2_low") + ran - F.col("size"))
-              .withColumn("nth", F.row_number().over(order))
-              .where(2 * F.col("before") + F.col("size") <= 2 * F.col("need"))
-              .groupBy(F.col("source").alias("of"))
-              .agg(F.max(F.struct("nth", "k", F.coalesce("id", F.lit(-1 << 63)).alias("id"), "size")).alias("cut")))
+    own = F.struct("k", F.coalesce("id", F.lit(-1 << 63)).alias("id"), "size")
+    edge = cuts.where("b2 is not null").select(F.col("source").alias("of"), "b1", "b2", "b2_low", "need")
+    last = (sized.join(edge, F.col("source").eqNullSafe(F.col("of"))
+                       & (first == F.col("b1")) & (second == F.col("b2")))
+            .groupBy("source", "b2_low", "need", own.alias("own")).agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("source").orderBy("own")
+    size = F.col("own.size")
+    ran = F.sum(F.col("n") * size).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Rows of a group go one by one: the j-th is taken where that comes nearer than leaving it.
+    room = F.col("need") - F.col("start")
+    some = (F.when(size > 0, F.floor((2 * room - size) / (2 * size)) + 1)
+            .otherwise(F.when(room >= 0, F.col("n")).otherwise(0)))
+    chosen = (last.withColumn("start", F.col("b2_low") + ran - F.col("n") * size)
+              .withColumn("m", F.least(F.col("n"), some)).where("m > 0")
+              .groupBy(F.col("source").alias("of")).agg(F.max(F.struct("own", "m", "n")).alias("cut")))
+    chosen = stored(chosen.select("of", F.col("cut.own").alias("cut"), F.col("cut.m").alias("m"),
+                                  F.col("cut.n").alias("n")), "mix-last-groups")
+
+    salt = F.xxhash64("row").bitwiseAND((1 << STEP) - 1)
+    tied = (sized.join(F.broadcast(chosen.where("m < n")), F.col("source").eqNullSafe(F.col("of")) & (own == F.col("cut")))
+            .select("of", "m", "row", salt.alias("b")))
+    run = F.sum("c").over(Window.partitionBy("of").orderBy("b"))
+    part = (tied.groupBy("of", "m", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("end", run)
+            .where("end - c < m and m <= end")
+            .select(F.col("of").alias("in"), F.col("b").alias("cb"), (F.col("m") - F.col("end") + F.col("c")).alias("left")))
+    rows = (tied.join(F.broadcast(part), F.col("of").eqNullSafe(F.col("in")) & (F.col("b") == F.col("cb")))
+            .withColumn("nth", F.row_number().over(Window.partitionBy("of").orderBy("row"))).where(F.col("nth") == F.col("left"))
+            .select("in", F.struct("b", "row").alias("upto")))
+    chosen = chosen.join(rows, F.col("of").eqNullSafe(F.col("in")), "left").select("of", "cut", "upto")
     cuts = stored(cuts.join(chosen, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-last-cuts")
 
-    at = cuts.select(F.col("source").alias("of"), "source_size", "target", "copies", "f", "b1", "b2",
-                     F.col("cut.k").alias("ck"), F.col("cut.id").alias("cid"), F.col("cut.size").alias("csize"))
-    own = F.struct("k", F.coalesce("id", F.lit(-1 << 63)).alias("id"), "size")
+    u = (F.col("k") + 0.5) / float(1 << BITS)
+    rank = u / (1 - u) * ((1 - F.col("f")) / F.col("f"))
+    at = cuts.select(F.col("source").alias("of"), "source_size", "target", "copies", "f", "b1", "b2", "cut", "upto")
     whole = F.shiftright("k", BITS - 2 * STEP) < F.col("b1") * (1 << STEP) + F.col("b2")
     upto = (F.shiftright("k", BITS - 2 * STEP) == F.col("b1") * (1 << STEP) + F.col("b2")) & (
-        own <= F.struct(F.col("ck").alias("k"), F.col("cid").alias("id"), F.col("csize").alias("size")))
+        (own < F.col("cut")) | (own == F.col("cut")) & (
+            F.col("upto").isNull() | (F.struct(salt.alias("b"), "row") <= F.col("upto"))))
     more = F.coalesce(whole | upto, F.lit(False)).cast("bigint")
     return (sized.join(at, F.col("source").eqNullSafe(F.col("of")), "left")
             .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",

@@ -65,3 +65,11 @@ def test_edge_cases(docs_frame, long_text):
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["taken"] for r in got if r["doc_id"] in (1, 2, 7)} == {1: 0, 2: 0, 7: 0}
     assert mix(docs_frame([])).collect() == []
+
+
+def test_rows_with_one_id_are_each_decided(docs_frame):
+    rows = [(7, "w " * 10, "en", "a")] * 300 + [(None, "w " * 6, "en", "b")] * 200 + [(i, "v " * 9, "en", "c") for i in range(100)]
+    rows += [(1000 + i, "x y z", "en", "ab"[i % 2]) for i in range(60)]
+    got = mix(docs_frame(rows)).collect()
+    assert len(got) == len(rows)
+    check(rows, got)
