@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modlens.llm.common import documents, parted, stored
 from modlens.llm.decontaminate import without_contaminated
-from modlens.llm.jaccard import jaccard_components
+from modlens.llm.jaccard import jaccard_components, with_set_ids
 from modlens.llm.langid import UNKNOWN, predict, profiles
 from modlens.llm.mixing import mix
 from modlens.llm.pii import redacted
@@ -29,19 +29,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows that repeat an
+    """One document of each near-duplicate group: the one with the smallest id, and of several texts
+    under that id one. Texts are decided one by one, also where an id has several; rows that repeat an
     id and a text are one document."""
-    groups = (jaccard_components(docs).groupBy(F.col("doc_id").alias("__id"))
-              .agg(F.count(F.lit(1)).alias("__rows"), F.min("component_id").alias("__component")))
-    # Most documents are alone: only those that may go or repeat an id meet their groups in a join.
-    groups = stored(groups.where("__id is not null and (__id != __component or __rows > 1)"), "pipeline-groups")
-    some, alone = parted(docs, "doc_id", groups, "__id")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    some = (some.join(groups, F.col("doc_id") == F.col("__id"), "left")
-            .where("__id is null or __id = __component"))
-    once = some.where("coalesce(__rows, 1) = 1").select(*own)
-    repeated = some.where("__rows > 1").select(*own).dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(once).unionByName(repeated)
+    members = stored(jaccard_components(docs, sets_too=True).where("doc_id is not null")
+                     .select(F.col("doc_id").alias("__id"), F.col("set_id").alias("__s"),
+                             F.col("component_id").alias("__component"), F.col("component").alias("__node")), "pipeline-members")
+    # Most documents are alone: only those that may go or repeat an id meet the texts kept in a join.
+    several = stored(members.groupBy("__id").agg(F.count(F.lit(1)).alias("__rows"), F.min("__component").alias("__component"))
+                     .where("__id != __component or __rows > 1").select("__id"), "pipeline-groups")
+    kept = (members.where("__s is not null and __id = __component").groupBy("__id", "__node")
+            .agg(F.min("__s").alias("__s")).select("__id", "__s"))
+    some, alone = parted(docs, "doc_id", several, "__id")
+    some = with_set_ids(some, "__set")
+    once = (some.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__set") == F.col("__s")), "left_semi")
+            .groupBy("doc_id", "__set").agg(F.min_by(F.struct(*own), "text").alias("__row")))
+    once = once.select(*[F.col(f"__row.`{c}`") for c in docs.columns])
+    empty = some.where("doc_id is not null and __set is null").select(*own).dropDuplicates(["doc_id", "text"])
+    return (alone.unionByName(some.where("doc_id is null").select(*own)).unionByName(once).unionByName(empty))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import connected, cut, key_filter, mix64, passes, stored, text_words
+from modlens.llm.common import connected, cut, key_filter, mix64, passes, schema_with, stored, text_words
 
 WORDS, THRESHOLD = 5, 75
 SKETCH_BITS = 23
@@ -138,6 +138,19 @@ def signatures(texts: DataFrame, words: int, threshold: int, order: np.ndarray)
         sign, "id bigint, n bigint, set_id bigint, sig binary, prefix array<bigint>")
 
 
+def with_set_ids(docs: DataFrame, column: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """docs and each text's ``set_id``, null for a text without words."""
+    names = [*docs.columns, column]
+
+    def work(batches):
+        for batch in batches:
+            got = [xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None
+                   for _, g in row_sets(batch.column(text_col), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names)
+
+    return docs.mapInArrow(work, schema_with(docs, docs.columns, f"`{column}` bigint"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets meet the threshold, exactly."""
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("n").alias(f"n{s}"),
@@ -231,8 +244,10 @@ def tiles(posts: DataFrame, threshold: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                       threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, component_id), one row per input row. ``threshold`` in percent, 50 to 100."""
+                       threshold: int = THRESHOLD, sets_too: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id), one row per input row. ``threshold`` in percent, 50 to 100.
+
+    With ``sets_too`` also (set_id, component): ids with several texts can name several components alike."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(texts, words, threshold, frequent_buckets(texts, words)), "jaccard-signed")
     sets = stored(signed.where(F.col("set_id").isNotNull()).groupBy("set_id")
@@ -266,7 +281,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = (sets.select("set_id", "rep").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
               .withColumn("component", F.coalesce("component", "set_id")))
     names = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    member = member.join(names, "component").select("set_id", "component_id")
+    member = member.join(names, "component").select("set_id", "component_id", "component")
     return (signed.select("id", "n", "set_id").join(member, "set_id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "id").alias("component_id")))
+                    F.coalesce("component_id", "id").alias("component_id"),
+                    *(["set_id", "component"] if sets_too else [])))

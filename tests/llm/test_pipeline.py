@@ -60,3 +60,12 @@ def test_edge_rows(spark, docs_frame):
     empty = docs_frame([])
     for name, stage in cp.STAGES:
         assert stage(spark, empty, SF001).count() == 0
+
+
+def test_texts_under_one_id_are_decided_one_by_one(spark, docs_frame):
+    base = " ".join(f"a{i}" for i in range(60))
+    other, clean = " ".join(f"b{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, clean), (5, clean), (6, other), (6, other + " more"), (6, None), (None, base)]
+    got = cp.near_duplicates(spark, docs_frame(rows, extra=True), SF001).collect()
+    assert len(got) == 5 and {(r["doc_id"], r["text"]) for r in got if r["doc_id"] != 6} == {(1, base), (5, clean), (None, base)}
+    assert sorted(r["text"] is None for r in got if r["doc_id"] == 6) == [False, True]
