@@ -21,15 +21,19 @@ BATCH_BYTES = "16m"
 FILTER_BITS = 25
 
 
-def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of ``sf_dir``. Python workers find this package where the driver did, so a local session
-    may be started from any folder; clusters get it with ``--py-files``. Their batches are bounded
-    in bytes, as texts are."""
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver did, so a local session may be started from any
+    folder; clusters get it with ``--py-files``. Their batches are bounded in bytes, as texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of ``sf_dir``."""
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -84,4 +84,27 @@ select doc_id, source, size, source_size, target, copies, pareto_rank,
 from o
 """
 
-ORACLE = {"op2_ngram_jaccard": OP2, "op7_embeddings": OP7, "op9_mixing": OP9}
+OP12 = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+  select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+         ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (
+  select *, len(units)::bigint as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a,
+         greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+              when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (
+  select *, array_to_string(units[1:a], '') as pre, array_to_string(units[a + 1:b], '') as mid,
+         array_to_string(units[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+"""
+
+ORACLE = {"op2_ngram_jaccard": OP2, "op7_embeddings": OP7, "op9_mixing": OP9, "op12_infill": OP12}

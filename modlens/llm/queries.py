@@ -9,6 +9,7 @@ from modlens.llm.common import documents
 from modlens.llm.decontaminate import contaminated
 from modlens.llm.embeddings import near_duplicates
 from modlens.llm.extract import extracted
+from modlens.llm.infill import fill_in_middle, restored
 from modlens.llm.jaccard import jaccard_components
 from modlens.llm.langid import held_out, predict, profiles
 from modlens.llm.mixing import mix
@@ -66,6 +67,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document and the text rebuilt from it, as digests."""
+    return (fill_in_middle(documents(spark, sf_dir))
+            .withColumn("restored_sha256", F.sha2(restored(F.col("output"), F.col("form")), 256))
+            .withColumn("output_sha256", F.sha2("output", 256)).drop("output"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_sentence_spans, op6_language,
-    op7_embeddings, op8_decontamination, op9_mixing, op10_html)}
+    op7_embeddings, op8_decontamination, op9_mixing, op10_html,
+    op12_infill)}
