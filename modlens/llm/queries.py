@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlens.llm.alignment import link_counts
 from modlens.llm.common import documents
 from modlens.llm.decontaminate import contaminated
 from modlens.llm.embeddings import near_duplicates
@@ -74,7 +75,12 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("output_sha256", F.sha2("output", 256)).drop("output"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers, with corpus-wide link counts."""
+    return link_counts(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_sentence_spans, op6_language,
     op7_embeddings, op8_decontamination, op9_mixing, op10_html,
-    op12_infill)}
+    op12_infill, op13_alignment)}
