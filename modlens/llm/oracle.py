@@ -84,6 +84,19 @@ select doc_id, source, size, source_size, target, copies, pareto_rank,
 from o
 """
 
+OP11 = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and vec_id is not null
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.e, b.e) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
 OP12 = r"""
 with d as (
   select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
@@ -107,4 +120,5 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint a
 from p
 """
 
-ORACLE = {"op2_ngram_jaccard": OP2, "op7_embeddings": OP7, "op9_mixing": OP9, "op12_infill": OP12}
+ORACLE = {"op2_ngram_jaccard": OP2, "op7_embeddings": OP7, "op9_mixing": OP9, "op11_neighbours": OP11,
+          "op12_infill": OP12}

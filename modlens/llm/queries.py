@@ -14,6 +14,7 @@ from modlens.llm.infill import fill_in_middle, restored
 from modlens.llm.jaccard import jaccard_components
 from modlens.llm.langid import held_out, predict, profiles
 from modlens.llm.mixing import mix
+from modlens.llm.neighbours import nearest_neighbours
 from modlens.llm.pii import personal_data
 from modlens.llm.spans import without_repeated_runs
 from modlens.llm.tokens import token_counts
@@ -68,6 +69,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every row whose id is divisible by 20."""
+    return nearest_neighbours(documents(spark, sf_dir, "embeddings"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-middle form of every document and the text rebuilt from it, as digests."""
     return (fill_in_middle(documents(spark, sf_dir))
@@ -83,4 +89,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_sentence_spans, op6_language,
     op7_embeddings, op8_decontamination, op9_mixing, op10_html,
-    op12_infill, op13_alignment)}
+    op11_neighbours, op12_infill, op13_alignment)}
