@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import softplus
+from modlens.operators.sampling import per_class
 
 METRICS = ("acc", "precision", "recall", "f1")
 _METRIC_COLUMN = {"acc": "accuracy", "precision": "precision", "recall": "recall", "f1": "f1"}
@@ -164,3 +165,29 @@ def align_predictions(labels: DataFrame, preds: DataFrame, key: str,
         if missing:
             raise ValueError("labels and predictions do not cover the same keys")
     return labels.join(preds, key, "inner")
+
+
+def with_position(df: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """0-based position of each row of a Parquet table in file order: files by path, rows as they stand.
+
+    ``df`` is a plain read, as positions come from the scan's metadata. Files are counted, their counts
+    summed in path order (one row per file), and a row's place in its file is added: no row moves.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (at.join(per_class(files), "_file")
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row")).alias(pos_col)))
+
+
+def align_by_position(left: DataFrame, right: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """Rows of two Parquet tables without a common key side by side, by position (``with_position``). Tables of
+    different lengths raise, as a shifted pair of columns would go unnoticed; so do columns of one name."""
+    both = set(left.columns) & set(right.columns)
+    if both:
+        raise ValueError(f"both tables have {sorted(both)}")
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be aligned with {m}")
+    return with_position(left, pos_col).join(with_position(right, pos_col), pos_col)

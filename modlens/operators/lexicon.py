@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions.columns import flag_ge, ngrams, tokens
 from modlens.operators.partitioning import spread
+from modlens.session import checkpoint_root
 
 INLINE_MAX_TERMS = 1000
 BROADCAST_MAX_TERMS = 2_000_000
@@ -129,8 +130,33 @@ def _inline_columns(rows, text_col: str, lang_col: str) -> tuple[Column, Column]
     return matched, result
 
 
+#: A term that is more than one in this many of all matching n-grams is hot; so at most that many are.
+HOT_SHARE = 4096
+
+
+def _on_term(grams: DataFrame, lex: DataFrame) -> DataFrame:
+    return grams.join(lex, (F.col("_lang") == lex["lang"]) & (F.col("_g") == lex["term"]))
+
+
+def _shuffled_match(grams: DataFrame, lex: DataFrame) -> DataFrame:
+    """Matches of a lexicon too large to broadcast, without a hot key.
+
+    N-grams are first counted per (language, n-gram), partly in each task, and the counts alone meet the
+    lexicon. Terms with more than one in ``HOT_SHARE`` of the matches, at most that many, are broadcast to
+    the n-grams; what they don't match meets the other terms in a shuffle, where a key holds at most that
+    share."""
+    checkpoint_root(grams.sparkSession)
+    counted = (grams.groupBy("_lang", "_g").agg(F.count(F.lit(1)).alias("_n")))
+    used = _on_term(counted, lex).select("lang", "term", "cats", "_n").checkpoint()
+    total = used.agg(F.sum("_n")).first()[0] or 0
+    hot, cold = (used.where(c).select("lang", "term", "cats") for c in
+                 (F.col("_n") * HOT_SHARE > total, F.col("_n") * HOT_SHARE <= total))
+    rest = grams.join(F.broadcast(hot), (F.col("_lang") == hot["lang"]) & (F.col("_g") == hot["term"]), "left_anti")
+    return _on_term(grams, F.broadcast(hot)).unionByName(_on_term(rest, cold))
+
+
 def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang_col: str,
-                n_terms: int) -> DataFrame:
+                small: bool) -> DataFrame:
     lex = (lexicon.groupBy("lang", F.array_join(tokens(F.col("term")), " ").alias("term"))
            .agg(F.array_sort(F.collect_set("category")).alias("cats")))
     # Distinct n-gram lengths present in the lexicon: a handful of small ints.
@@ -138,19 +164,21 @@ def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang
                    lex.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
     grams = _all_grams(tokens(F.col(text_col)), sizes or [1])
     # A row is its key, language and text digest: a repeated key keeps each row's own hits, and
-    # equal rows (told apart by a number while exploded) share one result.
+    # equal rows share one result, as a match counts once per place in the text.
     row = F.struct(F.col(key).alias("k"), F.col(lang_col).alias("l"),
                    F.md5(F.col(text_col).cast("binary")).alias("t"))
-    numbered = df.select(row.alias("_row"), F.col(lang_col).alias("_lang"), grams.alias("_grams"),
-                         F.monotonically_increasing_id().alias("_nth"))
-    exploded = numbered.select("_row", "_nth", "_lang", F.explode("_grams").alias("_g"))
-    lex_side = F.broadcast(lex) if n_terms <= BROADCAST_MAX_TERMS else lex
-    matched = exploded.join(lex_side, (F.col("_lang") == lex_side["lang"]) & (F.col("_g") == lex_side["term"]))
-    per_row = matched.groupBy("_row", "_nth").agg(
+    listed = df.select(row.alias("_row"), F.col(lang_col).alias("_lang"), grams.alias("_grams"))
+    exploded = listed.select("_row", "_lang", F.posexplode("_grams").alias("_pos", "_g"))
+    if small:
+        matched = _on_term(exploded, F.broadcast(lex))
+    else:
+        matched = _shuffled_match(exploded, lex)
+    placed = matched.groupBy("_row", "_pos").agg(F.first("term").alias("term"), F.first("cats").alias("cats"))
+    per_row = placed.groupBy("_row").agg(
         F.count(F.lit(1)).alias("hits"),
         F.array_sort(F.collect_set("term")).alias("matched_terms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("cats")))).alias("categories"),
-    ).groupBy("_row").agg(*[F.first(c).alias(c) for c in ("hits", "matched_terms", "categories")])
+    )
     empty = F.array().cast("array<string>")
     return (df.withColumn("_row", row).join(per_row, "_row", "left").drop("_row")
             .withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))
@@ -159,7 +187,8 @@ def _join_match(df: DataFrame, lexicon: DataFrame, key: str, text_col: str, lang
 
 
 def match_lexicon(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str = "doc_id",
-                  text_col: str = "text", lang_col: str = "lang", method: str = "auto") -> DataFrame:
+                  text_col: str = "text", lang_col: str = "lang", method: str = "auto",
+                  broadcast_terms: int = BROADCAST_MAX_TERMS) -> DataFrame:
     """Add ``hits`` (matched token n-grams, repeats counted), ``matched_terms`` and
     ``categories`` (sorted, distinct) to every row of ``df``.
 
@@ -184,7 +213,7 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str
     if rows is not None:
         return _inline_match(df, rows, text_col, lang_col)
     n_terms = lexicon.count()
-    return _join_match(df, lexicon, key, text_col, lang_col, n_terms)
+    return _join_match(df, lexicon, key, text_col, lang_col, n_terms <= broadcast_terms)
 
 
 def lexicon_score(df: DataFrame, lexicon: DataFrame | Sequence[tuple], key: str = "doc_id", text_col: str = "text",

@@ -8,14 +8,19 @@ batch scoring, test metrics, checkpoint / reload, epoch metric logs.
   the one before. Validation loss and metrics each epoch; stop after
   ``patience`` epochs without a ``min_delta`` improvement of val loss; the best
   epoch's model is saved as it is found, and reloaded for use.
+  Training state is committed every epoch, so an interrupted run goes on where it stopped.
 * ``fit_embedding_head`` (M5): logistic head on pooled vectors.
+* ``score_external`` (M3): batch scoring with a model from outside Spark ML, loaded once per worker.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce, wraps
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -23,11 +28,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from modlens.functions.columns import TOKEN_SPLIT, flag_gt
+from modlens.functions.columns import TOKEN_SPLIT, flag_gt, sigmoid
 from modlens.operators.evaluate import bce_with_logits, confusion_aggs, metric_columns
 
 
@@ -125,7 +132,7 @@ def _losses(model, rows: DataFrame, label: str) -> dict:
 
 def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "text", label: str = "label",
                  num_features: int = 1 << 12, max_epochs: int = 20, patience: int = 3,
-                 min_delta: float = 1e-4, iterations: int = 5, seed: int = 1,
+                 min_delta: float = 1e-4, iterations: int = 5, seed: int = 1, resume: bool = False,
                  on_epoch: Callable[[EpochRecord], None] | None = None
                  ) -> tuple[PipelineModel, list[EpochRecord]]:
     """Epoch training with early stopping on val loss; returns the best epoch's model, read back
@@ -133,6 +140,11 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
 
     An epoch is ``iterations`` steps of Spark ML's solver from the last epoch's weights. Hashed
     features are persisted once; the driver holds the weights (two per feature) and the losses.
+
+    Every epoch ends with its state (weights, monitored loss, wait, log row) appended under ``path``. With
+    ``resume`` a run that was stopped goes on after its last committed epoch, with the same arguments and
+    rows, and ends with the log and model of a run that never stopped; a finished run does no work.
+    ``path`` holds one run: without ``resume`` it must be new.
     """
     tokenizer = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
                                toLowercase=True, minTokenLength=1)
@@ -143,28 +155,127 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
     step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[num_features, 2],
                                           maxIter=iterations, solver="l-bfgs", seed=seed, probabilityCol="_prob",
                                           rawPredictionCol="_raw", predictionCol="_pred")
-    best, monitor, wait, log = float("inf"), float("inf"), 0, []
+    best, monitor, wait, log, weights = float("inf"), float("inf"), 0, [], None
+    if resume:
+        log, weights, monitor = last_state(train.sparkSession, path)
+        best, wait = (log[-1].best_val_loss, log[-1].wait) if log else (best, wait)
     try:
-        for epoch in range(max_epochs):
+        for epoch in range(len(log), max_epochs):
+            if log and log[-1].stopped:
+                break
+            if weights is not None:
+                step = step.setInitialWeights(weights)
             head = step.fit(rows.where("_part = 0"))
-            step = step.setInitialWeights(head.weights)
+            weights = head.weights
             losses = _losses(head, rows, label)
             train_loss = losses.get(0, {}).get("loss", 0.0)
             val_loss = losses.get(1, {}).get("loss", train_loss)
             if val_loss < best:
                 best = val_loss
-                save_model(PipelineModel(stages=[tokenizer, tf, head]), path)
+                save_model(PipelineModel(stages=[tokenizer, tf, head]), _best_path(path, epoch))
             improved = val_loss < monitor - min_delta
             monitor, wait = (val_loss, 0) if improved else (monitor, wait + 1)
             metrics = {m: losses.get(1, {}).get(m) for m in ("accuracy", "precision", "recall", "f1")}
             log.append(EpochRecord(epoch, train_loss, val_loss, best, improved, wait, wait >= patience, metrics))
+            _commit_state(train.sparkSession, path, log[-1], weights, monitor)
             if on_epoch:
                 on_epoch(log[-1])
-            if log[-1].stopped:
-                break
     finally:
         rows.unpersist()
-    return load_model(path), log
+    return best_model(train.sparkSession, path), log
+
+
+#: One row per finished epoch. The weights are the next epoch's start; the epoch of the least
+#: ``best_val_loss`` names the model that counts.
+STATE = ("epoch int, weights array<double>, monitor double, train_loss double, val_loss double, best_val_loss double, "
+         "improved boolean, wait int, stopped boolean, metrics map<string, double>")
+
+
+def _best_path(path: str, epoch: int) -> str:
+    return f"{path}/best/epoch-{epoch}"
+
+
+def _commit_state(spark: SparkSession, path: str, r: EpochRecord, weights, monitor: float) -> None:
+    """Append an epoch's row, one row in one file: it is there whole or not at all, and an epoch that has no
+    row is done again, its model written over."""
+    row = (r.epoch, [float(x) for x in weights.toArray()], monitor, float(r.train_loss), float(r.val_loss),
+           float(r.best_val_loss), r.improved, r.wait, r.stopped,
+           {k: float(v) for k, v in r.metrics.items() if v is not None})
+    spark.createDataFrame([row], STATE).coalesce(1).write.mode("append").parquet(f"{path}/state")
+
+
+def _states(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(STATE).parquet(f"{path}/state")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def last_state(spark: SparkSession, path: str) -> tuple[list[EpochRecord], DenseVector | None, float]:
+    """(log so far, weights and monitored loss to go on with) of a run; nothing where it never ended an epoch."""
+    states = _states(spark, path)
+    rows = sorted(states.drop("weights").collect(), key=lambda r: r["epoch"]) if states is not None else []
+    if not rows:
+        return [], None, float("inf")
+    log = [EpochRecord(r["epoch"], r["train_loss"], r["val_loss"], r["best_val_loss"], r["improved"], r["wait"],
+                       r["stopped"], {m: r["metrics"].get(m) for m in ("accuracy", "precision", "recall", "f1")}) for r in rows]
+    weights = states.where(F.col("epoch") == rows[-1]["epoch"]).select("weights").first()["weights"]
+    return log, DenseVector(weights), rows[-1]["monitor"]
+
+
+def best_model(spark: SparkSession, path: str) -> PipelineModel:
+    """The kept model of a run under ``path``: that of the epoch with the least validation loss."""
+    epoch = _states(spark, path).where("val_loss = best_val_loss").agg(F.min_by("epoch", "val_loss")).first()[0]
+    return load_model(_best_path(path, epoch))
+
+
+# ---------------------------------------------------------------- M3: a model from outside Spark ML
+
+def write_model_bytes(spark: SparkSession, model: bytes, path: str) -> str:
+    """A model file as one row of a Parquet table, on storage that the whole cluster reads."""
+    spark.createDataFrame([(bytearray(model),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_model_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.schema("model binary").parquet(path).first()["model"])
+
+
+def score_external(df: DataFrame, path: str, load: Callable[[bytes], Callable], inputs: Sequence[str], keep: Sequence[str],
+                   batch_size: int = 1024) -> DataFrame:
+    """Kept columns and (logit, prob, pred) by a model of any library.
+
+    ``load`` makes a predictor from the model file's bytes; it is called once per Python worker, which keeps
+    it (``predict_batch_udf``). The predictor gets one numpy array per input column, at most ``batch_size``
+    rows, and returns one logit per row. An array column is an array of rows, so its lists have one length;
+    text is an array of strings. The bytes are broadcast: a model must fit in a worker. A row with a NULL
+    input has a NULL logit and probability and is predicted 0, and never reaches the predictor.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(read_model_bytes(spark, path))
+
+    def make():
+        predict = load(shared.value)
+
+        @wraps(predict)  # predict_batch_udf reads the number of columns from the signature
+        def run(*columns):
+            return np.asarray(predict(*columns), np.float64)
+        return run
+
+    shapes = []
+    for c in inputs:
+        nested = isinstance(df.schema[c].dataType, ArrayType)
+        size = df.where(F.col(f"`{c}`").isNotNull()).select(F.size(F.col(f"`{c}`"))).first() if nested else None
+        shapes.append([size[0]] if size else None)
+    udf = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
+                            input_tensor_shapes=shapes if any(shapes) else None)
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in inputs])
+    good = df.where(whole).withColumn("logit", udf(*[F.col(f"`{c}`") for c in inputs]))
+    rest = df.where(~whole).withColumn("logit", F.lit(None).cast("double"))
+    z = F.col("logit")
+    return good.unionByName(rest).select(*keep, z, sigmoid(z).alias("prob"), flag_gt(z, 0.0).alias("pred"))
 
 
 def epoch_log_frame(spark: SparkSession, run: str, log: Sequence[EpochRecord]) -> DataFrame:

@@ -105,7 +105,7 @@ def prepare_scored_comments(df: DataFrame, key: str, order_col: str, score_col:
     stratified 80/10/10 split by label."""
     rolled = annotator_rollup(df, key, order_col)
     labeled = rolled.withColumn("label", flag_gt(F.col(score_col), threshold))
-    return stratified_split(labeled, key, "label", seed=seed)
+    return stratified_split(labeled, key, "label", seed=seed, keep_keys=True)
 
 
 def prepare_adversarial(df: DataFrame, columns: Sequence[str] = ("acl.id", "text", "label", "type",

@@ -150,7 +150,8 @@ def _class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int = DEFAULT_SEED,
                      test_size: float = 0.2, test_share: float = 0.5,
-                     split_col: str = "split", digits: int | None = None) -> DataFrame:
+                     split_col: str = "split", digits: int | None = None, on: DataFrame | None = None,
+                     keep_keys: bool = False) -> DataFrame:
     """Exact stratified train/val/test split (80/10/10 by default), disjoint and complete.
 
     Within each label, rows are ranked by md5(key:seed); the first n-h go to train, the next h-t to
@@ -159,26 +160,37 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
     Rows are never ranked or moved for it. A label needs two cut points, the (hash, key) at ranks
     n-h and n-t: rows are counted per (label, hash bucket), and only the key and hash of the two
     buckets that hold a cut are ranked. The split itself is a comparison with the label's cuts.
+
+    So keys and labels are read twice before the result reads ``df``. ``on`` is a cheaper frame with the
+    same keys and labels to read them from (``df`` may be a join with texts); ``keep_keys`` writes them to
+    the checkpoint folder first, for a ``df`` that is costly to evaluate.
     """
     h = md5_hex(F.col(key), seed)
-    narrow = df.select(F.col(label), F.col(key).alias("_k"), h.alias("_h"))
-    counts = _class_counts(df, label)
-    total = counts.agg(F.sum("n")).first()[0]
-    d = digits or bucket_digits(total)
+    checkpoint_root(df.sparkSession)
+    narrow = (df if on is None else on).select(F.col(label), F.col(key).alias("_k"), h.alias("_h"))
+    if keep_keys:
+        narrow = narrow.checkpoint()
+    # Read 1: counts per hash bucket, from which class counts, quotas and offsets follow.
+    fine = F.substring("_h", 1, digits or UNKNOWN_SIZE_DIGITS)
+    sums = narrow.groupBy(label, fine.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    total, no_class = sums.agg(F.sum("_n"), F.count_if(F.col(label).isNull())).first()
+    if no_class:
+        raise ValueError(f"NULL {label!r} has no class")
+    d = digits or min(bucket_digits(total), UNKNOWN_SIZE_DIGITS)
     bucket = F.substring("_h", 1, d)
-    quotas = split_quotas(counts, label, test_size, test_share)
+    sums = sums.groupBy(label, F.substring("_b", 1, d).alias("_b")).agg(F.sum("_n").alias("_n"))
+    quotas = split_quotas(sums.groupBy(label).agg(F.sum("_n").alias("n")), label, test_size, test_share)
     ranks = quotas.select(F.col(label), F.explode(F.array(
         F.struct(F.lit("train").alias("cut"), (F.col("n") - F.col("held")).alias("at")),
         F.struct(F.lit("val").alias("cut"), (F.col("n") - F.col("test")).alias("at")))).alias("c")).select(label, "c.*")
-    sums = narrow.groupBy(label, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sums.join(_bucket_offsets(sums, [label], d), [label, "_b"])
     edges = (offsets.join(ranks, label)
              .where((F.col("_off") < F.col("at")) & (F.col("at") <= F.col("_off") + F.col("_n")))
-             .select(label, "_b", "cut", (F.col("at") - F.col("_off")).alias("nth")))
+             .select(label, "_b", "cut", (F.col("at") - F.col("_off")).alias("nth")).checkpoint())
+    # Read 2: the rows of the buckets that hold a cut.
     order = Window.partitionBy(label, "_b", "cut").orderBy("_h", "_k")
     found = (narrow.withColumn("_b", bucket).join(per_class(edges), [label, "_b"])
              .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("nth")))
-    checkpoint_root(df.sparkSession)
     cuts = found.groupBy(label).agg(*[
         F.max(F.when(F.col("cut") == c, F.struct("_h", "_k"))).alias(f"_{c}") for c in ("train", "val")]).checkpoint()
     own = F.struct(h.alias("_h"), F.col(key).alias("_k"))
@@ -262,6 +274,75 @@ def balanced_resample(df: DataFrame, key: str, label: str = "label", n_draws: in
             .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_d") * (1 << 16) + F.col("_n")).alias(copy_col)))
 
 
+def exact_resample(df: DataFrame, key: str, label: str = "label", n_draws: int | None = None,
+                   seed: int = DEFAULT_SEED, copy_col: str = "copy", digits: int | None = None) -> DataFrame:
+    """Class-balanced resample with replacement of exactly ``n_draws`` rows (all rows' number by default).
+
+    Draw d = 0, 1, ... takes the class at floor(K u) of the K labels in order, u = md5(seed:d:class), and in it
+    the row of rank floor(n_c v), v = md5(seed:d:row), by md5(key:seed): weight 1 / class count, as
+    independent draws. ``key`` is unique; ``copy`` numbers a row's draws from 1. No rows or no draws
+    give none; a NULL label raises.
+
+    Draws are a range, dealt over the cluster and counted per (class, rank). Rows are ranked without
+    their other columns, inside md5 buckets (``bucketed_rank``). Both meet on (class, rank), where a key is
+    one row, so a class that holds most rows, or a class of one row that owes N / K draws, is no hot
+    key; the drawn rows then meet ``df`` on its key. ``balanced_resample`` moves no rows, but draws N in
+    expectation only.
+    """
+    counts = _class_counts(df, label)
+    n, k_classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = (n or 0) if n_draws is None else n_draws
+    numbered = counts.select(label, "n", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint").alias("_c"))
+    pick = lambda what, many: F.least(
+        F.floor(md5_uniform(F.lit(seed), F.col("id"), F.lit(what)) * many).cast("bigint"), many - 1)
+    spark = df.sparkSession
+    parts = max(1, min(total >> 16, 1 << 17), spark.sparkContext.defaultParallelism if total > 1 << 12 else 1)
+    draws = (spark.range(0, total if n else 0, 1, parts)
+             .withColumn("_c", pick("class", F.lit(k_classes or 1).cast("bigint")))
+             .join(per_class(numbered), "_c").withColumn("_rank", pick("row", F.col("n")) + 1)
+             .groupBy(label, "_rank").agg(F.count(F.lit(1)).alias("_k")))
+    narrow = df.select(label, F.col(key).alias("_key"))
+    ranked = bucketed_rank(narrow, md5_hex(F.col("_key"), seed), "_key", (label,), "_rank", digits or bucket_digits(n))
+    drawn = ranked.join(draws, [label, "_rank"]).select("_key", "_k")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k")))
+    return (df.join(drawn, F.col(key) == F.col("_key"))
+            .select(*[F.col(f"`{c}`") for c in df.columns], copies.alias(copy_col)))
+
+
+def write_epoch_shards(df: DataFrame, key: str, path: str, batch_size: int, epoch: int = 0, seed: int = DEFAULT_SEED,
+                       batches_per_shard: int = 1 << 10, digits: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """An epoch's batches as Parquet files in training order, and their manifest.
+
+    Rows get their batch and place (``batches``), are partitioned by shard (``batches_per_shard``
+    consecutive batches) and sorted inside it, so each shard is a folder ``shard=i`` of one file whose rows
+    stand in order: a reader streams the batches of any shard without a sort, and workers take shards
+    of their own. The manifest (shard, first_batch, last_batch, n_rows, first_pos, last_pos), one row a shard, is
+    written beside them, last, so a folder with a manifest is complete. An empty table writes an empty
+    manifest.
+    """
+    numbered = batches(df, key, batch_size, epoch, seed, digits=digits, n_rows=n_rows)
+    shard = F.floor(F.col("batch_id") / F.lit(batches_per_shard)).cast("bigint")
+    (numbered.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "pos")
+     .write.mode("overwrite").partitionBy("shard").parquet(f"{path}/shards"))
+    spark = df.sparkSession
+    schema = numbered.withColumn("shard", shard).schema
+    manifest = (spark.read.schema(schema).parquet(f"{path}/shards").groupBy("shard")
+                .agg(F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"),
+                     F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")))
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+
+
+def read_epoch_shards(spark, path: str, schema, first_shard: int = 0, last_shard: int | None = None) -> DataFrame:
+    """Rows of a range of shards (pruned by folder) as they stand in the files; ``_file_pos`` is a row's place
+    in its file. ``schema`` is that of the rows written."""
+    whole = spark.read.schema(schema).parquet(f"{path}/shards")
+    some = F.col("shard") >= first_shard
+    if last_shard is not None:
+        some = some & (F.col("shard") <= last_shard)
+    return whole.where(some).withColumn("_file_pos", F.col("_metadata.row_index"))
+
+
 def shuffle_order(df: DataFrame, key: str, epoch: int = 0, seed: int = DEFAULT_SEED,
                   pos_col: str = "pos", digits: int | None = None,
                   n_rows: int | None = None) -> DataFrame:

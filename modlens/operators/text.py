@@ -7,7 +7,7 @@ explode, so a 100k-word text costs at most ``max_len`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.columns import tokens
@@ -27,7 +27,8 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1) -> Dat
     return ranked.select("token", "n", (F.col("_r") + F.lit(FIRST_WORD_ID - 1)).alias("id"))
 
 
-HEAD_SIZE = 100_000
+#: Words that are broadcast: some 30 MB.
+HEAD_SIZE = 400_000
 
 
 def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -35,38 +36,61 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col:
     """(key, input_ids, attention_mask): [BOS] + ids + [EOS], truncated right and
     padded with PAD to ``max_len``; mask is 1 on non-pad positions.
 
+    One row per input row: rows that share a key are told apart by their text, and rows equal in both are
+    counted and dealt out again. A NULL text counts as empty.
+
     Frequent words are hot join keys (one word may be a third of all tokens).
     Ids rank words by frequency, so the ``head_size`` most frequent words are a
     bounded table: it is broadcast and resolves the hot tokens map-side. Only
-    the remaining (rarer) tokens meet the rest of the vocabulary in a shuffle;
-    the texts are tokenised once for each of the two, which costs less than
-    moving every resolved token twice.
+    where the vocabulary is larger do the remaining (rarer) tokens meet its rest in a
+    shuffle; then the texts are tokenised once for each of the two, which costs less
+    than moving every resolved token twice.
     """
     body = max_len - 2
-    toks = F.slice(tokens(F.col(text_col)), 1, body)
+    toks = F.slice(tokens(F.col("_text")), 1, body)
+    rows = spread(df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), key)
+    digest = F.md5(F.col("_text").cast("binary")).alias("_t")
     # explode_outer keeps texts without tokens, so no join back to the keys is needed
-    exploded = spread(df.select(key, text_col), key).select(key, F.posexplode_outer(toks).alias("pos", "token"))
-    head = vocab.where(F.col("id") < FIRST_WORD_ID + head_size).select("token", F.col("id").alias("_hid"))
-    tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select(
-        F.col("token").alias("_jk"), F.col("id").alias("_tid"))
-    step1 = exploded.join(F.broadcast(head), "token", "left")
-    rare = F.col("_hid").isNull() & F.col("pos").isNotNull()
-    resolved = step1.where(~rare).select(key, "pos", F.col("_hid").alias("_id"))
-    looked_up = (step1.where(rare).join(tail, F.col("token") == F.col("_jk"), "left")
-                 .select(key, "pos", F.col("_tid").alias("_id")))
+    exploded = rows.select(key, digest, F.posexplode_outer(toks).alias("pos", "token"))
+    head = vocab.where(F.col("id") < FIRST_WORD_ID + head_size).select("token", F.col("id").alias("_id"))
+    base = exploded.join(F.broadcast(head), "token", "left")
+    if (vocab.agg(F.max("id")).first()[0] or 0) >= FIRST_WORD_ID + head_size:
+        tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select(
+            F.col("token").alias("_jk"), F.col("id").alias("_tid"))
+        rare = F.col("_id").isNull() & F.col("pos").isNotNull()
+        looked_up = (base.where(rare).join(tail, F.col("token") == F.col("_jk"), "left")
+                     .select(key, "_t", "pos", F.col("_tid").alias("_id")))
+        base = base.where(~rare).select(key, "_t", "pos", "_id").unionByName(looked_up)
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")))
-    base = (resolved.unionByName(looked_up).groupBy(key)
-            .agg(F.array_sort(F.collect_list(entry)).alias("_p")))
+    base = (base.groupBy(key, "_t")
+            .agg(F.array_sort(F.collect_set(entry)).alias("_p"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("_m"))
+            .select(key, "_p", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).alias("_nth")))
     word_ids = F.transform(F.col("_p"), lambda s: s["id"].cast("int"))
+    return base.select(key, *_framed(word_ids, max_len))
+
+
+def _framed(word_ids: Column, max_len: int) -> list[Column]:
+    """input_ids with begin, end and padding, and their mask."""
     seq = F.concat(F.array(F.lit(BOS)), word_ids, F.array(F.lit(EOS)))
     n_real = F.size(seq)
-    pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - n_real)
-    return base.select(
-        key,
-        F.concat(seq, pad).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(max_len) - n_real))
-        .alias("attention_mask"),
-    )
+    n_pad = F.lit(max_len) - n_real
+    return [F.concat(seq, F.array_repeat(F.lit(PAD), n_pad)).alias("input_ids"),
+            F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), n_pad)).alias("attention_mask")]
+
+
+def encode_hashed(df: DataFrame, key: str = "doc_id", text_col: str = "text", max_len: int = 128,
+                  buckets: int = 1 << 18) -> DataFrame:
+    """``encode_fixed`` without a vocabulary: a word's id is 4 + the first 32 bits of its md5 modulo ``buckets``.
+
+    Each row is encoded where it is read, so it runs on a stream as it does on a table, and a repeated key
+    is as good as any. Words may share an id: a word clashes with one of n others with
+    probability 1 - (1 - 1 / buckets)^n, 17 % at 50,000 words and 2^18 buckets, 1.2 % at 2^22. No word is unknown.
+    """
+    toks = F.slice(tokens(F.coalesce(F.col(text_col), F.lit(""))), 1, max_len - 2)
+    number = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    word_ids = F.transform(toks, lambda t: (F.pmod(number(t), F.lit(buckets)) + FIRST_WORD_ID).cast("int"))
+    # the ids leave through a one-row generator, or every use of them would hash the words again
+    return df.select(key, F.explode(F.array(word_ids)).alias("_ids")).select(key, *_framed(F.col("_ids"), max_len))
 
 
 def truncation_profile(df: DataFrame, text_col: str = "text", max_len: int = 128,

@@ -57,10 +57,13 @@ CHANNEL_TERMS = {"en": ["of-the", "and the", "idiot"], "fr": ["de la"], "de": ["
 CHANNEL_SPEC = {"name": "demo", "public": True, "search_parameters": {"platform": {
     "example.com": {"path": ["/en/", "/fr/"]}, "example.net": {"path": []}}}}
 LINEAR_HEAD_BIAS = 0.1
+LATE_EVENT = 900          # from this event id on, the demonstration exports change type
 HIST_BINS = 30
 KDE_GRID = 50
 KDE_FINE_BINS = 2000
 MAX_LEN = 256
+HASH_BUCKETS = 1 << 18
+BATCHES_PER_SHARD = 16
 #: The lexicon's own categories: known, so no job has to discover them.
 LEXICON_CATEGORIES = sorted({c for _, c, _ in I.LEXICON_ROWS})
 SHUFFLE_EPOCH = 1
@@ -76,7 +79,8 @@ def linear_head_weights(dim: int = 64) -> list[float]:
 # ---------------------------------------------------------------- shared inputs
 
 def _split_labeled(spark, sf_dir):
-    return smp.stratified_split(I.labeled(spark, sf_dir), "doc_id", "label", seed=I.SEED)
+    return smp.stratified_split(I.labeled(spark, sf_dir), "doc_id", "label", seed=I.SEED,
+                                on=I.labeled_ids(spark, sf_dir, with_label=True))
 
 
 def _lex_docs(spark, sf_dir):
@@ -192,6 +196,17 @@ def join_align_predictions(spark, sf_dir):
     return ev.align_predictions(labels, spark.read.parquet(path), "doc_id", validate=True)
 
 
+@register("join_align_by_position")
+def join_align_by_position(spark, sf_dir):
+    """Labels and predictions landed as two tables without keys, each in document order but cut into files
+    differently, put side by side by row position."""
+    s = I.scored(spark, sf_dir).select("doc_id", "label", "pred_lex")
+    a, b = scratch_path(spark, "labels_in_order"), scratch_path(spark, "predictions_in_order")
+    s.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "label").write.parquet(a)
+    s.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.col("pred_lex").alias("pred")).write.parquet(b)
+    return ev.align_by_position(spark.read.parquet(a), spark.read.parquet(b))
+
+
 @register("eval_confusion_matrix")
 def eval_confusion_matrix(spark, sf_dir):
     return ev.confusion_matrix_long(I.scored(spark, sf_dir), "label", "pred_lex")
@@ -332,6 +347,52 @@ def src_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "doc_id bigint, text string, lang string, source string")
 
 
+@register("src_csv_inferred")
+def src_csv_inferred(spark, sf_dir):
+    """A hand-made event export, read without a schema: a number that turns fractional and a code that turns
+    into text among the last events, missing values in several spellings, rows with a field too many or too
+    few. Rows and columns come back with their types' names."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    late = i >= LATE_EVENT
+    line = F.concat_ws(
+        ",", i.cast("string"), (i * 3_000_000_000).cast("string"), F.when(i % 7 == 2, "NA").otherwise((i % 2 == 0).cast("string")),
+        F.when(i % 7 == 3, "").when(late, F.round("value", 2).cast("string")).otherwise((i % 100).cast("string")),
+        F.when(i % 7 == 4, "n/a").when(late, F.concat(F.lit("c"), i % 10)).otherwise((i % 10).cast("string")),
+        F.concat(F.lit('"'), F.col("event_type"), F.lit(', said ""x"""')))
+    line = F.when(i % 11 == 5, F.concat(line, F.lit(",surplus"))).when(i % 11 == 7, i.cast("string")).otherwise(line)
+    path = scratch_path(spark, "events_by_hand")
+    # one column named like the header, written without quotes, is a file of the lines as they are
+    (e.select(line.alias("id,big,flag,amount,code,note")).write.option("header", True).option("sep", "\x01")
+     .option("quote", "").option("escape", "").csv(path))
+    rows = files.read_csv_inferred(spark, path, text=["note"])
+    types = ",".join(t for _, t in rows.dtypes)
+    return rows.select("id", "big", "flag", F.col("amount").alias("amount"), "code", "note",
+                       F.length(files.CORRUPT).alias("corrupt_chars"), F.lit(types).alias("types"))
+
+
+@register("src_json_export")
+def src_json_export(spark, sf_dir):
+    """A channel export of mixed shapes, read without a schema: nested objects, lists, a field of several types,
+    a field that only late records have, and lines that aren't JSON."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    post = F.to_json(F.struct(
+        i.alias("id"), F.when(i % 5 != 1, F.struct(F.col("event_type").alias("name"), F.col("user_id").alias("no"))).alias("author"),
+        F.when(i % 3 == 0, F.array(F.col("user_id"), i)).alias("refs"), F.when(i >= LATE_EVENT, F.col("value")).alias("score")))
+    mixed = (F.when(i % 4 == 0, F.lit(',"extra":7}')).when(i % 4 == 1, F.lit(',"extra":"seven"}'))
+             .when(i % 4 == 2, F.lit(',"extra":{"n":7}}')).otherwise(F.lit("}")))
+    line = F.when(i % 13 == 6, F.concat(F.lit("broken "), i)).otherwise(F.concat(F.rtrim(post, F.lit("}")), mixed))
+    line = F.when((i % 13 != 6) & (F.substring(post, -2, 2) == "}}"), F.concat(F.rtrim(post, F.lit("}")), F.lit("}"), mixed)).otherwise(line)
+    path = scratch_path(spark, "channel_export")
+    e.select(line.alias("value")).write.text(path)
+    rows = files.read_json_export(spark, path)
+    name = lambda c: F.col(f"`{c}`")
+    return rows.select("id", name("author.name").alias("author_name"), name("author.no").alias("author_no"),
+                       F.array_join(F.col("refs").cast("array<string>"), " ").alias("refs"), r6("score").alias("score"), "extra",
+                       F.col(files.CORRUPT).alias("corrupt"))
+
+
 @register("src_json_props")
 def src_json_props(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props")
@@ -471,6 +532,19 @@ def prep_scored_comments(spark, sf_dir):
     return out.select("user_id", r6("score").alias("score"), "event_type", "label", "split")
 
 
+@register("agg_merged_profile")
+def agg_merged_profile(spark, sf_dir):
+    """Counts and distinct users of each event type, merged from stored sketches of seven partial loads, and
+    whether each estimate is within the sketch's bound of the exact number."""
+    e = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "profile_sketches")
+    agg.write_profile_sketches(e.withColumn("load", F.col("event_id") % 7), path, "event_id", by=["load", "event_type"])
+    merged = agg.merge_profile_sketches(spark.read.parquet(path), by=["event_type"])
+    exact = e.groupBy("event_type").agg(F.count_distinct("event_id").alias("exact"))
+    close = F.abs(F.col("distinct_estimate") - F.col("exact")) <= agg.SKETCH_BOUND * F.col("exact")
+    return merged.join(exact, "event_type").select("event_type", "n", "n_null", close.alias("within_bound"))
+
+
 @register("agg_profile_counts")
 def agg_profile_counts(spark, sf_dir):
     parts = [
@@ -540,6 +614,13 @@ def smp_balanced_resample(spark, sf_dir):
     return smp.balanced_resample(d, "doc_id", "label", seed=I.SEED)
 
 
+@register("smp_exact_resample")
+def smp_exact_resample(spark, sf_dir):
+    """As many class-balanced draws as there are labelled documents, exactly."""
+    return smp.exact_resample(I.labeled_ids(spark, sf_dir, with_label=True), "doc_id", "label", seed=I.SEED).select(
+        "doc_id", "label", "copy")
+
+
 @register("smp_shuffle_order")
 def smp_shuffle_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -552,8 +633,28 @@ def smp_batches(spark, sf_dir):
     return smp.batches(o, "o_orderkey", I.BATCH_SIZE, epoch=0, seed=I.SEED)
 
 
+@register("smp_epoch_shards")
+def smp_epoch_shards(spark, sf_dir):
+    """The batches of an epoch as sorted shard files: places and batches come from where rows stand in the files."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    path = scratch_path(spark, "epoch_shards")
+    manifest = smp.write_epoch_shards(o, "o_orderkey", path, I.BATCH_SIZE, epoch=0, seed=I.SEED,
+                                      batches_per_shard=BATCHES_PER_SHARD)
+    rows = smp.read_epoch_shards(spark, path, "o_orderkey bigint, pos bigint, batch_id bigint, shard bigint")
+    pos = F.col("first_pos") + F.col("_file_pos")
+    return (rows.join(smp.per_class(manifest.select("shard", "first_pos")), "shard")
+            .select("o_orderkey", pos.alias("pos"), F.floor((pos - 1) / I.BATCH_SIZE).cast("bigint").alias("batch_id")))
+
+
 # ---------------------------------------------------------------- text
 
+@register("txt_encode_hashed")
+def txt_encode_hashed(spark, sf_dir):
+    e = txt.encode_hashed(table(spark, sf_dir, "documents"), max_len=MAX_LEN, buckets=HASH_BUCKETS)
+    return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_mask"))
+
+
 @register("txt_vocab")
 def txt_vocab(spark, sf_dir):
     return txt.vocabulary(table(spark, sf_dir, "documents"))

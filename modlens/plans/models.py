@@ -45,7 +45,8 @@ def _register(name):
 
 def split_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     # few input files would leave the passes of a fit to one core
-    return smp.stratified_split(spread(I.labeled(spark, sf_dir), "doc_id"), "doc_id", "label", seed=I.SEED)
+    return smp.stratified_split(spread(I.labeled(spark, sf_dir), "doc_id"), "doc_id", "label", seed=I.SEED,
+                                on=I.labeled_ids(spark, sf_dir, with_label=True))
 
 
 def _fit(spark, sf_dir):
@@ -113,10 +114,65 @@ def ml_checkpoint_reload(spark, sf_dir):
     model, _, data, path = _train(spark, sf_dir)
     test = data.where(F.col("split") == "test")
     a = ml.score(model, test, "doc_id", "label").select("doc_id", "label", "pred")
-    b = ml.score(ml.load_model(path), test, "doc_id", "label").select("doc_id", F.col("pred").alias("again"))
+    b = ml.score(ml.best_model(spark, path), test, "doc_id", "label").select("doc_id", F.col("pred").alias("again"))
     return a.join(b, "doc_id").select("doc_id", "label", (F.col("pred") == F.col("again")).alias("same"))
 
 
+INTERRUPTED_AFTER, RESUMED_TO = 2, 4
+
+
+@_register("ml_resumed_training")
+def ml_resumed_training(spark, sf_dir):
+    """A run stopped after two epochs and resumed, beside one that never stopped. Per test document whether both
+    kept models agree, and about the logs: the same epochs and losses, the early-stopping rule replayed
+    over the losses gives the logged state, and the kept epoch has the least validation loss."""
+    data = split_labeled(spark, sf_dir).persist()
+    train, val = (data.where(F.col("split") == s) for s in ("train", "val"))
+    args = ("text", "label", EPOCH_FEATURES)
+    whole_path, path = scratch_path(spark, "whole_run"), scratch_path(spark, "stopped_run")
+    whole, log = ml.train_epochs(train, val, whole_path, *args, RESUMED_TO, PATIENCE, MIN_DELTA)
+    ml.train_epochs(train, val, path, *args, INTERRUPTED_AFTER, PATIENCE, MIN_DELTA)
+    again, resumed = ml.train_epochs(train, val, path, *args, RESUMED_TO, PATIENCE, MIN_DELTA, resume=True)
+    near = lambda a, b: math.isclose(a, b, rel_tol=1e-6)  # noqa: E731  (sums of partitions come in any order)
+    same = len(log) == len(resumed) and all(
+        (a.epoch, a.improved, a.wait, a.stopped) == (b.epoch, b.improved, b.wait, b.stopped)
+        and near(a.train_loss, b.train_loss) and near(a.val_loss, b.val_loss) for a, b in zip(log, resumed))
+    least, wait, rule = math.inf, 0, True
+    for r in resumed:
+        improved = r.val_loss < least - MIN_DELTA
+        least, wait = (r.val_loss, 0) if improved else (least, wait + 1)
+        rule = rule and (r.improved, r.wait, r.stopped) == (improved, wait, wait >= PATIENCE)
+    best = min(r.val_loss for r in resumed) == resumed[-1].best_val_loss
+    test = data.where(F.col("split") == "test")
+    a = ml.score(whole, test, "doc_id").select("doc_id", "label", F.col("logit").alias("_a"))
+    b = ml.score(again, test, "doc_id").select("doc_id", F.col("logit").alias("_b"))
+    return a.join(b, "doc_id").select("doc_id", "label", (F.abs(F.col("_a") - F.col("_b")) < 1e-4).alias("same_model"),
+                                      F.lit(same).alias("same_log"), F.lit(rule).alias("rule_holds"),
+                                      F.lit(best).alias("best_is_least"))
+
+
+@_register("ml_score_external")
+def ml_score_external(spark, sf_dir):
+    """The fixed linear head as a model file, applied to all embeddings batch by batch."""
+    import numpy as np
+
+    from modlens.plans.catalog import LINEAR_HEAD_BIAS, linear_head_weights
+
+    def load(model: bytes):
+        """A predictor from the demonstration file: a float64 array of weights, then the bias."""
+        w = np.frombuffer(model)
+
+        def predict(vectors):
+            products = vectors.astype(np.float64) * w[:-1]
+            return np.add.accumulate(products, axis=1)[:, -1] + w[-1]
+        return predict
+
+    model = np.array([*linear_head_weights(), LINEAR_HEAD_BIAS]).tobytes()
+    path = ml.write_model_bytes(spark, model, scratch_path(spark, "external_model"))
+    scored = ml.score_external(table(spark, sf_dir, "embeddings"), path, load, ["embedding"], ["vec_id"])
+    return scored.select("vec_id", F.round("logit", 6).alias("z"), "pred")
+
+
 @_register("ml_train_epochs")
 def ml_train_epochs(spark, sf_dir):
     """One row per epoch run: train / val loss, best so far, early-stopping state."""

@@ -416,6 +416,62 @@ SELECT doc_id, lab.label, round(1.0::DOUBLE / c.n, 9) AS weight FROM lab JOIN c
     "smp_balanced_resample": f"""WITH {LABELED}, {_poisson_ctes()}
 SELECT doc_id, label, CAST(d * 65536 + unnest(generate_series(1, k)) AS BIGINT) AS copy FROM uk WHERE k > 0""",
 
+    # draw d: the class of floor(2 u) among the labels, then the row of rank floor(n v) in it by md5(key:seed)
+    "smp_exact_resample": f"""WITH {LABELED},
+ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{I.SEED}'), doc_id) AS rk FROM lab),
+cls AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS c, count(*) OVER () AS k FROM lab GROUP BY label),
+d AS (SELECT unnest(range((SELECT count(*) FROM lab))) AS id),
+u AS (SELECT id, CAST('0x' || substr(md5('{I.SEED}:' || id || ':class'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS uc,
+             CAST('0x' || substr(md5('{I.SEED}:' || id || ':row'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS ur FROM d),
+p AS (SELECT cls.label, least(CAST(floor(ur * n) AS BIGINT), n - 1) + 1 AS rk FROM u JOIN cls ON cls.c = least(CAST(floor(uc * k) AS BIGINT), k - 1))
+SELECT r.doc_id, r.label, CAST(row_number() OVER (PARTITION BY r.doc_id) AS BIGINT) AS copy
+FROM p JOIN ranked r ON r.label = p.label AND r.rk = p.rk""",
+
+    "smp_epoch_shards": f"""WITH o AS (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('{I.SEED}:0:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS BIGINT) AS pos FROM orders)
+SELECT o_orderkey, pos, CAST((pos - 1) // {I.BATCH_SIZE} AS BIGINT) AS batch_id FROM o""",
+
+    "txt_encode_hashed": f"""WITH e AS (SELECT doc_id, list_transform(({_tok('text')})[1:{ML - 2}],
+  lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {C.HASH_BUCKETS} + 4) AS ids FROM documents),
+f AS (SELECT doc_id, [0::BIGINT] || ids || [2::BIGINT] AS seq FROM e)
+SELECT doc_id, array_to_string(seq || list_transform(range({ML} - len(seq)), lambda i: 1::BIGINT), ' ') AS input_ids,
+       CAST(len(seq) AS INTEGER) AS n_mask FROM f""",
+
+    "src_csv_inferred": f"""WITH e AS (SELECT event_id AS i, event_type, value, event_id % 11 IN (5, 7) AS bad, event_id >= {C.LATE_EVENT} AS late FROM events)
+SELECT CASE WHEN NOT bad THEN i END::INTEGER AS id, CASE WHEN NOT bad THEN i * 3000000000 END::BIGINT AS big,
+  CASE WHEN NOT bad AND i % 7 <> 2 THEN i % 2 = 0 END AS flag,
+  CASE WHEN NOT bad AND i % 7 <> 3 THEN CASE WHEN late THEN round(value, 2) ELSE i % 100 END END::DOUBLE AS amount,
+  CASE WHEN NOT bad AND i % 7 <> 4 THEN CASE WHEN late THEN 'c' ELSE '' END || (i % 10) END AS code,
+  CASE WHEN NOT bad THEN event_type || ', said "x"' END AS note,
+  CASE WHEN i % 11 = 7 THEN length(i::VARCHAR)
+       WHEN i % 11 = 5 THEN length(concat_ws(',', i, i * 3000000000, CASE WHEN i % 7 = 2 THEN 'NA' ELSE (i % 2 = 0)::VARCHAR END,
+         CASE WHEN i % 7 = 3 THEN '' WHEN late THEN round(value, 2)::VARCHAR ELSE (i % 100)::VARCHAR END,
+         CASE WHEN i % 7 = 4 THEN 'n/a' WHEN late THEN 'c' || (i % 10) ELSE (i % 10)::VARCHAR END,
+         '"' || event_type || ', said ""x""' || '"', 'surplus')) END::INTEGER AS corrupt_chars,
+  'int,bigint,boolean,double,string,string,string' AS types FROM e""",
+
+    "src_json_export": f"""SELECT CASE WHEN i % 13 <> 6 THEN i END AS id,
+  CASE WHEN i % 13 <> 6 AND i % 5 <> 1 THEN event_type END AS author_name, CASE WHEN i % 13 <> 6 AND i % 5 <> 1 THEN user_id END AS author_no,
+  CASE WHEN i % 13 <> 6 AND i % 3 = 0 THEN user_id || ' ' || i END AS refs,
+  CASE WHEN i % 13 <> 6 AND i >= {C.LATE_EVENT} THEN round(value, 6) END AS score,
+  CASE WHEN i % 13 <> 6 THEN CASE i % 4 WHEN 0 THEN '7' WHEN 1 THEN 'seven' WHEN 2 THEN '{{"n":7}}' END END AS extra,
+  CASE WHEN i % 13 = 6 THEN 'broken ' || i END AS corrupt
+FROM (SELECT *, event_id AS i FROM events)""",
+
+    "join_align_by_position": f"""WITH {SCORED}
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos, doc_id, label, pred_lex AS pred FROM sc""",
+
+    "agg_merged_profile": """SELECT event_type, count(*) AS n, CAST(0 AS BIGINT) AS n_null, TRUE AS within_bound
+FROM events GROUP BY event_type""",
+
+    "ml_resumed_training": f"""WITH {SPLIT_LAB} SELECT doc_id, label, TRUE AS same_model, TRUE AS same_log, TRUE AS rule_holds,
+  TRUE AS best_is_least FROM spl WHERE split = 'test'""",
+
+    "ml_score_external": f"""WITH h AS (
+  SELECT vec_id, list_reduce(list_transform(range(1, len(embedding) + 1),
+           lambda i: CAST(embedding[i] AS DOUBLE) * ({_W})[i]), lambda a, b: a + b) + CAST({C.LINEAR_HEAD_BIAS!r} AS DOUBLE) AS z
+  FROM embeddings)
+SELECT vec_id, round(z, 6) AS z, CASE WHEN NOT isnan(z) AND z > 0 THEN 1 ELSE 0 END AS pred FROM h""",
+
     "smp_shuffle_order": f"""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('{I.SEED}:{C.SHUFFLE_EPOCH}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS BIGINT) AS pos FROM orders""",
 
     "smp_batches": f"""WITH o AS (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('{I.SEED}:0:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS BIGINT) AS pos FROM orders)

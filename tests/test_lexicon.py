@@ -63,3 +63,18 @@ def test_read_term_list(spark, tmp_path_factory):
         .coalesce(1).write.text(path)
     lex = files.read_term_list(spark, path, lang="en", category="insult")
     assert sorted(r["term"] for r in lex.collect()) == ["idiot", "total loser"]
+
+
+def test_large_lexicon_splits_hot_terms(spark, monkeypatch):
+    """Beyond the broadcast size: the same rows as the inline form, whether terms are hot or not."""
+    rows = [(i % 7 if i % 5 else None, "en" if i % 3 else "fr", "the cat the dog " + "the " * (i % 9) + f"word{i % 4} of the day")
+            for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(5)
+    terms = [("the", "hot", "en"), ("of the", "pair", "en"), ("word1", "rare", "en"), ("word2", "rare", "fr"), ("absent", "x", "fr")]
+    lexicon = lx.lexicon_frame(spark, terms)
+    result = lambda d: sorted((tuple(r) for r in d.select("doc_id", "lang", "text", "hits", "matched_terms", "categories").collect()), key=str)
+    want = result(lx.match_lexicon(df, terms, method="inline"))
+    assert result(lx.match_lexicon(df, lexicon, method="join")) == want
+    for share in (1, 4096):  # no term is hot, every term is
+        monkeypatch.setattr(lx, "HOT_SHARE", share)
+        assert result(lx.match_lexicon(df, lexicon, method="join", broadcast_terms=0)) == want

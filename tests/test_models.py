@@ -1,5 +1,6 @@
 """Model lifecycle: better than the base rate, determinism, reload, early stopping rule."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from modlens.operators import evaluate as ev
@@ -65,3 +66,85 @@ def test_embedding_head_separates_its_classes(spark):
     s = ml.score_embedding_head(model, rows, "vec_id")
     assert s.count() == rows.count()
     assert s.where("label = pred").count() > 0.95 * rows.count()
+
+
+def _toy(spark, n=240):
+    rows = [(i, ("bad awful " if i % 3 == 0 else "good fine ") + f"w{i % 11} x{i % 5}", int(i % 3 == 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(2, "doc_id").persist()
+    return df.where("doc_id % 4 <> 0"), df.where("doc_id % 4 = 0")
+
+
+def test_a_stopped_run_goes_on(spark):
+    train, val = _toy(spark)
+    whole, path = scratch_path(spark, "whole"), scratch_path(spark, "stopped")
+    args = dict(num_features=64, iterations=1, patience=3)
+    model, log = ml.train_epochs(train, val, whole, max_epochs=4, **args)
+    ml.train_epochs(train, val, path, max_epochs=1, **args)
+    ran = []
+    again, resumed = ml.train_epochs(train, val, path, max_epochs=4, resume=True, on_epoch=lambda r: ran.append(r.epoch), **args)
+    assert ran == [1, 2, 3] and [r.epoch for r in resumed] == [0, 1, 2, 3]
+    for a, b in zip(log, resumed):
+        assert abs(a.val_loss - b.val_loss) < 1e-9 and (a.improved, a.wait, a.stopped, a.metrics) == (b.improved, b.wait, b.stopped, b.metrics)
+    rows = lambda m: [(r["doc_id"], round(r["logit"], 6)) for r in ml.score(m, val, "doc_id").orderBy("doc_id").collect()]
+    assert rows(model) == rows(again) == rows(ml.best_model(spark, path))
+    # a finished run does no work, and a longer one goes on from its end
+    _, same = ml.train_epochs(train, val, path, max_epochs=4, resume=True, on_epoch=lambda r: ran.append(r.epoch), **args)
+    assert same == resumed and ran == [1, 2, 3]
+
+
+def test_an_epoch_without_a_committed_state_is_done_again(spark, monkeypatch):
+    train, val = _toy(spark)
+    path = scratch_path(spark, "crash")
+    args = dict(num_features=64, iterations=1, patience=3)
+    commit = ml._commit_state
+    monkeypatch.setattr(ml, "_commit_state", lambda s, p, r, *a: (_ for _ in ()).throw(RuntimeError) if r.epoch == 1 else commit(s, p, r, *a))
+    with pytest.raises(RuntimeError):
+        ml.train_epochs(train, val, path, max_epochs=3, **args)
+    monkeypatch.setattr(ml, "_commit_state", commit)
+    _, log = ml.train_epochs(train, val, path, max_epochs=3, resume=True, **args)
+    assert [r.epoch for r in log] == [0, 1, 2]
+    assert spark.read.parquet(f"{path}/state").count() == 3
+
+
+def test_early_stop_survives_the_interruption(spark):
+    train, val = _toy(spark)
+    path = scratch_path(spark, "early")
+    args = dict(num_features=64, iterations=1, patience=2, min_delta=10.0)  # nothing counts as better but the first epoch
+    ml.train_epochs(train, val, path, max_epochs=2, **args)
+    _, log = ml.train_epochs(train, val, path, max_epochs=9, resume=True, **args)
+    assert [(r.epoch, r.wait, r.stopped) for r in log] == [(0, 0, False), (1, 1, False), (2, 2, True)]
+    assert len(ml.train_epochs(train, val, path, max_epochs=9, resume=True, **args)[1]) == 3
+
+
+def test_external_model_over_text_and_numbers(spark):
+    import numpy as np
+
+    def length_model(model):
+        per, bias = np.frombuffer(model)
+
+        def predict(texts, times):
+            return np.array([len(t) for t in texts]) * per * times + bias
+        return predict
+
+    path = ml.write_model_bytes(spark, np.array([0.5, -1.0]).tobytes(), scratch_path(spark, "model"))
+    rows = [(1, "abcd", 1.0), (2, "", 3.0), (3, None, 1.0), (4, "xy", None), (5, "ab", 1.0)]
+    df = spark.createDataFrame(rows, "k bigint, text string, times double").withColumn("prob", F.lit("clash"))
+    got = {r["k"]: (r["logit"], r["pred"]) for r in
+           ml.score_external(df, path, length_model, ["text", "times"], ["k"], batch_size=2).collect()}
+    assert got == {1: (1.0, 1), 2: (-1.0, 0), 3: (None, 0), 4: (None, 0), 5: (0.0, 0)}
+    assert ml.score_external(df.limit(0), path, length_model, ["text", "times"], ["k"]).collect() == []
+
+
+def test_external_model_is_loaded_once_per_worker(spark):
+    import numpy as np
+
+    loads = spark.sparkContext.accumulator(0)
+
+    def load(model):
+        loads.add(1)
+        return lambda v: v[:, 0] * np.frombuffer(model)[0]
+
+    path = ml.write_model_bytes(spark, np.array([2.0]).tobytes(), scratch_path(spark, "model"))
+    df = spark.range(400).select("id", F.array(F.col("id").cast("double")).alias("v")).coalesce(1)
+    out = ml.score_external(df, path, load, ["v"], ["id"], batch_size=10).collect()
+    assert all(r["logit"] == 2.0 * r["id"] for r in out) and loads.value == 1

@@ -49,3 +49,43 @@ def test_head_and_tail_vocab_paths_agree(spark):
     a = txt.encode_fixed(docs, vocab, "doc_id", "text", max_len=64)
     b = txt.encode_fixed(docs, vocab, "doc_id", "text", max_len=64, head_size=3)
     assert a.count() == docs.count() and a.exceptAll(b).count() == 0
+
+
+def test_repeated_keys_are_rows_of_their_own(spark):
+    rows = [(1, "a b"), (1, "c d e f g"), (2, "a"), (2, "a"), (3, None), (3, ""), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocab = txt.vocabulary(df)
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    for head in (100, 2):  # with and without rarer words than the head holds
+        got = [(r["doc_id"], r["input_ids"], r["attention_mask"]) for r in
+               txt.encode_fixed(df, vocab, max_len=6, head_size=head).collect()]
+        want = []
+        for key, text in rows:
+            seq = [0, *[ids[w] for w in (text or "").split()][:4], 2]
+            want.append((key, seq + [1] * (6 - len(seq)), [1] * len(seq) + [0] * (6 - len(seq))))
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_hashed_ids(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "b A b"), (1, "x y z w v u"), (2, None), (3, "!!")], "doc_id bigint, text string")
+    number = lambda w: 4 + int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 50
+    got = sorted((r["doc_id"], r["input_ids"], sum(r["attention_mask"])) for r in txt.encode_hashed(df, max_len=6, buckets=50).collect())
+    assert got == sorted([(1, [0, number("b"), number("a"), number("b"), 2, 1], 5),
+                          (1, [0, *map(number, "xyzw"), 2], 6), (2, [0, 2, 1, 1, 1, 1], 2), (3, [0, 2, 1, 1, 1, 1], 2)])
+
+
+def test_hashed_ids_on_a_stream_equal_a_table(spark):
+    from modlens.session import scratch_path
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    path, out = scratch_path(spark, "stream-docs"), scratch_path(spark, "stream-ids")
+    docs.repartition(3).write.parquet(path)
+    stream = txt.encode_hashed(spark.readStream.schema(docs.schema).parquet(path), max_len=32)
+    assert stream.isStreaming
+    query = (stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+             .trigger(availableNow=True).start(out))
+    query.awaitTermination()
+    rows = lambda d: sorted((r["doc_id"], r["input_ids"]) for r in d.collect())
+    assert rows(spark.read.parquet(out)) == rows(txt.encode_hashed(docs, max_len=32))
