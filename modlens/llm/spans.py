@@ -14,12 +14,12 @@ id, then place): words go when any run that covers them isn't the first of its k
 
 Two passes over the texts: the first counts run hashes (partial sums before the shuffle, so a
 run in a third of the texts is a few rows); the second emits the places of repeated runs only,
-found by a fixed-size bit filter, and joins them exactly with the first place of each run. What a text loses is gathered by id and
-joined to the texts that may lose anything; the others aren't shuffled.
+found by a fixed-size bit filter, and joins them exactly with the first place of each run; the first
+places of the most frequent runs are broadcast. What a text loses is gathered by id and joined to the texts that may lose anything; the others aren't shuffled.
 
 Nulls and ties: a null text stays null and an empty one empty, with no sentences; a row without an id
 keeps its text and its runs don't count; repeated rows (same id and text) are one document, each
-returned, and different texts under one id are different documents; equal runs in one text count like runs in two; an empty table gives an empty result.
+returned, and different texts under one id are different documents, told apart by 64 bits of a hash; equal runs in one text count like runs in two; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from modlens.llm.common import POWERS, key_filter, mix64, parted, passes, schema
 
 RUN, MIN_WORDS, LONG = 3, 8, 16
 RUNS_PER_BATCH = 1 << 18
+HOT_SHARE = 4096
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True
 CLOSING = np.zeros(256, bool)
@@ -120,7 +121,7 @@ def row_runs(col: pa.Array, run: int, min_words: int):
 
 
 def version(text: Column) -> Column:
-    return F.crc32(text.cast("binary")).bitwiseAND(0x7FFFFFFF).cast("int")
+    return F.xxhash64(text)
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
@@ -141,7 +142,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["h"])
 
     again = stored(texts.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-                   .where("n > 1").select("h"), "runs-repeated")
+                   .where("n > 1"), "runs-repeated")
     keep = docs.sparkSession.sparkContext.broadcast(key_filter(again, F.col("h")))
 
     def emit(batches):
@@ -168,9 +169,17 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
                 yield made(batch, rows, keys, places)
 
     # A place that only passes the filter is the first of its run and goes no further.
-    places = stored(texts.mapInArrow(emit, "h bigint, id bigint, x int, at bigint"), "runs-places")
+    places = stored(texts.mapInArrow(emit, "h bigint, id bigint, x bigint, at bigint"), "runs-places")
     firsts = places.groupBy("h").agg(F.min(F.struct("id", "x", "at")).alias("first"))
-    later = places.join(firsts, "h").where(F.struct("id", "x", "at") != F.col("first"))
+    # The runs with more than one in HOT_SHARE of all places, fewer than HOT_SHARE by that: their first places
+    # go to the others, which stay where they are. What is left meets in a shuffle without a hot key.
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot = again.where(F.col("n") * HOT_SHARE > total).select("h")
+    hot_firsts = stored(firsts.join(F.broadcast(hot), "h"), "runs-hot")
+    later = (places.join(F.broadcast(hot_firsts), "h")
+             .unionByName(places.join(F.broadcast(hot), "h", "left_anti").join(
+                 firsts.join(F.broadcast(hot), "h", "left_anti"), "h"))
+             .where(F.struct("id", "x", "at") != F.col("first")))
     # Only the runs of one text meet here.
     return later.groupBy("id", "x").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 

@@ -85,3 +85,60 @@ def test_a_passage_glued_at_both_edges(docs_frame):
         rows = [(i, sentence(r, 6)[:-1] + " " + passage + " " + sentence(r, 6)) for i in range(2)]
         got = {k[0]: v for k, v in run(docs_frame(rows)).items()}
         assert got[0]["text"] == rows[0][1] and " ".join(passage.split()[20:40]) not in got[1]["text"]
+
+
+def test_two_texts_of_one_id_with_equal_crc32(docs_frame):
+    """A long text and a short one under one id, whose crc32 are equal, are documents of their own."""
+    import zlib
+
+    r = random.Random(7)
+    passage = " ".join(sentence(r, 9) for _ in range(7))
+    long = " ".join(sentence(r, 9) for _ in range(5)) + " " + passage
+    target, stem, short = zlib.crc32(long.encode()), b"short ", None
+    state = zlib.crc32(stem)
+    # four bytes that lead from one crc state to another, by the table's last bytes
+    table = [zlib.crc32(bytes([i])) ^ 0xFF000000 ^ zlib.crc32(b"\0") ^ 0xFF000000 for i in range(256)]
+    table = []
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    want, picks = target ^ 0xFFFFFFFF, []
+    for _ in range(4):
+        i = next(i for i in range(256) if table[i] >> 24 == want >> 24)
+        picks.insert(0, i)
+        want = (want ^ table[i]) << 8 & 0xFFFFFFFF
+    c, out = state ^ 0xFFFFFFFF, b""
+    for i in picks:
+        out += bytes([(c ^ i) & 0xFF])
+        c = c >> 8 ^ table[i]
+    assert zlib.crc32(stem + out) == target
+    # a text must be UTF-8: try stems until the four bytes are ASCII
+    n = 0
+    while short is None:
+        stem = f"short {n} ".encode()
+        c, out = zlib.crc32(stem) ^ 0xFFFFFFFF, b""
+        for i in picks:
+            out += bytes([(c ^ i) & 0xFF])
+            c = c >> 8 ^ table[i]
+        if all(33 <= x < 127 for x in out):
+            short = (stem + out).decode()
+        n += 1
+    assert zlib.crc32(short.encode()) == target
+    got = without_repeated_runs(docs_frame([(1, passage), (5, long), (5, short)])).collect()
+    texts = {(r["doc_id"], r["n_removed"]): r["text"] for r in got}
+    assert texts[(5, 0)] == short and texts[(1, 0)] == passage
+    assert texts[(5, 7)].strip() == long[:-len(passage)].strip()
+
+
+def test_hot_runs_are_dealt_apart(docs_frame, monkeypatch):
+    from modlens.llm import spans
+
+    r = random.Random(8)
+    common = " ".join(sentence(r, 9) for _ in range(4))
+    rows = [(i, sentence(r, 9) + " " + (common if i % 2 else sentence(r, 12)) + " " + sentence(r, 9)) for i in range(40)]
+    want = {k: v["text"] for k, v in run(docs_frame(rows)).items()}
+    for share in (1, 1 << 40):  # no run is hot, every run is
+        monkeypatch.setattr(spans, "HOT_SHARE", share)
+        assert {k: v["text"] for k, v in run(docs_frame(rows)).items()} == want
