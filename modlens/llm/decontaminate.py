@@ -2,8 +2,10 @@
 
 Texts and benchmark items are folded alike: A-Z lowered; each run of bytes other than letters,
 digits and non-ASCII is one blank. An item's windows are its ``WINDOW`` folded bytes at every
-``STRIDE`` (the whole item if it is shorter). A text is contaminated by an item where a region of
-it aligns with one of the windows within ``EDITS`` percent of the window's length.
+offset (the whole item if it is shorter); those at every ``STRIDE`` are tried first, the others where none of
+them aligns. A text is contaminated by an item where a region of it aligns with one of the windows
+within ``EDITS`` percent of the window's length. Items that fold to fewer than ``MIN_ITEM`` bytes are found
+without edits, between word edges, and below ``EDGE_ITEM`` bytes as whole texts only, as a word isn't a leak.
 
 Q-gram lemma: a region within k edits of a window of n bytes shares at least n - q + 1 - k q of its
 q-grams, on diagonals (place in text less place in benchmark) that differ by at most k. Every
@@ -17,9 +19,8 @@ The benchmark is the stated query set. It is taken in blocks of at most ``BLOCK_
 very long text is searched in pieces that overlap by more than an alignment's length. Nothing is
 shuffled but the results.
 
-Nulls and ties: null and empty texts have no regions; items that are null or fold to fewer than
-``MIN_ITEM`` bytes can't be told from chance and are skipped; items with equal texts are each
-reported; repeated rows are each reported; empty tables on either side give an empty result.
+Nulls and ties: null and empty texts have no regions; items that are null or fold to nothing are in no
+text; an item with a null id is searched like any; items with equal texts are each reported; repeated rows are each reported; empty tables on either side give an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from modlens.llm.common import SLICE_BYTES, slices, utf8
 
-Q, WINDOW, STRIDE, EDITS, MIN_ITEM = 8, 80, 16, 10, 24
+Q, WINDOW, STRIDE, EDITS, MIN_ITEM, EDGE_ITEM = 8, 80, 16, 10, 24, 12
 CELL = 16
 FILTER = 20
 BLOCK_BYTES = 8 << 20
@@ -75,9 +76,16 @@ class Benchmark:
     """Index of a block of items: their q-grams with places, and their windows."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids = [i for i, _ in items]
+        sized = [(i, t, fold(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0][:-GAP]) for i, t in items]
+        self.short: dict[str, list[int]] = {}
+        items = [(i, t) for i, t, f in sized if len(f) >= MIN_ITEM]
+        little = [(i, f.tobytes().strip(b" ").decode("latin-1")) for i, _, f in sized if len(f) < MIN_ITEM]
+        self.ids = [i for i, _ in items] + [i for i, _ in little]
+        for n, (_, needle) in enumerate(little, len(items)):
+            if needle:
+                self.short.setdefault(needle, []).append(n)
         folded = [fold(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0][:-GAP] for _, t in items]
-        sizes = np.array([len(f) for f in folded])
+        self.sizes = sizes = np.array([len(f) for f in folded], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(sizes + GAP)))
         self.text = np.zeros(self.begin[-1], np.uint8)
         self.owner = np.repeat(np.arange(len(sizes)), sizes + GAP)  # item of each place
@@ -96,7 +104,8 @@ class Benchmark:
             g = qgrams(self.text[b:b + n])
             grams.append(g)
             places.append(b + np.arange(len(g)))
-        grams, places = np.concatenate(grams), np.concatenate(places)
+        grams = np.concatenate([np.empty(0, np.uint64), *grams])
+        places = np.concatenate([np.empty(0, np.int64), *places])
         order = np.argsort(grams, kind="stable")
         self.place = places[order]
         self.gram, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
@@ -104,9 +113,23 @@ class Benchmark:
         self.filter[(self.gram * MULT) >> np.uint64(64 - FILTER)] = True
 
 
+    def automaton(self):
+        """The short items' matcher, made once per process."""
+        if not hasattr(self, "_automaton"):
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for needle, items in self.short.items():
+                self._automaton.add_word(needle, (needle, items))
+            self._automaton.make_automaton()
+        return self._automaton
+
+
 def hits(b: Benchmark, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in text, place in benchmark) of every shared q-gram."""
     g = qgrams(x)
+    if not len(b.gram):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(b.filter[(g * MULT) >> np.uint64(64 - FILTER)])
     k = np.minimum(np.searchsorted(b.gram, g[at]), len(b.gram) - 1)
     same = b.gram[k] == g[at]
@@ -116,12 +139,13 @@ def hits(b: Benchmark, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(at, n), b.place[np.repeat(b.first[k], n) + within]
 
 
-def candidates(b: Benchmark, x: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, window's place, first diagonal of the band) with enough shared q-grams."""
+def candidates(b: Benchmark, x: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, np.ndarray]]]:
+    """(item, window's place, first diagonal of the band) of the windows at every ``STRIDE`` with enough shared
+    q-grams, and (item, diagonal, shared places) of every band where some window has enough."""
     p, g = hits(b, x)
     if not len(p):
-        return []
-    n_items = len(b.ids)
+        return [], []
+    n_items = len(b.sizes)
     key = ((p - g + len(b.text)) // CELL) * n_items + b.owner[g]
     order = np.argsort(key)  # any order within a cell: places are sorted where they are used
     key, g = key[order], g[order]
@@ -152,16 +176,21 @@ def candidates(b: Benchmark, x: np.ndarray) -> list[tuple[int, int, int]]:
     inside = last < len(held)
     last = np.where(inside, last, 0)
     dense = inside & (of[last] == of) & (places[last] - places <= b.length[i] - Q)
-    out = []
+    out, bands_with_enough = [], []
     for k in np.unique(of[dense]).tolist():
         band = int(bands[k])
         i = band % n_items
         own = places[np.searchsorted(of, k):np.searchsorted(of, k + 1)]
-        units = b.units[i]
-        shared = np.searchsorted(own, units + b.length[i] - Q + 1) - np.searchsorted(own, units)
         diagonal = band // n_items * CELL - len(b.text)
-        out.extend((i, int(u), diagonal) for u in units[shared >= b.least[i]])
-    return out
+        out.extend((i, u, diagonal) for u in enough(b, i, b.units[i], own))
+        bands_with_enough.append((i, diagonal, own))
+    return out, bands_with_enough
+
+
+def enough(b: Benchmark, i: int, units: np.ndarray, own: np.ndarray) -> list[int]:
+    """Those of an item's windows that hold enough of the shared places."""
+    shared = np.searchsorted(own, units + b.length[i] - Q + 1) - np.searchsorted(own, units)
+    return units[shared >= b.least[i]].tolist()
 
 
 def align(b: Benchmark, x: np.ndarray, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -198,13 +227,55 @@ def align(b: Benchmark, x: np.ndarray, found: list[tuple[int, int, int]]) -> Ite
 def search(b: Benchmark, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, window, edits, start, end); start and end are byte places in data."""
     x, origin = fold(data, offs)
-    for item, unit, edits, s, e in align(b, x, c) if (c := candidates(b, x)) else ():
-        place = origin[s:e]
+    coarse, bands = candidates(b, x)
+    found = set()
+
+    def rows_of(s, e):
+        place = origin[max(s, 0):max(e, 0)]
         place = place[place >= 0]
-        if len(place):
-            row = int(np.searchsorted(offs, place[len(place) // 2], side="right")) - 1
-            place = place[(place >= offs[row]) & (place < offs[row + 1])]
-            yield row, item, unit, edits, int(place[0]), int(place[-1]) + 1
+        return place, np.searchsorted(offs, place, side="right") - 1
+
+    def placed(hits):
+        for item, unit, edits, s, e in hits:
+            place, rows = rows_of(s, e)
+            if len(place):
+                row = int(rows[len(rows) // 2])
+                place = place[rows == row]
+                found.add((row, item))
+                yield row, item, unit, edits, int(place[0]), int(place[-1]) + 1
+
+    if coarse:
+        yield from placed(align(b, x, coarse))
+    # A region may begin between two strides and have no edits to spare: where a band's texts aren't found yet,
+    # windows at every offset are tried.
+    fine = []
+    for i, diagonal, own in bands:
+        _, rows = rows_of(int(own[0]) + diagonal, int(own[-1]) + diagonal + 2 * CELL + Q)
+        if any((r, i) not in found for r in np.unique(rows).tolist()):
+            every = b.begin[i] + np.arange(b.sizes[i] - b.length[i] + 1)
+            fine.extend((i, u, diagonal) for u in enough(b, i, every, own))
+    if fine:
+        yield from placed(align(b, x, fine))
+    yield from short_items(b, x, origin, offs)
+
+
+def short_items(b: Benchmark, x: np.ndarray, origin: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Items of fewer than ``MIN_ITEM`` folded bytes, found exactly: between word edges, or those of fewer
+    than ``EDGE_ITEM`` as whole texts only."""
+    if not b.short:
+        return
+    text = x.tobytes().decode("latin-1")
+    for last, (needle, items) in b.automaton().iter(text):
+        s, e = last + 1 - len(needle), last + 1
+        if (s and x[s - 1] not in (0, 32)) or (e < len(x) and x[e] not in (0, 32)):
+            continue
+        row = int(np.searchsorted(offs, origin[s], side="right")) - 1
+        if len(needle) < EDGE_ITEM:
+            left, right = text[:s].rpartition("\0")[2], text[e:].partition("\0")[0]
+            if left.strip(" ") or right.strip(" "):
+                continue
+        for item in items:
+            yield row, item, -1, 0, int(origin[s]), int(origin[e - 1]) + 1
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
@@ -214,8 +285,6 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Benchmark]:
             .select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t"))
     for r in rows.toLocalIterator():
         t = r["t"].encode()
-        if r["i"] is None or len(fold(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) - GAP < MIN_ITEM:
-            continue
         held.append((r["i"], t))
         size += len(t)
         if size >= BLOCK_BYTES:
