@@ -9,8 +9,7 @@ one is dropped.
 
 Chains. A word without a digit or at sign that is more than ``CONTEXT`` words from one that has
 them is no part of a chain: such stretches hold no personal data in this model, so texts without
-any digit or at sign are never decoded. A run of more than ``LONGEST`` words is decoded in
-consecutive parts.
+any digit or at sign are never decoded. Chains are decoded whole, however long.
 
 Offsets are code points, ends exclusive. Nulls and ties: a null text counts as empty; empty texts
 have no spans; very long texts are searched whole, in time linear in their length; repeated rows
@@ -33,7 +32,9 @@ from modlens.llm.common import schema_with, utf8
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-CONTEXT, LONGEST = 3, 256
+CONTEXT = 3
+#: Words, padding included, that are decoded together; a longer chain is decoded alone.
+CELLS = 1 << 16
 #: Rows of the labelled table that are used for fitting; more are refused.
 MAX_LABELLED = 5000
 
@@ -123,7 +124,7 @@ RUN = re.compile(r"(.)\1*")
 
 @lru_cache(1 << 16)
 def own_features(word: str) -> tuple[str, ...]:
-    long = shape(word[:80])
+    long = shape(word)
     short = RUN.sub(r"\1", long)
     digits, n = long.count("9"), len(word)
     return (f"s={short[:12]}", f"l={RUN.sub(lambda m: m.group()[:5], long)[:40]}",
@@ -238,7 +239,7 @@ class Field:
         """Best labels of every chain: Viterbi over all chains at once."""
         e, lengths = self.emissions(chains)
         best = e[:, 0] + np.where(START, 0, NEVER)
-        back = np.zeros(e.shape, np.int64)
+        back = np.zeros(e.shape, np.int8)
         for t in range(1, e.shape[1]):
             via = best[:, :, None] + self.moves
             back[:, t] = via.argmax(1)
@@ -324,10 +325,10 @@ def chains_of(text: str) -> list[list[re.Match]]:
     out, last = [], -1
     for i in near:
         a, b = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
-        if a <= last and len(out[-1]) + b - last <= LONGEST:
-            out[-1].extend(words[max(a, last):b])
+        if a <= last:
+            out[-1].extend(words[last:b])
         else:
-            out.append(words[max(a, last) if a <= last else a:b])
+            out.append(words[a:b])
         last = b
     return [c for c in out if c]
 
@@ -362,8 +363,12 @@ def find(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     chains = [(i, c) for i, t in enumerate(texts) for c in chains_of(t)]
     extra: list[list] = [[] for _ in texts]
     chains.sort(key=lambda c: len(c[1]))
-    for a in range(0, len(chains), 512):
-        part = chains[a:a + 512]
+    a = 0
+    while a < len(chains):  # at most CELLS words with padding, or one chain, however long
+        b = a + 1
+        while b < len(chains) and (b + 1 - a) * len(chains[b][1]) <= CELLS:
+            b += 1
+        part, a = chains[a:b], b
         for (i, c), labels in zip(part, field.decode([[m.group() for m in c] for _, c in part])):
             extra[i].extend(added_spans(c, labels))
     out = []
