@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import importlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,11 +54,6 @@ class Layout:
 NARROW = Layout(">u2", 0xC4BF, "\u013f", 5, 15)
 WIDE = Layout(">u4", 0x7F7F7F7F, "\x7f" * 4, 3, 22)
 DOCS_PER_FILE = 4096
-#: A run without any blank is tokenised in parts of this many characters: the vocabulary's merges
-#: take time with the square of a run's length. Such runs are no words; their counts are of the parts.
-LONGEST_RUN = 4096
-LONG_RUN = re.compile(rf"(?<!\S)\S{{{LONGEST_RUN + 1},}}")
-
 _MADE: dict[int, object] = {}
 
 
@@ -73,19 +67,9 @@ def tokenizer(ranks: bytes):
     return _MADE[key]
 
 
-def parts(text: str) -> list[str]:
-    """The text, cut inside runs of more than LONGEST_RUN characters without a blank."""
-    out, a = [], 0
-    for run in LONG_RUN.finditer(text):
-        for b in range(run.start() + LONGEST_RUN, run.end(), LONGEST_RUN):
-            out.append(text[a:b])
-            a = b
-    return [*out, text[a:]]
-
-
 def encode(encoder, text: str) -> np.ndarray:
-    got = [np.array(encoder.encode_ordinary(p), np.uint32) for p in parts(text)]
-    return got[0] if len(got) == 1 else np.concatenate(got)
+    """The whole text's tokens. The encoder merges a long stretch with a heap, so time is near linear in it."""
+    return encoder.encode_to_numpy(text, disallowed_special=())
 
 
 def id_words(key: int | None, layout: Layout) -> list[int]:

@@ -3,7 +3,7 @@ import pytest
 
 from modlens.llm.common import documents
 from modlens.session import scratch_path
-from modlens.llm.tokens import (LONGEST_RUN, NARROW, VOCABULARY, WIDE, Layout, encode, id_words, layout_of, parts,
+from modlens.llm.tokens import (NARROW, VOCABULARY, WIDE, Layout, encode, id_words, layout_of,
                                 scan_token_files, token_counts, tokenizer, word_ids, write_token_files)
 
 SF001 = "/root/testdata/sf0.001"
@@ -67,7 +67,9 @@ def test_layout_by_vocabulary(tmp_path, encoder):
     assert layout_of(str(tmp_path / "large")) is WIDE
 
 
-def test_long_runs_are_cut(encoder):
-    text = "ab " + "x" * (3 * LONGEST_RUN) + " cd"
-    assert "".join(parts(text)) == text and max(map(len, parts(text))) <= LONGEST_RUN + 4
-    assert len(encode(encoder, text)) > 3
+@pytest.mark.parametrize("text", ["中文。abc,123;x" * 700, "x" * 50_000, "ab1" * 20_000, "é" * 9000 + " tail"])
+def test_long_runs_are_whole(spark, docs_frame, encoder, text):
+    """Runs without a blank, of any length, give the tokens of the whole text."""
+    (row,) = token_counts(docs_frame([(1, text)])).collect()
+    assert row["n_tokens"] == len(encoder.encode_ordinary(text)) == len(encode(encoder, text))
+    assert encode(encoder, text).tolist() == encoder.encode_ordinary(text)
