@@ -5,7 +5,8 @@ list item, cell, ...), each with its text, its number of tags, and the container
 line's ratio is its text length over its tags, links counting against it; ratios are smoothed by a
 Gaussian over neighbouring lines, and a threshold at the smoothed values' deviation clusters lines
 into content and other. Containers with content lines are selected, and every line of a selected
-container is kept, short ones too: nothing is dropped for its length. An ``article`` or ``main``
+container is kept, short ones too: nothing is dropped for its length; lists, quotations, tables and
+code in a selected container go with it unless they are mostly links. An ``article`` or ``main``
 element, where there is one, holds the candidates.
 
 Never text: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class, id
@@ -20,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -46,6 +48,15 @@ menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget
 recommendations share sharing social subscribe subscription newsletter signup login comment comments commentlist
 disqus respond replies discussion footer masthead topbar toolbar pagination pager skip copyright contentinfo
 complementary navigation search alert dialog""".split())
+#: Those that also name a topic. Inside of an article, where they may be a section's name, they count only in a
+#: name whose other words are marks or ``PARTNERS``, and alone only as a class or role, not as an id, a link's target.
+TOPICS = frozenset("""discussion related recommended recommendations social share sharing search alert notice notices
+notification promotion sponsor sponsors skip copyright navigation footer complementary dialog subscription login
+replies banner""".split())
+PARTNERS = frozenset("""posts post links link list lists box boxes button buttons bar icons icon form block module container
+wrapper wrap stories articles items item section area panel message messages media""".split())
+#: Containers that continue the text around them.
+INNER = frozenset("ul ol dl dir blockquote pre table figure details center".split())
 #: Only outside of an article, where it may also name a title's place.
 OUTSIDE = frozenset("header site-header top".split())
 NAME = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*|[A-Z]+(?![a-z])")
@@ -65,6 +76,7 @@ class Lines(HTMLParser):
         self.places = [0]                       # containers of the open elements
         self.mains: list[int] = []              # open article and main elements
         self.made = 0
+        self.around: dict[int, tuple[int, str]] = {}  # the container and tag of each container
         self.parts: list[str] = []
         self.tags = self.linked = self.link = 0
         self.lines: list[tuple[str, int, int, int, int]] = []
@@ -83,6 +95,8 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 words = {w.lower() for w in NAME.findall(value)}
+                if self.mains and not any(self.marks(n, name) for n in value.split()):
+                    continue
                 if words & HINTS and not (tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments"}):
                     return True
                 if words & OUTSIDE and not self.mains and tag not in ("html", "body", "main", "article"):
@@ -91,6 +105,16 @@ class Lines(HTMLParser):
                 return tag not in ("html", "body")
         return False
 
+    @staticmethod
+    def marks(name: str, attribute: str) -> bool:
+        """Whether a class, id or role inside of an article marks something else than a topic."""
+        words = [w.lower() for w in NAME.findall(name)]
+        if any(w in HINTS and w not in TOPICS for w in words):
+            return True
+        if not any(w in TOPICS for w in words) or not all(w in TOPICS or w in PARTNERS for w in words):
+            return False
+        return len(words) > 1 or attribute == "role" or attribute == "class" and words[0] != "discussion"
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -112,6 +136,7 @@ class Lines(HTMLParser):
             self.open.append((tag, bad))
             self.never += bad
             self.made += 1
+            self.around[self.made] = self.places[-1], tag
             self.places.append(self.made)
             if tag in MAIN and not bad:
                 self.mains.append(self.made)
@@ -178,6 +203,14 @@ def main_text(page: str | None) -> str:
         chosen = {x[4] for x, g in zip(lines, good) if g}
         return "\n".join(x[0] for x in lines if x[4] in chosen)
     chosen = {x[3] for x, g in zip(lines, good) if g and x[2] <= len(x[0]) / 2}
+    size, linked = Counter(), Counter()
+    for text, _, links, place, _ in lines:
+        size[place] += len(text)
+        linked[place] += links
+    for place in sorted(parser.around):  # outer containers come first
+        outer, tag = parser.around[place]
+        if tag in INNER and outer in chosen and 2 * linked[place] <= size[place]:
+            chosen.add(place)
     return "\n".join(x[0] for x in lines if x[3] in chosen)
 
 

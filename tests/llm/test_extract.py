@@ -67,3 +67,29 @@ def test_edge_cases(spark):
     got = sorted((r["page_id"], r["n_chars"]) for r in extracted(df).collect())
     assert got == [(1, 0), (2, 0), (3, 60_000 * 22 - 1), (4, 1), (4, 1)]
     assert extracted(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>What follows discusses it all.</p></section>", "<div class='social-impact'><p>It changed lives.</p></div>",
+    "<section class='related-work'><p>Others did so too.</p></section>", "<div id='search-algorithms'><p>Sorting comes first.</p></div>",
+    "<div class='alert-levels'><p>Red is worst.</p></div>"])
+def test_sections_named_by_a_topic_stay_in_an_article(part):
+    words = re.sub("<[^>]*>", "", part)
+    assert main_text(page(f"<article><h1>Title here</h1>{part}{BODY}</article>")) == WANT.replace("Title here", "Title here\n" + words)
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='related-posts'><p>Read this one next.</p></div>", "<div class='share'>Tell all of your friends</div>",
+    "<div id='social-share-buttons'>Send it on</div>", "<p class='alert'>Mind the gap</p>", "<div role='search'>Find things</div>"])
+def test_marked_parts_of_an_article_go(part):
+    assert main_text(page(f"<article><h1>Title here</h1>{part}{BODY}</article>")) == WANT
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<ul><li>One</li><li>Two</li></ul>", "One\nTwo"), ("<blockquote><p>Short.</p></blockquote>", "Short."),
+    ("<table><tr><td>1</td><td>2</td></tr></table>", "1\n2"), ("<pre>x = 1</pre>", "x = 1"),
+    ("<ol><li>A<ul><li>b</li></ul></li></ol>", "A\nb")])
+def test_inner_parts_of_a_body_without_article_stay(part, text):
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    body = f"<div id=content><h1>Title here</h1>{BODY}{part}{BODY}</div>"
+    assert main_text(page(body, before=menu)) == WANT + "\n" + text + WANT.replace("Title here", "")
