@@ -15,14 +15,19 @@ Rerank. A bucket's original vectors are compared by cosine in double precision,
 gives each vector its number of links that no earlier table has seen, and its smallest partner in
 the tile's components. Vectors of equal direction (in single precision) are one row with a count.
 
-Nulls and ties: vectors that are null, zero, hold null or non-finite components, have another length
-than the sample's most common one, or have no label link with nothing and are kept; a row without an
-id links with nothing; repeated rows are copies of one vector; an empty table gives an empty result.
+Lengths. Vectors of different lengths have no cosine and never meet. The quantiser is learned for the sample's most
+common length; vectors of another one are coded by the signs of ``bits`` fixed random projections, whose
+bits differ with probability angle / pi as well, and searched in the same tables.
+
+Nulls and ties: vectors that are null, zero, hold null or non-finite components, or have no label link with
+nothing and are kept; a row without an id links with nothing; rows that repeat an id and a vector are one
+vector, each returned; equal vectors of several ids are linked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +76,21 @@ class Quantiser:
         return ((unit - self.mean) @ self.project >= -1e-9).astype(np.uint8)  # equal directions, equal codes
 
 
+class Signs:
+    """Signs of fixed random projections, for lengths without a learned quantiser."""
+
+    def __init__(self, size: int, bits: int, seed: int = 3):
+        self.project = np.random.default_rng((seed, size)).normal(size=(size, bits))
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.project >= -1e-9).astype(np.uint8)
+
+
+@lru_cache(maxsize=16)
+def signs(size: int, bits: int) -> Signs:
+    return Signs(size, bits)
+
+
 def tables(bits: int, n: int, cosine: float, seed: int = 2) -> list[np.ndarray]:
     """The bit places of each table's substring."""
     s = min(max(8, math.ceil(math.log2(max(n, 1) / 256))), bits)
@@ -142,20 +162,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         quantiser, size = model.value
         for batch in batches:
             got, at = rows_of(batch.column(2))
-            pairs = [(v, i) for v, i in zip(got, at)
-                     if len(v) == size and batch.column(0)[i].is_valid and batch.column(1)[i].is_valid]
-            take = pa.array([i for _, i in pairs], pa.int64())
-            unit = np.stack([v / np.linalg.norm(v) for v, _ in pairs]) if pairs else np.empty((0, size))
-            code = np.packbits(quantiser.codes(unit), axis=1) if pairs else np.empty((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take),
-                 pa.array([xxhash.xxh3_128_digest((u.astype(np.float32) + 0).tobytes()) for u in unit], pa.binary()),
-                 pa.array([v.tobytes() for v, _ in pairs], pa.binary()),
-                 pa.array([c.tobytes() for c in code], pa.binary())], ["id", "label", "same", "v", "code"])
+            by_size: dict[int, list] = {}
+            for v, i in zip(got, at):
+                if batch.column(0)[i].is_valid and batch.column(1)[i].is_valid:
+                    by_size.setdefault(len(v), []).append((v, i))
+            for n, pairs in by_size.items():
+                take = pa.array([i for _, i in pairs], pa.int64())
+                unit = np.stack([v / np.linalg.norm(v) for v, _ in pairs])
+                coder = quantiser if n == size else signs(n, quantiser.bits)
+                code = np.packbits(coder.codes(unit), axis=1)
+                labels = [f"{n}:{x}" for x in batch.column(1).take(take).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), pa.array(labels, pa.string()),
+                     pa.array([xxhash.xxh3_128_digest((u.astype(np.float32) + 0).tobytes()) for u in unit], pa.binary()),
+                     pa.array([v.tobytes() for v, _ in pairs], pa.binary()),
+                     pa.array([c.tobytes() for c in code], pa.binary())], ["id", "label", "same", "v", "code"])
 
     all_coded = stored(base.mapInArrow(coded, "id bigint, label string, same binary, v binary, code binary"), "vectors")
     nodes = stored(all_coded.groupBy("label", "same").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"),
+        F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"),
         F.first("code").alias("code")), "vector-nodes")
     bits = learned[0].bits
     places = tables(bits, nodes.count(), cosine)
