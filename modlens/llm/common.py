@@ -14,19 +14,25 @@ from pyspark.sql.types import StructType
 from modlens.session import checkpoint_root, scratch_path
 
 #: Text is worked on in slices of about this many bytes, whatever the batch size.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Arrow batches sent to Python workers hold at most about this much (Spark's own default is 64 MB).
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
+#: Environment of Python workers: arrays of 1 MB and more are returned to the system when freed.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+                 "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 #: Bits of the fixed-size membership filters (4 MB each, however many keys they hold).
 FILTER_BITS = 25
 
 
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers find this package where the driver did, so a local session may be started from any
-    folder; clusters get it with ``--py-files``. Their batches are bounded in bytes, as texts are."""
+    folder; clusters get it with ``--py-files``. Their batches are bounded in bytes, as texts are, and
+    workers give freed memory back: idle ones stay beside the next stage's."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 

@@ -30,7 +30,7 @@ from modlens.llm.common import schema_with
 
 UNKNOWN = "und"
 TOP = 400
-PIECE, RUN = 1 << 20, 1 << 12
+PIECE, RUN = 1 << 17, 1 << 12
 FOLDS = 5
 #: Distinct n-grams a learning task holds before it passes its counts on.
 HELD = 1 << 20
