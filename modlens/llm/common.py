@@ -17,9 +17,10 @@ from modlens.session import checkpoint_root, scratch_path
 SLICE_BYTES = 1 << 18
 #: Arrow batches sent to Python workers hold at most about this much (Spark's own default is 64 MB).
 BATCH_BYTES = "4m"
-#: Environment of Python workers: arrays of 1 MB and more are returned to the system when freed.
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
-                 "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+#: Environment of Python workers: arrays of 4 MB and more, and 8 MB of smaller ones, are returned to the system
+#: when freed.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 22),
+                 "MALLOC_TRIM_THRESHOLD_": str(1 << 23)}
 #: Bits of the fixed-size membership filters (4 MB each, however many keys they hold).
 FILTER_BITS = 25
 
