@@ -170,15 +170,15 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
 
     # A place that only passes the filter is the first of its run and goes no further.
     places = stored(texts.mapInArrow(emit, "h bigint, id bigint, x bigint, at bigint"), "runs-places")
-    firsts = places.groupBy("h").agg(F.min(F.struct("id", "x", "at")).alias("first"))
     # The runs with more than one in HOT_SHARE of all places, fewer than HOT_SHARE by that: their first places
     # go to the others, which stay where they are. What is left meets in a shuffle without a hot key.
     total = again.agg(F.sum("n")).first()[0] or 0
     hot = again.where(F.col("n") * HOT_SHARE > total).select("h")
-    hot_firsts = stored(firsts.join(F.broadcast(hot), "h"), "runs-hot")
-    later = (places.join(F.broadcast(hot_firsts), "h")
-             .unionByName(places.join(F.broadcast(hot), "h", "left_anti").join(
-                 firsts.join(F.broadcast(hot), "h", "left_anti"), "h"))
+    often = places.join(F.broadcast(hot), "h")
+    seldom = places.join(F.broadcast(hot), "h", "left_anti")
+    first = F.min(F.struct("id", "x", "at")).alias("first")
+    hot_firsts = stored(often.groupBy("h").agg(first), "runs-hot")
+    later = (often.join(F.broadcast(hot_firsts), "h").unionByName(seldom.join(seldom.groupBy("h").agg(first), "h"))
              .where(F.struct("id", "x", "at") != F.col("first")))
     # Only the runs of one text meet here.
     return later.groupBy("id", "x").agg(F.sort_array(F.collect_set("at")).alias("drop"))
