@@ -84,13 +84,22 @@ def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label", c
     return out.select(key, label, *carry, z.alias("logit"), prob.alias("prob"), flag_gt(prob, 0.5).alias("pred"))
 
 
+def balanced_pos_weight(train: DataFrame, label: str = "label") -> float:
+    """Negatives per positive: with it both classes weigh the same, so a rare class is still predicted.
+    1 where a class is missing; rows without a label count nowhere."""
+    n, pos = train.agg(F.count(label), F.count_if(F.col(label) == 1)).first()
+    return (n - pos) / pos if 0 < pos < n else 1.0
+
+
 def fit_embedding_head(train: DataFrame, vec_col: str = "embedding", label: str = "label",
-                       pos_weight: float = 1.0, reg: float = 0.01, max_iter: int = 100) -> PipelineModel:
-    """Linear head (logistic) on pooled vectors stored as array<float>."""
+                       pos_weight: float = 1.0, reg: float = 0.01, max_iter: int = 100, tol: float = 1e-6,
+                       standardize: bool = True) -> PipelineModel:
+    """Linear head (logistic) on pooled vectors stored as array<float>. The penalty is on the weights of the
+    scaled vectors, or of the vectors as they are without ``standardize``."""
     feats = train.withColumn("_features", array_to_vector(F.col(vec_col)))
     lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", regParam=reg,
-                            maxIter=max_iter, probabilityCol="_prob", rawPredictionCol="_raw",
-                            predictionCol="_pred")
+                            maxIter=max_iter, tol=tol, standardization=standardize, probabilityCol="_prob",
+                            rawPredictionCol="_raw", predictionCol="_pred")
     return PipelineModel(stages=[lr.fit(_with_weight(feats, label, pos_weight))])
 
 

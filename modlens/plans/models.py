@@ -1,8 +1,7 @@
 """Model lifecycle queries (training, scoring, checkpoints, epoch logs).
 
-Training is iterative, so most of these keys have no SQL oracle (the reload key has:
-its rows are the test part): the driver checks their row counts and
-``tests/test_models.py`` checks the models (better than the base rate, same seed gives the same
+Training is iterative, so keys that return losses and scores of a text model have no SQL oracle; what must
+hold of them is in ``model_checks.py``, with SQL. ``tests/test_models.py`` checks the models (better than the base rate, same seed gives the same
 model, reload gives the same predictions, early stopping stops where the rule says).
 Every call fits: no model is kept between calls.
 """
@@ -34,6 +33,7 @@ MAX_EPOCHS = 20
 PATIENCE = 3
 MIN_DELTA = 1e-4
 POS_WEIGHT = 1.0
+HEAD_REG = 0.01
 
 
 def _register(name):
@@ -118,6 +118,16 @@ def ml_checkpoint_reload(spark, sf_dir):
     return a.join(b, "doc_id").select("doc_id", "label", (F.col("pred") == F.col("again")).alias("same"))
 
 
+def rule_holds(log) -> bool:
+    """Whether the early-stopping rule, replayed over a log's validation losses, gives its logged state."""
+    least, wait, holds = math.inf, 0, True
+    for r in log:
+        improved = r.val_loss < least - MIN_DELTA
+        least, wait = (r.val_loss, 0) if improved else (least, wait + 1)
+        holds = holds and (r.improved, r.wait, r.stopped) == (improved, wait, wait >= PATIENCE)
+    return holds
+
+
 INTERRUPTED_AFTER, RESUMED_TO = 2, 4
 
 
@@ -137,11 +147,7 @@ def ml_resumed_training(spark, sf_dir):
     same = len(log) == len(resumed) and all(
         (a.epoch, a.improved, a.wait, a.stopped) == (b.epoch, b.improved, b.wait, b.stopped)
         and near(a.train_loss, b.train_loss) and near(a.val_loss, b.val_loss) for a, b in zip(log, resumed))
-    least, wait, rule = math.inf, 0, True
-    for r in resumed:
-        improved = r.val_loss < least - MIN_DELTA
-        least, wait = (r.val_loss, 0) if improved else (least, wait + 1)
-        rule = rule and (r.improved, r.wait, r.stopped) == (improved, wait, wait >= PATIENCE)
+    rule = rule_holds(resumed)
     best = min(r.val_loss for r in resumed) == resumed[-1].best_val_loss
     test = data.where(F.col("split") == "test")
     a = ml.score(whole, test, "doc_id").select("doc_id", "label", F.col("logit").alias("_a"))
@@ -198,10 +204,13 @@ def ml_epoch_log(spark, sf_dir):
 
 @_register("ml_fit_embedding_head")
 def ml_fit_embedding_head(spark, sf_dir):
-    """Logistic head on the 64-d pooled vectors, label = class 0; scored on the held-out split."""
+    """Logistic head on the 64-d pooled vectors, label = class 0, both classes weighing the same; scored on the
+    held-out splits. Fitted to its only optimum, so any other solver gives the same probabilities."""
     e = table(spark, sf_dir, "embeddings").select(
         "vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))
     data = smp.stratified_split(e, "vec_id", "label", seed=I.SEED)
-    model = ml.fit_embedding_head(data.where(F.col("split") == "train"), "embedding", "label")
-    return ml.score_embedding_head(model, data.where(F.col("split") != "train"), "vec_id",
-                                   "embedding", "label")
+    train = data.where(F.col("split") == "train")
+    model = ml.fit_embedding_head(train, "embedding", "label", pos_weight=ml.balanced_pos_weight(train), reg=HEAD_REG,
+                                  max_iter=500, tol=1e-12, standardize=False)
+    scored = ml.score_embedding_head(model, data.where(F.col("split") != "train"), "vec_id", "embedding", "label")
+    return scored.select("vec_id", "label", F.round("prob", 4).alias("prob"), "pred")

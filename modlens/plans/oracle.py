@@ -12,6 +12,10 @@ from collections import defaultdict
 
 from modlens.plans import catalog as C
 from modlens.plans import inputs as I
+from modlens.plans import models as M
+
+#: Steps of the head's descent: far more than it needs at its rate.
+HEAD_STEPS = 200
 
 
 def _tok(c: str) -> str:
@@ -466,6 +470,36 @@ FROM events GROUP BY event_type""",
     "ml_resumed_training": f"""WITH {SPLIT_LAB} SELECT doc_id, label, TRUE AS same_model, TRUE AS same_log, TRUE AS rule_holds,
   TRUE AS best_is_least FROM spl WHERE split = 'test'""",
 
+    "ml_text_checks": f"""WITH {SPLIT_LAB}
+SELECT split, count(*) AS n, count_if(label = 1) AS positives, CAST((count(*) + {I.BATCH_SIZE - 1}) // {I.BATCH_SIZE} AS BIGINT) AS n_batches,
+  CASE WHEN split = 'train' THEN round(avg(label), 3) END AS mean_prob, CASE WHEN split = 'train' THEN TRUE END AS beats_base, TRUE AS pred_follows_logit,
+  TRUE AS metrics_follow_cells, TRUE AS accuracy_is_batch_mean FROM spl GROUP BY split""",
+
+    "ml_epoch_checks": f"""WITH {SPLIT_LAB}
+SELECT split, m.metric, count(*) AS n, TRUE AS every_epoch, TRUE AS rule_holds,
+  CASE WHEN split = 'val' THEN TRUE END AS logged_is_scored
+FROM spl JOIN (VALUES ('loss'), ('accuracy'), ('precision'), ('recall'), ('f1')) m(metric)
+  ON split = 'val' OR (split = 'train' AND m.metric = 'loss') GROUP BY split, m.metric""",
+
+    # Gradient descent with momentum on the same objective: balanced log-loss, penalty on all but the intercept.
+    "ml_fit_embedding_head": f"""WITH RECURSIVE emb AS (
+  SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label,
+    list_append(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), CAST(1 AS DOUBLE)) AS x FROM embeddings),
+{split_ctes('emb', 'vec_id', 'label', 'es')},
+cls AS (SELECT count(*) AS n, count_if(label = 1) AS pos, max(len(x)) AS d FROM es WHERE split = 'train'),
+tr AS (SELECT x, label, CASE WHEN label = 1 THEN 0.5 / pos ELSE 0.5 / (n - pos) END AS wt FROM es, cls WHERE split = 'train'),
+gd AS (
+  SELECT 0 AS i, list_transform(range(d), lambda k: CAST(0 AS DOUBLE)) AS w, list_transform(range(d), lambda k: CAST(0 AS DOUBLE)) AS v FROM cls
+  UNION ALL
+  SELECT i + 1, list(w + dv ORDER BY k), list(dv ORDER BY k) FROM (
+    SELECT i, k, d, any_value(w) AS w,
+      0.6 * any_value(v) - 4.0 * (sum(r * xk) + CASE WHEN k < d THEN {M.HEAD_REG} * any_value(w) ELSE 0 END) AS dv
+    FROM (SELECT i, d, unnest(range(1, d + 1)) AS k, unnest(gd.w) AS w, unnest(gd.v) AS v, unnest(tr.x) AS xk,
+            wt * (1 / (1 + exp(-list_dot_product(gd.w, tr.x))) - label) AS r FROM gd, tr, cls WHERE i < {HEAD_STEPS})
+    GROUP BY i, k, d) GROUP BY i),
+h AS (SELECT vec_id, label, list_dot_product(w, x) AS z FROM es, gd WHERE i = {HEAD_STEPS} AND split <> 'train')
+SELECT vec_id, label, round(1 / (1 + exp(-z)), 4) AS prob, CASE WHEN z > 0 THEN 1 ELSE 0 END AS pred FROM h""",
+
     "ml_score_external": f"""WITH h AS (
   SELECT vec_id, list_reduce(list_transform(range(1, len(embedding) + 1),
            lambda i: CAST(embedding[i] AS DOUBLE) * ({_W})[i]), lambda a, b: a + b) + CAST({C.LINEAR_HEAD_BIAS!r} AS DOUBLE) AS z

@@ -148,3 +148,23 @@ def test_external_model_is_loaded_once_per_worker(spark):
     df = spark.range(400).select("id", F.array(F.col("id").cast("double")).alias("v")).coalesce(1)
     out = ml.score_external(df, path, load, ["v"], ["id"], batch_size=10).collect()
     assert all(r["logit"] == 2.0 * r["id"] for r in out) and loads.value == 1
+
+
+def test_embedding_head_finds_the_rare_class(spark):
+    rows = M.ml_fit_embedding_head(spark, "/root/testdata/sf0.1").collect()
+    hits = sum(r.label == r.pred == 1 for r in rows)
+    assert hits > 0 and 0 < sum(r.pred for r in rows) < len(rows)
+
+
+def test_balanced_pos_weight(spark):
+    df = spark.createDataFrame([(1,), (0,), (0,), (0,), (None,)], "label int")
+    assert ml.balanced_pos_weight(df) == 3.0
+    assert ml.balanced_pos_weight(df.where("label = 1")) == ml.balanced_pos_weight(df.limit(0)) == 1.0
+
+
+def test_replayed_rule_notices_a_wrong_log():
+    record = lambda e, loss, improved, wait, stopped: ml.EpochRecord(e, 0.0, loss, 0.0, improved, wait, stopped, {})
+    log = [record(0, 1.0, True, 0, False), record(1, 0.5, True, 0, False), record(2, 0.6, False, 1, False)]
+    assert M.rule_holds(log) and M.rule_holds([])
+    log[2].wait = 0
+    assert not M.rule_holds(log)
