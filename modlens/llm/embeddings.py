@@ -10,10 +10,13 @@ are compared. Substrings are s = max(8, log2(vectors / 256)) bits, so buckets ke
 the input grows, and there are as many tables as give a pair at the threshold 97 % to meet
 (1 - (1 - p^s)^tables, p = 1 - angle / pi): the disjoint substrings first, then fixed random ones.
 
-Rerank. A bucket's original vectors are compared by cosine in double precision, in tiles of at most
-``TILE`` by ``TILE`` rows, so a bucket of any size is split over tasks; no pair leaves a tile. A tile
-gives each vector its number of links that no earlier table has seen, and its smallest partner in
-the tile's components. Vectors of equal direction (in single precision) are one row with a count.
+Hamming. Only codes and ids are dealt to the tables. A bucket's codes are compared in tiles of at most ``TILE`` by
+``TILE`` rows, so a bucket of any size is split over tasks. A vector stays in a tile where another one, not met in an
+earlier table, is within the Hamming distance that all but ``MISS`` of pairs at the threshold keep to.
+
+Rerank. Vectors that stay are fetched for their tiles and compared there by cosine in double precision; no pair
+leaves a tile. A tile gives each vector its number of links that no earlier table has seen, and its smallest
+partner in the tile's components. Vectors of equal direction (in single precision) are one row with a count.
 
 Lengths. Vectors of different lengths have no cosine and never meet. The quantiser is learned for the sample's most
 common length; vectors of another one are coded by the signs of ``bits`` fixed random projections, whose
@@ -27,6 +30,7 @@ vector, each returned; equal vectors of several ids are linked; an empty table g
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,12 +38,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from modlens.llm.common import connected, cut, hash_sample, stored
 
 COSINE = 0.93
 SAMPLE, BITS, ROUNDS, TILE = 10_000, 64, 50, 1024
-MEET = 0.97
+MEET, MISS = 0.97, 0.001
 
 
 def rows_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +111,64 @@ def keys(code: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     return np.stack([code[:, p].astype(np.int64) @ (1 << np.arange(len(p), dtype=np.int64)) for p in places], axis=1)
 
 
+def radius(bits: int, cosine: float) -> int:
+    """The Hamming distance that all but ``MISS`` of pairs at the threshold keep to: bits differ with
+    probability angle / pi."""
+    p, within = math.acos(cosine) / math.pi, 0.0
+    for d in range(bits):
+        within += math.comb(bits, d) * p ** d * (1 - p) ** (bits - d)
+        if within >= 1 - MISS:
+            return d
+    return bits
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as one bigint each."""
+    out = np.zeros((len(bits), 8), np.uint8)
+    b = np.packbits(bits, axis=1)
+    out[:, :b.shape[1]] = b
+    return out.view(np.int64).ravel()
+
+
+def unpacked(code: np.ndarray, bits: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(code, np.int64).view(np.uint8).reshape(len(code), 8), axis=1)[:, :bits]
+
+
+def unseen(own: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows share no key of an earlier table."""
+    new = np.ones(len(a), bool)
+    for t in range(table):
+        new &= own[a, t] != own[b, t]
+    return new
+
+
+def within_radius(code: np.ndarray, own: np.ndarray, table: int, side: np.ndarray, most: int) -> np.ndarray:
+    """Rows of a tile that have another one, not met in an earlier table, within a Hamming distance."""
+    bits = code.view(np.uint64)  # of a signed number the magnitude's bits would be counted
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most
+    if side.any():
+        near &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(near, 1))
+    new = unseen(own, table, a, b)
+    out = np.zeros(len(code), bool)
+    out[a[new]] = out[b[new]] = True
+    return out
+
+
+def tiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of every tile of two rows or more; its key is the first ``width`` columns, by which rows come sorted."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != last:
+                if len(held) > 1:
+                    yield last, held
+                held, last = [], row[:width]
+            held.append(row[width:])
+    if len(held) > 1:
+        yield last, held
+
+
 def tile_links(unit: np.ndarray, copies: np.ndarray, own: np.ndarray, table: int, side: np.ndarray,
                cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links per row not seen in an earlier table, smallest row of its component) of one tile."""
@@ -114,7 +177,7 @@ def tile_links(unit: np.ndarray, copies: np.ndarray, own: np.ndarray, table: int
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
     a, b = np.nonzero(near)
-    new = ~(own[a, :table] == own[b, :table]).any(1) if table else np.ones(len(a), bool)
+    new = unseen(own, table, a, b)
     links = np.bincount(a[new], weights=copies[b[new]], minlength=len(unit)).astype(np.int64)
     low = np.arange(len(unit))
     while len(a):
@@ -158,6 +221,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                            F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     model = spark.sparkContext.broadcast(learned)
 
+    element = base.schema["v"].dataType.elementType
+    kind = np.float32 if isinstance(element, FloatType) else np.float64  # as given, so nothing is rounded
+
     def coded(batches):
         quantiser, size = model.value
         for batch in batches:
@@ -170,82 +236,91 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 take = pa.array([i for _, i in pairs], pa.int64())
                 unit = np.stack([v / np.linalg.norm(v) for v, _ in pairs])
                 coder = quantiser if n == size else signs(n, quantiser.bits)
-                code = np.packbits(coder.codes(unit), axis=1)
                 labels = [f"{n}:{x}" for x in batch.column(1).take(take).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), pa.array(labels, pa.string()),
                      pa.array([xxhash.xxh3_128_digest((u.astype(np.float32) + 0).tobytes()) for u in unit], pa.binary()),
-                     pa.array([v.tobytes() for v, _ in pairs], pa.binary()),
-                     pa.array([c.tobytes() for c in code], pa.binary())], ["id", "label", "same", "v", "code"])
+                     pa.array([v.astype(kind).tobytes() for v, _ in pairs], pa.binary()),
+                     pa.array(packed(coder.codes(unit)))], ["id", "label", "same", "v", "code"])
 
-    all_coded = stored(base.mapInArrow(coded, "id bigint, label string, same binary, v binary, code binary"), "vectors")
+    all_coded = stored(base.mapInArrow(coded, "id bigint, label string, same binary, v binary, code bigint"), "vectors")
+    node = F.xxhash64("same").alias("h")
     nodes = stored(all_coded.groupBy("label", "same").agg(
-        F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"),
-        F.first("code").alias("code")), "vector-nodes")
+        F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("code").alias("code")), "vector-nodes")
     bits = learned[0].bits
     places = tables(bits, nodes.count(), cosine)
+    most = radius(bits, cosine)
 
     def post(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            code = np.unpackbits(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, -1), axis=1)
-            own = keys(code[:, :bits], places)
+            own = keys(unpacked(batch.column(4).to_numpy(), bits), places)
             for t in range(len(places)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(n, t, np.int32)), pa.array(own[:, t]), *batch.columns[1:]],
-                    ["label", "t", "k", "rep", "copies", "v", "code"])
-
-    posts = nodes.select("label", "rep", "copies", "v", "code").mapInArrow(
-        post, "label string, t int, k bigint, rep bigint, copies bigint, v binary, code binary")
-    narrow = nodes.select("label", "rep", "copies", F.lit(b"").alias("v"), "code").mapInArrow(
-        post, "label string, t int, k bigint, rep bigint, copies bigint, v binary, code binary")
-    sizes = (narrow.groupBy("label", "t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).drop("n"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    placed = (posts.join(sizes, ["label", "t", "k"])
-              .withColumn("c", chunk)
+                    ["label", "t", "k", "rep", "h", "copies", "code"])
+
+    posts = nodes.select("label", "rep", node, "copies", "code").mapInArrow(
+        post, "label string, t int, k bigint, rep bigint, h bigint, copies bigint, code bigint")
+    # Only buckets of more than a tile have chunks; written first, so that their size decides how they are joined.
+    large = stored(posts.groupBy("label", "t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+                   .withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).drop("n"), "vector-buckets")
+    group = ["label", "t", "k", "i", "j"]
+    placed = (posts.join(large, ["label", "t", "k"], "left")
+              .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+              .withColumn("c", F.pmod("h", F.col("chunks")).cast("int"))
               .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
-              .withColumn("side", F.when(F.col("i") != F.col("j"), (F.col("c") == F.col("j")).cast("int")).otherwise(0))
-              .select("label", "t", "k", "i", "j", "side", "rep", "copies", "v", "code"))
-    group = ["label", "t", "k", "i", "j"]
+              .select(*group, "c", "rep", "h", "copies", "code"))
+    fields = "label string, t int, k bigint, i int, j int, c int, rep bigint, h bigint, copies bigint, code bigint"
+    schema = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.split()[1]])
+                        for f in fields.split(", ")])
+
+    def parts(key, rows):
+        """(codes, own keys of earlier tables, side) of a tile; a tile of two chunks compares across them only."""
+        code = np.array([r[4] for r in rows], np.int64)
+        own = keys(unpacked(code, bits), places[:key[1]]) if key[1] else np.empty((len(code), 0), np.int64)
+        side = np.array([key[3] != key[4] and r[0] == key[4] for r in rows])
+        return code, own, side
+
+    def screen(batches):
+        out: list[tuple] = []
+        for key, rows in tiles(batches, 5):
+            code, own, side = parts(key, rows)
+            out.extend(key + rows[i] for i in np.flatnonzero(within_radius(code, own, key[1], side, most)))
+            if len(out) >= 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     def rerank(batches):
-        held: list[tuple] = []
-        last = None
-
-        def out():
-            if len(held) < 2:
-                return
-            held.sort(key=lambda r: r[1])
-            unit = np.stack([np.frombuffer(r[3]) for r in held])
+        done: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], ["rep", "links", "low"])
+
+        for key, rows in tiles(batches, 5):
+            rows.sort(key=lambda r: r[1:3])
+            _, own, side = parts(key, rows)
+            unit = np.stack([np.frombuffer(r[5], kind) for r in rows]).astype(np.float64)
             unit /= np.linalg.norm(unit, axis=1)[:, None]
-            code = np.unpackbits(np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1), axis=1)
-            links, low = tile_links(unit, np.array([r[2] for r in held]), keys(code[:, :bits], places[:last[1]])
-                                    if last[1] else np.empty((len(held), 0)), last[1],
-                                    np.array([r[0] for r in held]), cosine)
-            rep = np.array([r[1] for r in held])
+            links, low = tile_links(unit, np.array([r[3] for r in rows]), own, key[1], side, cosine)
+            rep = np.array([r[1] for r in rows])
             some = (links > 0) | (low != np.arange(len(low)))
             done.append((rep[some], links[some], rep[low][some]))
-
-        for batch in batches:
-            done: list[tuple] = []
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols):
-                if row[:5] != last:
-                    out()
-                    held, last = [], row[:5]
-                held.append(row[5:])
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], ["rep", "links", "low"])
-        done = []
-        out()
+            if len(done) >= 1 << 10:
+                yield batch()
+                done = []
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], ["rep", "links", "low"])
+            yield batch()
 
-    found = stored(placed.repartition(*group).sortWithinPartitions(*group)
+    near = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(screen, fields)
+    original = all_coded.groupBy("label", F.col("id").alias("rep"), node).agg(F.min("v").alias("v"))
+    met = near.join(original, ["label", "rep", "h"]).select(*near.columns, "v")
+    found = stored(met.repartition(*group).sortWithinPartitions(*group)
                    .mapInArrow(rerank, "rep bigint, links bigint, low bigint"), "vector-links")
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = cut(connected(found.where("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v"))))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from modlens.llm.common import documents
-from modlens.llm.embeddings import near_duplicates, tables, tile_links
+from modlens.llm.embeddings import MISS, near_duplicates, packed, radius, tables, tile_links, unpacked, within_radius
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -115,3 +115,54 @@ def test_recall_with_longer_keys(spark, monkeypatch, bits):
     lab = np.array([r[2] for r in rows])
     links = ((x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])).sum() - len(rows)
     assert near_duplicates(vectors).groupBy().sum("n_links").first()[0] >= 0.9 * links
+
+
+def test_codes_are_packed_and_unpacked():
+    rng = np.random.default_rng(2)
+    for bits in (1, 3, 8, 17, 64):
+        b = rng.integers(0, 2, (50, bits)).astype(np.uint8)
+        assert (unpacked(packed(b), bits) == b).all()
+
+
+def test_radius_holds_all_but_few_pairs_at_the_threshold():
+    """Measured with random hyperplanes, whose bits differ independently."""
+    rng = np.random.default_rng(8)
+    p = np.arccos(0.93) / np.pi
+    for bits in (4, 16, 64):
+        apart = (rng.random((200_000, bits)) < p).sum(1)
+        assert (apart <= radius(bits, 0.93)).mean() >= 1 - 1.5 * MISS
+    assert radius(64, 0.93) < 20 and radius(2, 0.93) == 2 and radius(64, 1.0) == 0
+
+
+def test_screen_against_every_pair():
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (60, 64)).astype(np.uint8)
+    bits[30:] = bits[:30] ^ (rng.random((30, 64)) < 0.12)
+    code, own, side = packed(bits), rng.integers(0, 3, (60, 2)), np.zeros(60, bool)
+    side[:20] = True
+    for s in (side, np.zeros(60, bool)):
+        for table in (0, 1, 2):
+            want = [any(i != j and (bits[i] != bits[j]).sum() <= 16 and (own[i, :table] != own[j, :table]).all()
+                        and (not s.any() or s[i] != s[j]) for j in range(60)) for i in range(60)]
+            assert within_radius(code, own, table, s, 16).tolist() == want and any(want) and not all(want)
+
+
+def test_a_dense_group_of_different_vectors_is_whole(spark):
+    """One group holds a third of all vectors, in buckets of many tiles; ids with several vectors besides."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.03 * rng.normal(size=16)).astype(np.float32).tolist(), 0) for i in range(150)]
+    rows += [(150 + i, rng.normal(size=16).astype(np.float32).tolist(), i % 2) for i in range(300)]
+    assert result(spark.createDataFrame(rows, SCHEMA), tile=16) == brute(rows)
+
+
+@pytest.mark.parametrize("step, links", [(1e-12, 1), (-1e-12, 0)])
+def test_double_vectors_are_compared_unrounded(spark, monkeypatch, step, links):
+    """With one table of one bucket and every distance allowed, only the cosine decides."""
+    from modlens.llm import embeddings as e
+
+    monkeypatch.setattr(e, "tables", lambda bits, n, cosine: [np.arange(0)])
+    monkeypatch.setattr(e, "radius", lambda bits, cosine: bits)
+    b = [0.93 + step, float(np.sqrt(1 - (0.93 + step) ** 2)), 0.0]
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0), (2, b, 0)], "vec_id bigint, embedding array<double>, label int")
+    assert [r[1] for r in result(df)] == [links, links]
