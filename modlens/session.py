@@ -56,6 +56,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written table."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/modlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint folder for a written table. What the session wrote to such
+    paths is removed when its driver ends."""
+    tables = f"{checkpoint_root(spark).rstrip('/')}/modlens-tables"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{tables}/{name}-{uuid.uuid4().hex[:12]}"
