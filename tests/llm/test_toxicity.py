@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -64,3 +67,42 @@ def test_fit_reaches_the_optimum():
 
 def test_later_models_train_on_out_of_fold_predictions():
     assert FOLDS >= 2
+
+
+def newton(x, y):
+    """The exact optimum of the ridge logistic regression; the last column is the intercept's."""
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, L2), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def test_chain_against_a_plain_version(spark, docs_frame):
+    """Words by a regular expression, dense matrices, exact optima: every document's probabilities."""
+    r = np.random.default_rng(11)
+    names = ["alpha", "Beta", "g4mma", "délta", "EPS", "zeta!", "eta.", "theta", "iota", "kappa"]
+    texts, labels = [], []
+    for i in range(600):
+        has = r.random(len(names)) < 0.4
+        texts.append((i, ", ".join(n for n, h in zip(names, has) if h) + f" once{i}"))
+        first = int(r.random() < 1 / (1 + np.exp(2 - 3 * has[0] - 2 * has[3])))
+        labels.append((i, first, int(r.random() < 1 / (1 + np.exp(3 - 3 * first - 2 * has[5])))))
+    frame = spark.createDataFrame(labels[:450], "doc_id bigint, first int, second int")
+    got = {x["doc_id"]: (x["p_first"], x["p_second"]) for x in chain_scores(docs_frame(texts), frame, ("first", "second")).collect()}
+
+    found = [set(re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))) for _, t in texts]
+    known = sorted({w for f in found[:450] for w in f if sum(w in g for g in found[:450]) >= 5})
+    assert len(known) == len(names)
+    x = np.array([[w in f for w in known] + [True] for f in found], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in range(450)])
+    train, every, want = x[:450], x, []
+    for j in (1, 2):
+        y = np.array([row[j] for row in labels[:450]], float)
+        p = 1 / (1 + np.exp(-every @ newton(train, y)))
+        want.append(p)
+        unseen = np.zeros(450)
+        for f in range(FOLDS):
+            unseen[fold == f] = 1 / (1 + np.exp(-train[fold == f] @ newton(train[fold != f], y[fold != f])))
+        train, every = np.column_stack((unseen, train)), np.column_stack((p, every))
+    assert np.abs(np.array([got[i] for i in range(600)]) - np.array(want).T).max() < 0.01
