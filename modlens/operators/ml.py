@@ -5,7 +5,8 @@ batch scoring, test metrics, checkpoint / reload, epoch metric logs.
   term features, IDF, L2 logistic regression with a positive-class weight.
 * ``train_epochs`` (M2): Spark ML's perceptron classifier over hashed term
   features, fitted epoch by epoch: each epoch continues from the weights of
-  the one before. Validation loss and metrics each epoch; stop after
+  the one before. Its solver's steps are taken here on sparse rows, as Spark ML
+  makes every row dense (32 KB at 4,096 features) in every epoch. Validation loss and metrics each epoch; stop after
   ``patience`` epochs without a ``min_delta`` improvement of val loss; the best
   epoch's model is saved as it is found, and reloaded for use.
   Training state is committed every epoch, so an interrupted run goes on where it stopped.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 from functools import reduce, wraps
 
 import numpy as np
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -29,7 +31,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -131,6 +133,165 @@ class EpochRecord:
     metrics: dict
 
 
+#: Spark ML averages a perceptron's loss over blocks of this many rows of a partition (its ``blockSize``).
+BLOCK_ROWS = 128
+#: Entries of a chunk of sparse rows, at least (4 MB).
+CHUNK_ENTRIES = 1 << 20
+
+
+def sparse_chunks(rows):
+    """(entries per row, feature of every entry, label and weight of each row) of many (binary sparse vector,
+    label) at once. A row weighs one by the size of its block, as in Spark ML's loss."""
+    chunk, block, held = [], [], 0
+    for features, label in rows:
+        if label not in (0, 1):
+            raise ValueError(f"a label of two classes is 0 or 1, not {label!r}")
+        block.append((features.indices, label))
+        held += len(features.indices)
+        if len(block) == BLOCK_ROWS:
+            chunk.append(block)
+            block = []
+            if held >= CHUNK_ENTRIES:
+                yield _chunk(chunk)
+                chunk, held = [], 0
+    if block:
+        chunk.append(block)
+    if chunk:
+        yield _chunk(chunk)
+
+
+def _chunk(blocks: list) -> tuple:
+    rows = [r for b in blocks for r in b]
+    return (np.array([len(i) for i, _ in rows]), np.concatenate([i for i, _ in rows]).astype(np.int32),
+            np.array([y for _, y in rows], np.float64), np.concatenate([np.full(len(b), 1 / len(b)) for b in blocks]))
+
+
+def loss_and_gradient(chunks: RDD, weights: np.ndarray, n_blocks: int) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy of a perceptron without hidden layers, and its gradient, in one pass. Weights are in
+    Spark ML's order: two for each feature, then two biases; only the classes' difference counts."""
+    margin = weights[1::2] - weights[::2]
+    n = len(margin) - 1
+
+    def sums(part):
+        total = np.zeros(n + 2)
+        for sizes, features, label, weight in part:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(row, margin[features], len(sizes)) + margin[n]
+            off = weight * (1 / (1 + np.exp(np.minimum(-z, 700))) - label)
+            total[:n] += np.bincount(features, off[row], n)
+            total[n] += off.sum()
+            total[n + 1] += (weight * (np.logaddexp(0, z) - label * z)).sum()
+        yield total
+
+    total = chunks.mapPartitions(sums).treeReduce(np.add) / n_blocks
+    return float(total[-1]), np.column_stack((-total[:-1], total[:-1])).ravel()
+
+
+class SearchFailed(Exception):
+    pass
+
+
+def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, tol: float = 1e-6,
+          memory: int = 10) -> np.ndarray:
+    """x after ``steps`` steps of limited-memory BFGS with a strong Wolfe search, the solver of Spark ML's
+    perceptron: a failed search forgets the past steps once, and ends it the second time."""
+    value, grad = f(x)
+    past, taken, failed = [], 0, False
+    while taken < steps and np.linalg.norm(grad) > max(tol * value, 1e-8):
+        try:
+            way = _descent(past, grad)
+            t, new_value, new_grad = wolfe_search(f, x, value, grad, way, 1.0 if taken else 1 / np.linalg.norm(way))
+            if t * np.linalg.norm(grad) < 1e-10:
+                raise SearchFailed
+        except SearchFailed:
+            if failed:
+                break
+            past, failed = [], True
+            continue
+        past = [(t * way, new_grad - grad), *past][:memory]
+        x, value, grad, failed = x + t * way, new_value, new_grad, False
+        taken += 1
+    return x
+
+
+def _descent(past: list, grad: np.ndarray) -> np.ndarray:
+    """The two-loop product of the gradient and the approximated inverse Hessian, downwards."""
+    way, kept = grad.copy(), []
+    for s, y in past:
+        rho = s @ y
+        a = s @ way / rho if rho else np.nan
+        if np.isnan(a):
+            raise SearchFailed
+        kept.append((rho, a))
+        way -= a * y
+    if past:
+        s, y = past[0]
+        if s @ y < 0:
+            raise SearchFailed
+        way *= s @ y / (y @ y)
+    for (s, y), (rho, a) in zip(past[::-1], kept[::-1]):
+        way += (a - y @ way / rho) * s
+    return -way
+
+
+def wolfe_search(f, x: np.ndarray, value: float, grad: np.ndarray, way: np.ndarray, t: float, tries: int = 10,
+                 c1: float = 1e-4, c2: float = 0.9) -> tuple[float, float, np.ndarray]:
+    """(t, loss, gradient) at x + t * way where the strong Wolfe conditions hold (Nocedal and Wright, 3.5)."""
+    slope = grad @ way
+    if slope > 0:
+        raise SearchFailed
+
+    def at(t):
+        v, g = f(x + t * way)
+        return t, v, g @ way, g
+
+    def between(a, b):
+        (ta, va, sa, _), (tb, vb, sb, _) = sorted((a, b), key=lambda p: p[0])
+        d1 = sa + sb - 3 * (va - vb) / (ta - tb)
+        root = d1 * d1 - sa * sb
+        d2 = np.sqrt(root) if root >= 0 else np.nan
+        t = tb - (tb - ta) * (sb + d2 - d1) / (sb - sa + 2 * d2)
+        low, high = ta + 0.1 * (tb - ta), ta + 0.9 * (tb - ta)
+        return low if t < low else high if t > high else t
+
+    def zoom(low, high):
+        for _ in range(tries):
+            c = at(between(low, high))
+            if c[1] > value + c1 * c[0] * slope or c[1] >= low[1]:
+                high = c
+                continue
+            if abs(c[2]) <= c2 * abs(slope):
+                return c[0], c[1], c[3]
+            if c[2] * (high[0] - low[0]) >= 0:
+                high = low
+            low = c
+        raise SearchFailed
+
+    low = 0.0, value, slope, grad
+    for i in range(tries):
+        c = at(t)
+        if not np.isfinite(c[1]):
+            t /= 2
+            continue
+        if c[1] > value + c1 * t * slope or (c[1] >= low[1] and i):
+            return zoom(low, c)
+        if abs(c[2]) <= c2 * abs(slope):
+            return c[0], c[1], c[3]
+        if c[2] >= 0:
+            return zoom(c, low)
+        low = c
+        t *= 1.5
+    raise SearchFailed
+
+
+def _perceptron(classifier: MultilayerPerceptronClassifier, spark: SparkSession, label: str, weights=None
+                ) -> MultilayerPerceptronClassificationModel:
+    """The model with these weights, or the seed's first ones: a fit of no steps, on one row without terms."""
+    row = spark.createDataFrame([(Vectors.sparse(classifier.getLayers()[0], [], []), 0.0)], [classifier.getFeaturesCol(), label])
+    still = classifier.copy({classifier.maxIter: 0})
+    return (still if weights is None else still.setInitialWeights(weights)).fit(row)
+
+
 def _losses(model, rows: DataFrame, label: str) -> dict:
     """Loss per part (0 train, 1 validation) and validation metrics, in one pass."""
     scored = score(model, rows, "_part", label)
@@ -148,7 +309,8 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
     from ``path``, and the log.
 
     An epoch is ``iterations`` steps of Spark ML's solver from the last epoch's weights. Hashed
-    features are persisted once; the driver holds the weights (two per feature) and the losses.
+    features are persisted once, for the steps as arrays of the terms' numbers; every step is a sum over the
+    partitions. The driver holds the weights (two per feature), the last steps and the losses.
 
     Every epoch ends with its state (weights, monitored loss, wait, log row) appended under ``path``. With
     ``resume`` a run that was stopped goes on after its last committed epoch, with the same arguments and
@@ -164,6 +326,9 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
     step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[num_features, 2],
                                           maxIter=iterations, solver="l-bfgs", seed=seed, probabilityCol="_prob",
                                           rawPredictionCol="_raw", predictionCol="_pred")
+    chunks = (rows.where("_part = 0").select("_features", label).rdd.mapPartitions(sparse_chunks)
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    n_blocks = 0
     best, monitor, wait, log, weights = float("inf"), float("inf"), 0, [], None
     if resume:
         log, weights, monitor = last_state(train.sparkSession, path)
@@ -172,10 +337,13 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
         for epoch in range(len(log), max_epochs):
             if log and log[-1].stopped:
                 break
-            if weights is not None:
-                step = step.setInitialWeights(weights)
-            head = step.fit(rows.where("_part = 0"))
-            weights = head.weights
+            if weights is None:
+                weights = _perceptron(step, train.sparkSession, label).weights
+            n_blocks = n_blocks or round(chunks.map(lambda c: c[3].sum()).sum())
+            if n_blocks:
+                weights = DenseVector(lbfgs(lambda w: loss_and_gradient(chunks, w, n_blocks), weights.toArray(),
+                                            iterations, step.getTol()))
+            head = _perceptron(step, train.sparkSession, label, weights)
             losses = _losses(head, rows, label)
             train_loss = losses.get(0, {}).get("loss", 0.0)
             val_loss = losses.get(1, {}).get("loss", train_loss)
@@ -190,6 +358,7 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
             if on_epoch:
                 on_epoch(log[-1])
     finally:
+        chunks.unpersist()
         rows.unpersist()
     return best_model(train.sparkSession, path), log
 

@@ -168,3 +168,34 @@ def test_replayed_rule_notices_a_wrong_log():
     assert M.rule_holds(log) and M.rule_holds([])
     log[2].wait = 0
     assert not M.rule_holds(log)
+
+
+def test_epochs_take_the_perceptrons_own_steps_on_sparse_rows(spark, monkeypatch):
+    """The log is that of Spark ML's fits, but no fit makes the rows dense."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier as Perceptron
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    train, val = _toy(spark, 700)
+    train = train.unionByName(spark.createDataFrame([(1000, "", 1), (1001, "?!", 0)], train.schema))
+    fit, sizes = Perceptron.fit, []
+    monkeypatch.setattr(Perceptron, "fit", lambda self, df, *a: (sizes.append(df.count()), fit(self, df, *a))[1])
+    _, log = ml.train_epochs(train, val, scratch_path(spark, "sparse"), num_features=64, max_epochs=4, patience=9, iterations=3)
+    assert sizes and max(sizes) <= 1
+    terms = RegexTokenizer(inputCol="text", outputCol="_t", pattern=ml.TOKEN_SPLIT)
+    tf = HashingTF(inputCol="_t", outputCol="_f", numFeatures=64, binary=True)
+    rows = tf.transform(terms.transform(train))
+    step = Perceptron(featuresCol="_f", labelCol="label", layers=[64, 2], maxIter=3, seed=1, probabilityCol="_prob",
+                      rawPredictionCol="_raw", predictionCol="_pred")
+    for record in log:
+        model = fit(step, rows)
+        loss = ml.score(model, rows, "doc_id").agg(F.avg(ev.bce_with_logits("label", "logit"))).first()[0]
+        assert abs(record.train_loss - loss) < 1e-6
+        step = step.setInitialWeights(model.weights)
+
+
+def test_steps_on_no_rows_and_on_a_label_of_no_class(spark):
+    train, val = _toy(spark)
+    _, log = ml.train_epochs(train.limit(0), val, scratch_path(spark, "empty"), num_features=64, max_epochs=1)
+    assert [r.train_loss for r in log] == [0.0] and log[0].val_loss > 0
+    with pytest.raises(Exception, match="0 or 1"):
+        ml.train_epochs(train.withColumn("label", F.lit(2)), val, scratch_path(spark, "three"), num_features=64, max_epochs=1)
