@@ -98,6 +98,14 @@ def tokens(c: str | Column) -> Column:
     return split_words(c, lower=True, pattern=TOKEN_SPLIT)
 
 
+def first_tokens(c: str | Column, n: int) -> Column:
+    """The first ``n`` of ``tokens``; the text behind them is not split."""
+    # one piece more for an empty one in front, and one for the rest of the text
+    parts = F.split(F.lower(_col(c)), TOKEN_SPLIT, n + 2)
+    found = F.slice(F.filter(parts, lambda t: t != F.lit("")), 1, n)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def ngrams(toks: Column, n: int) -> Column:
     """Space-joined n-grams of a token array (n = 1 returns the tokens).
 

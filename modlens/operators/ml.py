@@ -139,31 +139,34 @@ BLOCK_ROWS = 128
 CHUNK_ENTRIES = 1 << 20
 
 
-def sparse_chunks(rows):
-    """(entries per row, feature of every entry, label and weight of each row) of many (binary sparse vector,
+def sparse_chunks(rows: DataFrame) -> RDD:
+    """(entries per row, feature of every entry, label and weight of each row) of many rows (binary sparse vector,
     label) at once. A row weighs one by the size of its block, as in Spark ML's loss."""
-    chunk, block, held = [], [], 0
-    for features, label in rows:
-        if label not in (0, 1):
-            raise ValueError(f"a label of two classes is 0 or 1, not {label!r}")
-        block.append((features.indices, label))
-        held += len(features.indices)
-        if len(block) == BLOCK_ROWS:
-            chunk.append(block)
-            block = []
-            if held >= CHUNK_ENTRIES:
-                yield _chunk(chunk)
-                chunk, held = [], 0
-    if block:
-        chunk.append(block)
-    if chunk:
-        yield _chunk(chunk)
 
+    def packed(blocks):
+        rows = [r for b in blocks for r in b]
+        return (np.array([len(i) for i, _ in rows]), np.concatenate([i for i, _ in rows]).astype(np.int32),
+                np.array([y for _, y in rows], np.float64), np.concatenate([np.full(len(b), 1 / len(b)) for b in blocks]))
+
+    def pack(part):
+        chunk, block, held = [], [], 0
+        for features, label in part:
+            if label not in (0, 1):
+                raise ValueError(f"a label of two classes is 0 or 1, not {label!r}")
+            block.append((features.indices, label))
+            held += len(features.indices)
+            if len(block) == BLOCK_ROWS:
+                chunk.append(block)
+                block = []
+                if held >= CHUNK_ENTRIES:
+                    yield packed(chunk)
+                    chunk, held = [], 0
+        if block:
+            chunk.append(block)
+        if chunk:
+            yield packed(chunk)
 
-def _chunk(blocks: list) -> tuple:
-    rows = [r for b in blocks for r in b]
-    return (np.array([len(i) for i, _ in rows]), np.concatenate([i for i, _ in rows]).astype(np.int32),
-            np.array([y for _, y in rows], np.float64), np.concatenate([np.full(len(b), 1 / len(b)) for b in blocks]))
+    return rows.rdd.mapPartitions(pack)
 
 
 def loss_and_gradient(chunks: RDD, weights: np.ndarray, n_blocks: int) -> tuple[float, np.ndarray]:
@@ -326,8 +329,7 @@ def train_epochs(train: DataFrame, val: DataFrame, path: str, text_col: str = "t
     step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[num_features, 2],
                                           maxIter=iterations, solver="l-bfgs", seed=seed, probabilityCol="_prob",
                                           rawPredictionCol="_raw", predictionCol="_pred")
-    chunks = (rows.where("_part = 0").select("_features", label).rdd.mapPartitions(sparse_chunks)
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    chunks = sparse_chunks(rows.where("_part = 0").select("_features", label)).persist(StorageLevel.MEMORY_AND_DISK)
     n_blocks = 0
     best, monitor, wait, log, weights = float("inf"), float("inf"), 0, [], None
     if resume:

@@ -7,10 +7,13 @@ explode, so a 100k-word text costs at most ``max_len`` rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from modlens.functions.columns import tokens
+from modlens.functions.columns import first_tokens, tokens
 from modlens.operators.partitioning import spread
 from modlens.operators.sampling import sorted_rank
 
@@ -36,37 +39,55 @@ def encode_fixed(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col:
     """(key, input_ids, attention_mask): [BOS] + ids + [EOS], truncated right and
     padded with PAD to ``max_len``; mask is 1 on non-pad positions.
 
-    One row per input row: rows that share a key are told apart by their text, and rows equal in both are
-    counted and dealt out again. A NULL text counts as empty.
+    One row per input row: rows that share a key are told apart by their text. A NULL text counts as empty.
 
-    Frequent words are hot join keys (one word may be a third of all tokens).
-    Ids rank words by frequency, so the ``head_size`` most frequent words are a
-    bounded table: it is broadcast and resolves the hot tokens map-side. Only
-    where the vocabulary is larger do the remaining (rarer) tokens meet its rest in a
-    shuffle; then the texts are tokenised once for each of the two, which costs less
-    than moving every resolved token twice.
+    Ids rank words by frequency, so the ``head_size`` most frequent words are a bounded table: it is
+    broadcast, and a row whose words it has is encoded where it is read, without a shuffle. Only where the
+    vocabulary is larger do the rarer words meet its rest in a shuffle, and their ids the
+    row's others in another; no frequent word is a key there. The first words are then split off once for each of the two.
     """
-    body = max_len - 2
-    toks = F.slice(tokens(F.col("_text")), 1, body)
     rows = spread(df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), key)
-    digest = F.md5(F.col("_text").cast("binary")).alias("_t")
-    # explode_outer keeps texts without tokens, so no join back to the keys is needed
-    exploded = rows.select(key, digest, F.posexplode_outer(toks).alias("pos", "token"))
-    head = vocab.where(F.col("id") < FIRST_WORD_ID + head_size).select("token", F.col("id").alias("_id"))
-    base = exploded.join(F.broadcast(head), "token", "left")
-    if (vocab.agg(F.max("id")).first()[0] or 0) >= FIRST_WORD_ID + head_size:
-        tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select(
-            F.col("token").alias("_jk"), F.col("id").alias("_tid"))
-        rare = F.col("_id").isNull() & F.col("pos").isNotNull()
-        looked_up = (base.where(rare).join(tail, F.col("token") == F.col("_jk"), "left")
-                     .select(key, "_t", "pos", F.col("_tid").alias("_id")))
-        base = base.where(~rare).select(key, "_t", "pos", "_id").unionByName(looked_up)
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")))
-    base = (base.groupBy(key, "_t")
-            .agg(F.array_sort(F.collect_set(entry)).alias("_p"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("_m"))
-            .select(key, "_p", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).alias("_nth")))
-    word_ids = F.transform(F.col("_p"), lambda s: s["id"].cast("int"))
-    return base.select(key, *_framed(word_ids, max_len))
+    rows = rows.select(key, F.md5(F.col("_text").cast("binary")).alias("_t"), first_tokens("_text", max_len - 2).alias("_toks"))
+    coded = rows.mapInArrow(_head_ids(vocab, head_size), StructType([
+        rows.schema[key], *StructType.fromDDL("_t string, _ids array<int>, _rare array<struct<pos: int, token: string>>").fields]))
+    if (vocab.agg(F.max("id")).first()[0] or 0) < FIRST_WORD_ID + head_size:
+        return coded.select(key, *_framed(F.transform("_ids", lambda i: F.coalesce(i, F.lit(UNK))), max_len))
+    tail = vocab.where(F.col("id") >= FIRST_WORD_ID + head_size).select("token", F.col("id").cast("int").alias("_id"))
+    whole = coded.where(F.size("_rare") == 0).select(key, "_ids")
+    some = coded.where(F.size("_rare") > 0)
+    # rows equal in key and text have the same rare words at the same places
+    found = (some.select(F.col(key).alias("_key"), F.col("_t").alias("_u"), F.inline("_rare")).join(tail, "token", "left")
+             .groupBy("_key", "_u").agg(F.collect_set(F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id"))).alias("_found")))
+    known = F.filter(F.transform("_ids", lambda i, p: F.struct(p.alias("pos"), i.alias("id"))), lambda s: s["id"].isNotNull())
+    merged = (some.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_u")))
+              .select(key, F.transform(F.array_sort(F.concat(known, "_found")), lambda s: s["id"]).alias("_ids")))
+    return whole.unionByName(merged).select(key, *_framed(F.col("_ids"), max_len))
+
+
+def _head_ids(vocab: DataFrame, head_size: int):
+    """(key, digest, words) batches to (key, digest, ids, (place, word) of the words that the head lacks, whose
+    ids are null). A batch looks up each distinct word once."""
+    head = vocab.where(F.col("id") < FIRST_WORD_ID + head_size).select("token", F.col("id").cast("int").alias("id")).toArrow()
+    shared = vocab.sparkSession.sparkContext.broadcast(dict(zip(head["token"].to_pylist(), head["id"].to_pylist())))
+
+    def encode(batches):
+        ids_of = shared.value
+        for batch in batches:
+            toks = batch.column(2)
+            counts = toks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            words = toks.flatten().dictionary_encode()
+            known = np.array([ids_of.get(w, -1) for w in words.dictionary.to_pylist()], np.int32)
+            ids = known[words.indices.to_numpy()] if len(words) else np.empty(0, np.int32)
+            rare = np.flatnonzero(ids < 0)
+            row = np.searchsorted(edges, rare, side="right") - 1
+            missing = pa.StructArray.from_arrays([pa.array((rare - edges[row]).astype(np.int32)),
+                                                  words.take(pa.array(rare)).cast(pa.string())], ["pos", "token"])
+            lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), values) for e, values in (
+                (edges, pa.array(ids, pa.int32(), mask=ids < 0)), (np.searchsorted(rare, edges), missing))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], [batch.schema.names[0], "_t", "_ids", "_rare"])
+
+    return encode
 
 
 def _framed(word_ids: Column, max_len: int) -> list[Column]:

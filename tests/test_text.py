@@ -89,3 +89,29 @@ def test_hashed_ids_on_a_stream_equal_a_table(spark):
     query.awaitTermination()
     rows = lambda d: sorted((r["doc_id"], r["input_ids"]) for r in d.collect())
     assert rows(spark.read.parquet(out)) == rows(txt.encode_hashed(docs, max_len=32))
+
+
+def test_frequent_words_are_encoded_without_a_shuffle(spark):
+    df = spark.createDataFrame([(i, "a b c " * 5) for i in range(20)], "doc_id bigint, text string").repartition(20)
+    vocab = txt.vocabulary(df)
+    plan = txt.encode_fixed(df.select("doc_id", "text"), vocab, max_len=9)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and "Join" not in plan
+
+
+def test_first_tokens_are_those_of_the_whole_text(spark):
+    from modlens.functions.columns import first_tokens, tokens
+
+    texts = ["", " ", None, "!!a--b  c", "a", "a b c d e f", ". x.y z w,", "É1 ß2;\nİ3 d e", "abc", "...", "a. b. "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (0, 1, 2, 3, 5, 9):
+        got = df.select(first_tokens("t", n).alias("a"), F.slice(tokens("t"), 1, n).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got], n
+
+
+def test_words_of_neither_head_nor_rest_are_unknown(spark):
+    df = spark.createDataFrame([(1, "new a z b"), (None, "a new"), (None, "a new"), (2, "a b")], "doc_id bigint, text string")
+    vocab = spark.createDataFrame([("a", 3, 4), ("b", 2, 5), ("z", 1, 6)], "token string, n bigint, id bigint")
+    for head in (100, 1):
+        got = [(r["doc_id"], r["input_ids"]) for r in txt.encode_fixed(df, vocab, max_len=7, head_size=head).collect()]
+        assert sorted(got, key=str) == sorted([(1, [0, 3, 4, 6, 5, 2, 1]), (None, [0, 4, 3, 2, 1, 1, 1]), (None, [0, 4, 3, 2, 1, 1, 1]),
+                                               (2, [0, 4, 5, 2, 1, 1, 1])], key=str)
