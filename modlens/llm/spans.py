@@ -14,8 +14,8 @@ id, then place): words go when any run that covers them isn't the first of its k
 
 Two passes over the texts: the first counts run hashes (partial sums before the shuffle, so a
 run in a third of the texts is a few rows); the second emits the places of repeated runs only,
-found by a fixed-size bit filter, and joins them exactly with the first place of each run; the first
-places of the most frequent runs are broadcast. What a text loses is gathered by id and joined to the texts that may lose anything; the others aren't shuffled.
+found by a fixed-size bit filter, and ranks those of each run. The places of the most frequent runs are
+one row a text and never ranked: the runs' first places, one a run, are broadcast to them. What a text loses is gathered by id and joined to the texts that may lose anything; the others aren't shuffled.
 
 Nulls and ties: a null text stays null and an empty one empty, with no sentences; a row without an id
 keeps its text and its runs don't count; repeated rows (same id and text) are one document, each
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.llm.common import POWERS, key_filter, mix64, parted, passes, schema_with, stored, text_words
@@ -145,12 +145,24 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
                    .where("n > 1"), "runs-repeated")
     keep = docs.sparkSession.sparkContext.broadcast(key_filter(again, F.col("h")))
 
+    # The runs with more than one in HOT_SHARE of all places are fewer than HOT_SHARE by that.
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(
+        [r["h"] for r in again.where(F.col("n") * HOT_SHARE > total).select("h").collect()], np.int64)))
+
     def emit(batches):
         def made(batch, rows, keys, places):
-            take = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), batch.column(0).take(take), batch.column(1).take(take),
-                 pa.array(np.concatenate(places))], ["h", "id", "x", "at"])
+            row, k, at = np.concatenate(rows), np.concatenate(keys), np.concatenate(places)
+            often = np.isin(k, hot.value)
+            alone, own = pa.array(row[~often]), row[often]
+            texts = np.unique(own)
+            edges = pa.array(np.append(np.searchsorted(own, texts), len(own)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(v[often])) for v in (k, at)]
+            for take, columns in ((alone, [pa.array(k[~often]), pa.array(at[~often]), *[pa.nulls(len(alone), c.type) for c in lists]]),
+                                  (pa.array(texts), [*[pa.nulls(len(texts), pa.int64())] * 2, *lists])):
+                if len(take):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns],
+                                                     ["id", "x", "h", "at", "hs", "ats"])
 
         for batch in batches:
             rows, keys, places, held = [], [], [], 0
@@ -163,25 +175,57 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
                 places.append(at)
                 held += len(k)
                 if held >= RUNS_PER_BATCH:
-                    yield made(batch, rows, keys, places)
+                    yield from made(batch, rows, keys, places)
                     rows, keys, places, held = [], [], [], 0
             if rows:
-                yield made(batch, rows, keys, places)
+                yield from made(batch, rows, keys, places)
 
     # A place that only passes the filter is the first of its run and goes no further.
-    places = stored(texts.mapInArrow(emit, "h bigint, id bigint, x bigint, at bigint"), "runs-places")
-    # The runs with more than one in HOT_SHARE of all places, fewer than HOT_SHARE by that: their first places
-    # go to the others, which stay where they are. What is left meets in a shuffle without a hot key.
-    total = again.agg(F.sum("n")).first()[0] or 0
-    hot = again.where(F.col("n") * HOT_SHARE > total).select("h")
-    often = places.join(F.broadcast(hot), "h")
-    seldom = places.join(F.broadcast(hot), "h", "left_anti")
-    first = F.min(F.struct("id", "x", "at")).alias("first")
-    hot_firsts = stored(often.groupBy("h").agg(first), "runs-hot")
-    later = (often.join(F.broadcast(hot_firsts), "h").unionByName(seldom.join(seldom.groupBy("h").agg(first), "h"))
-             .where(F.struct("id", "x", "at") != F.col("first")))
+    places = stored(texts.mapInArrow(emit, "id bigint, x bigint, h bigint, at bigint, hs array<bigint>, ats array<bigint>"),
+                    "runs-places")
+    # No run left here is a hot key. Places of repeated rows are equal and share their rank.
+    nth = F.rank().over(Window.partitionBy("h").orderBy("id", "x", "at"))
+    seldom = (places.where("h IS NOT NULL").select("h", "id", "x", "at", nth.alias("nth")).where("nth > 1")
+              .groupBy("id", "x").agg(F.collect_set("at").alias("drop")))
+    often = later_places(places.where("hs IS NOT NULL").select("id", "x", "hs", "ats"))
     # Only the runs of one text meet here.
-    return later.groupBy("id", "x").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+    return (seldom.unionByName(often).groupBy("id", "x")
+            .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("drop")))).alias("drop")))
+
+
+def later_places(texts: DataFrame) -> DataFrame:
+    """(id, x, drop): the places of each text that aren't the first of their run. ``texts`` has the hashes and places of a
+    text's runs as two arrays, of fewer different hashes than a task and the driver can hold."""
+    def flat(batch):
+        sizes = batch.column(2).value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(batch)), sizes)
+        ids, x = (batch.column(i).to_numpy()[row] for i in (0, 1))
+        return row, batch.column(2).flatten().to_numpy(), ids, x, batch.column(3).flatten().to_numpy()
+
+    def least(batches):
+        best = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            h, ids, x, at = (np.concatenate(c) for c in zip(best, flat(batch)[1:]))
+            order = np.lexsort((at, x, ids, h))
+            order = order[np.diff(h[order], prepend=h[order][:1] - 1) != 0]
+            best = [c[order] for c in (h, ids, x, at)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["h", "id", "x", "at"])
+
+    firsts = (texts.mapInArrow(least, "h bigint, id bigint, x bigint, at bigint")
+              .groupBy("h").agg(F.min(F.struct("id", "x", "at")).alias("f")).select("h", "f.*").orderBy("h").collect())
+    shared = texts.sparkSession.sparkContext.broadcast(np.array(firsts, np.int64).reshape(-1, 4))
+
+    def later(batches):
+        first = shared.value
+        for batch in batches:
+            row, h, ids, x, at = flat(batch)
+            own = first[np.searchsorted(first[:, 0], h)]
+            drop = (own[:, 1] != ids) | (own[:, 2] != x) | (own[:, 3] != at)
+            losing, counts = np.unique(row[drop], return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(at[drop]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(losing)) for i in (0, 1)), lists], ["id", "x", "drop"])
+
+    return texts.mapInArrow(later, "id bigint, x bigint, drop array<bigint>")
 
 
 def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,

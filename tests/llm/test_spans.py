@@ -142,3 +142,18 @@ def test_hot_runs_are_dealt_apart(docs_frame, monkeypatch):
     for share in (1, 1 << 40):  # no run is hot, every run is
         monkeypatch.setattr(spans, "HOT_SHARE", share)
         assert {k: v["text"] for k, v in run(docs_frame(rows)).items()} == want
+
+
+def test_places_of_frequent_runs_are_one_row_a_text(docs_frame, monkeypatch):
+    """Copies of a text: what is written and joined follows the texts, not the places of their runs."""
+    from modlens.llm import spans
+
+    tables, stored = {}, spans.stored
+    monkeypatch.setattr(spans, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    r = random.Random(9)
+    text = " ".join(sentence(r, 9) for _ in range(40))
+    rows = [(i, text) for i in range(50)] + [(3, text), (60, sentence(r, 9))]
+    got = run(docs_frame(rows))
+    assert sorted(k[0] for k, v in got.items() if v["n_removed"]) == [*range(1, 4), 3, *range(4, 50)]
+    assert all(v["text"] == "" for v in got.values() if v["n_removed"]) and got[(0, 0)]["text"] == text
+    assert tables["runs-places"].count() == 51
